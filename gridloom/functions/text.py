@@ -19,8 +19,9 @@ def trim_ws(c: Column | str) -> Column:
     return F.coalesce(F.btrim(_col(c), F.lit(fixed.WHITE_SPACE)), F.lit(""))
 
 
-def is_blank(c: Column | str) -> Column:
-    return trim_ws(c) == ""
+def has_content(c: Column | str) -> Column:
+    """Not blank. A first character in visible ASCII settles it without trimming."""
+    return F.ascii(_col(c)).between(33, 126) | (trim_ws(c) != "")
 
 
 def header_base(c: Column | str) -> Column:

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.text import is_blank, name_uuid
+from gridloom.functions.text import has_content, name_uuid
 from gridloom.operators.blocks import BLOCK_BITS, block, label_runs, number_rows
+from gridloom.session import written
 
 GRID_SCHEMA = "file_id string, source_file string, sheet string, r bigint, cells array<string>"
 MERGES_SCHEMA = "file_id string, sheet string, r0 int, c0 int, r1 int, c1 int"
@@ -23,8 +24,8 @@ BAND = [*SHEET, "band_start"]
 
 def filled_rows(grid: DataFrame) -> DataFrame:
     """Rows with content, and ``filled``: the column numbers of their non-blank cells."""
-    positions = F.transform("cells", lambda v, i: F.when(~is_blank(v), i))
-    return grid.withColumn("filled", F.array_compact(positions)).filter(F.size("filled") > 0)
+    positions = F.transform("cells", lambda v, i: F.when(has_content(v), i))
+    return grid.filter(F.exists("cells", has_content)).withColumn("filled", F.array_compact(positions))
 
 
 def band_rows(grid: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
@@ -247,8 +248,12 @@ def extract_tables(
 def find_tables(
     grid: DataFrame, merges: DataFrame | None = None, bits: int = BLOCK_BITS
 ) -> tuple[DataFrame, DataFrame]:
-    """Grid to ``(tables, rows)``: bands, islands, title rows, extraction."""
-    banded = band_rows(grid, bits)
+    """Grid to ``(tables, rows)``: bands, islands, title rows, extraction.
+
+    The labelled rows feed three steps, so they are written once: each step then reads
+    the columns it needs instead of repeating the scan and its shuffle.
+    """
+    banded = written(band_rows(grid, bits), "banded-rows")
     islands = skip_title_rows(table_islands(banded, bits), banded, merges, bits)
     return extract_tables(islands, banded, bits)
 

@@ -23,7 +23,7 @@ def storage_schema(columns: list) -> T.StructType:
     """Stored schema of one table from its column structs; everything is nullable."""
     schema = T.StructType()
     for c in columns:
-        schema = schema.add(c["storage_name"], T._parse_datatype_string(SPARK_TYPES[c["type"]]), True)
+        schema = schema.add(c["storage_name"], T.DataType.fromDDL(SPARK_TYPES[c["type"]]), True)
     return schema
 
 

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridloom.operators import chunks as ck
 from gridloom.operators import hooks
@@ -25,7 +24,7 @@ from gridloom.sources.store import KeyedStore
 from gridloom.sources.tables import drop_folders, table_path, write_tables
 from gridloom.sources.xlsx import scan_xlsx
 
-INDEX_SCHEMA = T._parse_datatype_string(
+INDEX_SCHEMA = (
     "chunk_id string, table_key string, file_id string, source_file string, sheet string, "
     "table_index int, row_index bigint, text string, hyde string, summary string, "
     f"schema {COLUMN_STRUCT}, dense array<float>, sparse {SPARSE_STRUCT}, n_terms bigint, "
@@ -33,6 +32,12 @@ INDEX_SCHEMA = T._parse_datatype_string(
 )
 
 
+_INDEX_COLUMNS = (
+    "chunk_id", "table_key", "file_id", "source_file", "sheet", "table_index", "row_index", "text", "hyde",
+    "summary", "schema", "dense", "sparse", "n_terms", "ingested_at",
+)
+
+
 @dataclass(frozen=True)
 class Store:
     """Where one collection lives: typed tables, index, catalog, run log."""
@@ -79,7 +84,7 @@ def index_rows(chunks: DataFrame, embed: hooks.Embed) -> DataFrame:
     """Chunks with dense and sparse vectors, ready for the index."""
     dense = chunks.withColumn("dense", hooks.embeddings("text", embed))
     return with_sparse(dense, "chunk_id").withColumn("ingested_at", F.current_timestamp()).select(
-        *INDEX_SCHEMA.names
+        *_INDEX_COLUMNS
     )
 
 

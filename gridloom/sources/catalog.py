@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridloom.operators.chunks import public_columns
 from gridloom.sources.store import KeyedStore
@@ -13,7 +12,7 @@ TABLE_STRUCT = (
     "array<struct<table_index:int,sheet_name:string,table_key:string,row_count:bigint,summary:string,"
     "columns:array<struct<name:string,original_name:string,type:string>>>>"
 )
-CATALOG_SCHEMA = T._parse_datatype_string(
+CATALOG_SCHEMA = (
     "id string, filename string, uploaded_at timestamp, tables_found int, chunks_count bigint, "
     f"table_keys array<string>, tables {TABLE_STRUCT}"
 )

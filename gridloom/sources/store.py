@@ -18,7 +18,7 @@ from gridloom.session import written
 
 @dataclass(frozen=True)
 class KeyedStore:
-    """``root`` holds rows of ``schema`` with unique ``key``, in ``buckets`` partitions.
+    """``root`` holds rows of ``ddl`` with unique ``key``, in ``buckets`` partitions.
 
     The bucket count is fixed at creation: some thousands for an index of many
     terabytes, a handful for tests.
@@ -26,9 +26,13 @@ class KeyedStore:
 
     root: str
     key: str
-    schema: T.StructType
+    ddl: str
     buckets: int = 64
 
+    @property
+    def schema(self) -> T.StructType:
+        return T.StructType.fromDDL(self.ddl)
+
     def _stored(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(
             self.root
