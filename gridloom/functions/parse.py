@@ -7,7 +7,7 @@ whole chain stays inside generated code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom import fixed
@@ -17,13 +17,14 @@ from gridloom.functions.text import trim_ws
 #   dates       2024-01-31  31.01.2024  01/31/2024  2024/01/31  31 Jan 2024  Jan 31, 2024  31-Jan-2024
 #   timestamps  date as yyyy-mm-dd with a space or T, dd.mm.yyyy or mm/dd/yyyy with a space;
 #               H:mm:ss, optional fraction; a zone (Z or +hh:mm) only in the T form
-DATE_ISO = r"^\d{4}-\d{2}-\d{2}$"
-DATE_DOT = r"^\d{2}\.\d{2}\.\d{4}$"
-DATE_US = r"^\d{2}/\d{2}/\d{4}$"
-DATE_SLASH = r"^\d{4}/\d{2}/\d{2}$"
-DATE_DAY_MON = r"^\d{2} [A-Za-z]{3} \d{4}$"
-DATE_MON_DAY = r"^[A-Za-z]{3} \d{2}, \d{4}$"
-DATE_DASH_MON = r"^\d{2}-[A-Za-z]{3}-\d{4}$"
+# In a date shape 0 stands for any digit and a for any letter.
+DATE_ISO = "0000-00-00"
+DATE_DOT = "00.00.0000"
+DATE_US = "00/00/0000"
+DATE_SLASH = "0000/00/00"
+DATE_DAY_MON = "00 aaa 0000"
+DATE_MON_DAY = "aaa 00, 0000"
+DATE_DASH_MON = "00-aaa-0000"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 CLOCK = r"\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?"
 STAMP_ISO = rf"^\d{{4}}-\d{{2}}-\d{{2}}(?: {CLOCK}|T{CLOCK}(?:Z|[+-]\d{{2}}:\d{{2}})?)$"
@@ -52,6 +53,16 @@ def clean_number(c: Column | str) -> Column:
     return F.when(F.contains(bare, F.lit(".")), F.replace(bare, F.lit(","), F.lit(""))).otherwise(bare)
 
 
+def date_shape(c: Column | str) -> Column:
+    """Digits as 0 and letters as a, for texts as long as a date; NULL for all others."""
+    v = _col(c)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return F.when(
+        F.length(v).between(10, 12),
+        F.translate(F.lower(v), "123456789" + letters, "0" * 9 + "a" * len(letters)),
+    )
+
+
 def as_boolean(c: Column | str) -> Column:
     """True for the true-words, false for any other non-empty text."""
     v = _col(c)
@@ -67,17 +78,19 @@ def as_long(c: Column | str, lenient_prefix: bool = False) -> Column:
 
 
 def as_double(c: Column | str, lenient_prefix: bool = False) -> Column:
-    v = clean_number(c)
+    return cleaned_as_double(clean_number(c), lenient_prefix)
+
+
+def cleaned_as_double(v: Column, lenient_prefix: bool = False) -> Column:
+    """The value of a text that went through ``clean_number``."""
     if lenient_prefix:
         head = F.regexp_extract(
             v, r"^(?i:nan|[+-]?inf|[+-]?(?:\d[\d_]*\.?\d*|\.\d+)(?:e[+-]?\d+)?)", 0
         )
         return F.when(head != "", F.replace(head, F.lit("_"), F.lit("")).try_cast("double"))
-    plain = F.replace(v, F.lit("_"), F.lit("")).try_cast("double")
-    finite = F.when(F.abs(plain) != F.lit(float("inf")), plain)
-    return F.when(v.rlike(DECIMAL) | v.rlike(HEX_FLOAT), finite).when(
-        v.rlike(NOT_FINITE), v.try_cast("double")
-    )
+    number = F.when(v.rlike(DECIMAL), F.replace(v, F.lit("_"), F.lit(""))).when(v.rlike(HEX_FLOAT), v)
+    value = number.try_cast("double")
+    return F.when(F.abs(value) < F.lit(float("inf")), value).when(v.rlike(NOT_FINITE), v.try_cast("double"))
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
@@ -95,31 +108,20 @@ def _month(name: Column) -> Column:
     )
 
 
-def as_date(c: Column | str) -> Column:
+def as_date(c: Column | str, shape: Column | None = None) -> Column:
+    """``shape`` is the text's ``date_shape`` if a column already holds it."""
     v = _col(c)
-    n = F.length(v)
+    like = date_shape(v) if shape is None else shape
     iso = (
-        F.when(
-            n == 10,
-            F.when(v.rlike(DATE_ISO), v)
-            .when(v.rlike(DATE_DOT), _ymd(_part(v, 7, 4), _part(v, 4, 2), _part(v, 1, 2)))
-            .when(v.rlike(DATE_US), _ymd(_part(v, 7, 4), _part(v, 1, 2), _part(v, 4, 2)))
-            .when(v.rlike(DATE_SLASH), _ymd(_part(v, 1, 4), _part(v, 6, 2), _part(v, 9, 2))),
-        )
-        .when(
-            n == 11,
-            F.when(
-                v.rlike(DATE_DAY_MON) | v.rlike(DATE_DASH_MON),
-                _ymd(_part(v, 8, 4), _month(_part(v, 4, 3)), _part(v, 1, 2)),
-            ),
-        )
+        F.when(like == DATE_ISO, v)
+        .when(like == DATE_DOT, _ymd(_part(v, 7, 4), _part(v, 4, 2), _part(v, 1, 2)))
+        .when(like == DATE_US, _ymd(_part(v, 7, 4), _part(v, 1, 2), _part(v, 4, 2)))
+        .when(like == DATE_SLASH, _ymd(_part(v, 1, 4), _part(v, 6, 2), _part(v, 9, 2)))
         .when(
-            n == 12,
-            F.when(
-                v.rlike(DATE_MON_DAY),
-                _ymd(_part(v, 9, 4), _month(_part(v, 1, 3)), _part(v, 5, 2)),
-            ),
+            like.isin(DATE_DAY_MON, DATE_DASH_MON),
+            _ymd(_part(v, 8, 4), _month(_part(v, 4, 3)), _part(v, 1, 2)),
         )
+        .when(like == DATE_MON_DAY, _ymd(_part(v, 9, 4), _month(_part(v, 1, 3)), _part(v, 5, 2)))
     )
     return iso.try_cast("date")
 
@@ -141,19 +143,33 @@ def as_timestamp(c: Column | str) -> Column:
     )
 
 
-def cell_kind(c: Column | str) -> Column:
-    """The narrowest type of one non-empty trimmed text.
+def with_parsed(df: DataFrame, value: Column) -> DataFrame:
+    """Add the trimmed text ``_v``, its number text ``_num`` and its date shape ``_shape``.
+
+    As columns of their own these are computed once per cell. Inlined into the type tests
+    they would be repeated dozens of times, and the generated method would grow past what
+    the JVM compiles.
+    """
+    return (
+        df.withColumn("_v", trim_ws(value))
+        .withColumn("_shape", date_shape("_v"))
+        .withColumn("_num", clean_number("_v"))
+    )
+
+
+def cell_kind() -> Column:
+    """The narrowest type of one cell from ``with_parsed``; NULL if it is empty.
 
     The tests exclude one another except that every integer is also a double, so one
     lazily evaluated chain replaces five independent tests per value.
     """
-    v = _col(c)
+    v = F.col("_v")
     return (
         F.when(v == "", F.lit(None).cast("string"))
         .when(F.lower(v).isin(*fixed.BOOLEAN_TRUE, *fixed.BOOLEAN_FALSE), F.lit("BOOLEAN"))
         .when(as_long(v).isNotNull(), F.lit("INTEGER"))
-        .when(as_double(v).isNotNull(), F.lit("DOUBLE"))
-        .when(as_date(v).isNotNull(), F.lit("DATE"))
+        .when(cleaned_as_double(F.col("_num")).isNotNull(), F.lit("DOUBLE"))
+        .when(as_date(v, F.col("_shape")).isNotNull(), F.lit("DATE"))
         .when(as_timestamp(v).isNotNull(), F.lit("TIMESTAMP"))
         .otherwise(F.lit("VARCHAR"))
     )
@@ -169,9 +185,22 @@ SPARK_TYPES = {
 }
 
 
+def parsed_value(column_type: str, lenient_prefix: bool = False) -> Column:
+    """A cell from ``with_parsed`` as a value of one type; empty or unreadable is NULL."""
+    v = F.col("_v")
+    return {
+        "BOOLEAN": lambda: as_boolean(v),
+        "INTEGER": lambda: as_long(v, lenient_prefix),
+        "DOUBLE": lambda: cleaned_as_double(F.col("_num"), lenient_prefix),
+        "DATE": lambda: as_date(v, F.col("_shape")),
+        "TIMESTAMP": lambda: as_timestamp(v),
+        "VARCHAR": lambda: F.when(v != "", v),
+    }[column_type]()
+
+
 def typed_value(c: Column | str, column_type: str, lenient_prefix: bool = False) -> Column:
-    """A raw cell as a value of one inferred type; empty or unreadable is NULL."""
-    v = trim_ws(c)
+    """A trimmed cell as a value of one inferred type; empty or unreadable is NULL."""
+    v = _col(c)
     if column_type == "BOOLEAN":
         return as_boolean(v)
     if column_type == "INTEGER":

@@ -38,19 +38,20 @@ def terms(c: Column | str) -> Column:
 
 
 def fnv1a(c: Column | str) -> Column:
-    """Unsigned 32-bit FNV-1a of the UTF-8 bytes, as a bigint."""
-    text = _col(c)
-    byte_pairs = F.hex(F.encode(text, "utf-8"))
-    octets = F.transform(
-        F.sequence(F.lit(0), F.octet_length(text) - 1),
-        lambda i: F.conv(F.substring(byte_pairs, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"),
-    )
+    """Unsigned 32-bit FNV-1a of the UTF-8 bytes, as a bigint.
+
+    Reading the bytes as Latin-1 gives one character per byte, so a fold over characters
+    is a fold over bytes.
+    """
+    octets = F.split(F.decode(F.encode(_col(c), "utf-8"), "ISO-8859-1"), "")
     hashed = F.aggregate(
         octets,
         F.lit(fixed.FNV_OFFSET).cast("bigint"),
-        lambda h, b: (h.bitwiseXOR(b) * F.lit(fixed.FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)),
+        lambda h, b: (h.bitwiseXOR(F.ascii(b).cast("bigint")) * F.lit(fixed.FNV_PRIME)).bitwiseAND(
+            F.lit(0xFFFFFFFF)
+        ),
     )
-    return F.when(F.octet_length(text) == 0, F.lit(fixed.FNV_OFFSET).cast("bigint")).otherwise(hashed)
+    return F.when(_col(c) == "", F.lit(fixed.FNV_OFFSET).cast("bigint")).otherwise(hashed)
 
 
 def term_bucket(c: Column | str) -> Column:

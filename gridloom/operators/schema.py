@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom import fixed
-from gridloom.functions.parse import cell_kind
-from gridloom.functions.text import header_base, trim_ws
+from gridloom.functions.parse import cell_kind, with_parsed
+from gridloom.functions.text import header_base
 
 COLUMN_STRUCT = "array<struct<name:string,original_name:string,type:string>>"
 
@@ -43,9 +43,8 @@ def type_counts(rows: DataFrame) -> DataFrame:
     Exploding is narrow and the counts combine on the map side, so a table of any
     length shuffles only a few numbers per column and task.
     """
-    cells = rows.select("table_key", F.posexplode("values").alias("col_index", "value")).withColumn(
-        "kind", cell_kind(trim_ws("value"))
-    )
+    cells = rows.select("table_key", F.posexplode("values").alias("col_index", "value"))
+    cells = with_parsed(cells, F.col("value")).select("table_key", "col_index", cell_kind().alias("kind"))
 
     def count_of(*kinds: str):
         return F.count_if(F.col("kind").isin(*kinds))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.parse import SPARK_TYPES, typed_value
+from gridloom.functions.parse import SPARK_TYPES, parsed_value, typed_value, with_parsed
+from gridloom.functions.text import trim_ws
 from gridloom.operators.blocks import attach_tables
 
 VALUE_COLUMNS = {
@@ -35,26 +36,33 @@ def typed_cells(rows: DataFrame, described: DataFrame, lenient_prefix: bool = Fa
         F.explode("columns").alias("column"),
         "values",
     )
-    value = F.get("values", F.col("column.col_index"))
-    return cells.select(
+    parsed = with_parsed(cells, F.get("values", F.col("column.col_index")))
+    return parsed.select(
         "table_key",
         "row_index",
         F.col("column.col_index").alias("col_index"),
         *[
-            F.when(F.col("column.type") == kind, typed_value(value, kind, lenient_prefix)).alias(name)
+            F.when(F.col("column.type") == kind, parsed_value(kind, lenient_prefix)).alias(name)
             for kind, name in VALUE_COLUMNS.items()
         ],
     )
 
 
-def wide_columns(columns: list, lenient_prefix: bool = False) -> list:
-    """Select list that turns ``values`` into the typed columns of one known schema."""
-    return [
-        typed_value(F.get("values", F.lit(c["col_index"])), c["type"], lenient_prefix).alias(
-            c["storage_name"]
-        )
-        for c in columns
-    ]
+def wide_rows(rows: DataFrame, columns: list, *keep: str, lenient_prefix: bool = False) -> DataFrame:
+    """``values`` as the typed columns of one known schema, after the columns to ``keep``.
+
+    A projection of two steps: trimmed cells, then values.
+    """
+    trimmed = rows.select(
+        *keep, *[trim_ws(F.get("values", F.lit(c["col_index"]))).alias(f"_v{c['col_index']}") for c in columns]
+    )
+    return trimmed.select(
+        *keep,
+        *[
+            typed_value(f"_v{c['col_index']}", c["type"], lenient_prefix).alias(c["storage_name"])
+            for c in columns
+        ],
+    )
 
 
 def materialize_table(
@@ -62,7 +70,7 @@ def materialize_table(
 ) -> DataFrame:
     """One table as a typed DataFrame: a projection, no pivot and no shuffle."""
     picked = rows if table_key is None else rows.filter(F.col("table_key") == table_key)
-    return picked.select(*wide_columns(columns, lenient_prefix))
+    return wide_rows(picked, columns, lenient_prefix=lenient_prefix)
 
 
 def table_columns(described: DataFrame, table_key: str) -> list:

@@ -14,13 +14,14 @@ def term_counts(df: DataFrame, id_col: str, text_col: str = "text", spread: bool
     """``(id, term, tf, n_terms)``: kept terms of each text and their counts.
 
     ``spread`` puts each text in the partition of its id first. That one exchange of
-    whole rows serves every later grouping by id; exploded terms are never shuffled.
+    whole rows serves every later grouping by id; exploded terms are never shuffled. The
+    partition count is the session's: texts are small but splitting them is not, so
+    adaptive execution must not merge partitions by bytes.
     """
-    base = df.select(id_col, terms(text_col).alias("_terms"))
+    base = df.select(id_col, text_col)
     if spread:
-        base = df.select(id_col, text_col).repartition(id_col).select(
-            id_col, terms(text_col).alias("_terms")
-        )
+        base = base.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    base = base.select(id_col, terms(text_col).alias("_terms"))
     return (
         base.select(id_col, F.size("_terms").cast("bigint").alias("n_terms"), F.explode("_terms").alias("term"))
         .groupBy(id_col, "term")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.blocks import attach_tables, block
-from gridloom.operators.typed import wide_columns
+from gridloom.operators.typed import storage_schema, wide_rows
 from gridloom.session import fresh_path
 
 
@@ -44,7 +44,7 @@ def write_tables(
     for kind in kinds.toLocalIterator():
         same = staged.filter(F.col("signature") == kind["signature"])
         (
-            same.select("table_key", *wide_columns(kind["columns"], lenient_prefix))
+            wide_rows(same, kind["columns"], "table_key", lenient_prefix=lenient_prefix)
             .write.mode("overwrite")
             .option("compression", "snappy")
             .option("partitionOverwriteMode", "dynamic")
@@ -53,8 +53,7 @@ def write_tables(
         )
     for empty in signed.filter(F.col("row_count") == 0).toLocalIterator():
         (
-            rows.limit(0)
-            .select(*wide_columns(empty["columns"], lenient_prefix))
+            spark.createDataFrame([], storage_schema(empty["columns"]))
             .coalesce(1)
             .write.mode("overwrite")
             .option("compression", "snappy")
