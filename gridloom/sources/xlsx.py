@@ -12,6 +12,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from decimal import Decimal
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -106,10 +107,8 @@ def number_text(raw: str) -> str:
         return raw
     if len(re.sub(r"\D", "", raw.lower().split("e")[0]).lstrip("0")) > 15:
         return f"{value:.15G}"
-    text = format(value, "f") if abs(value) >= 1e16 else repr(value)
-    if "e" in text:
-        text = format(value, ".20f").rstrip("0")
-    return text[:-2] if text.endswith(".0") else text.rstrip(".")
+    text = format(Decimal(repr(value)), "f")
+    return text[:-2] if text.endswith(".0") else text
 
 
 def _date_formats(book: zipfile.ZipFile) -> list[str | None]:

@@ -26,17 +26,8 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _list(values) -> str:
-    return "(" + ", ".join(_quote(v) for v in values) + ")"
-
-
 # --- cells and types --------------------------------------------------------------------
 
-CLEAN = (
-    "CASE WHEN contains(x, '.') THEN replace(x, ',', '') ELSE x END"
-)
-
-
 def _clean(v: str) -> str:
     bare = f"trim(rtrim(ltrim({v}, ' $€£¥₹'), '% '))"
     return f"(CASE WHEN contains({bare}, '.') THEN replace({bare}, ',', '') ELSE {bare} END)"
@@ -371,8 +362,6 @@ def _chunk_oracles() -> dict[str, str]:
     sheets = dict(
         key="'customer-' || (row_index // 100)", row="row_index % 100"
     )
-    labels = _list(["x"])  # keeps quoting in one place
-    assert labels
     header = inputs.HEADERS["customer"]
     named = ", ".join(f"({i}, {_quote(h)})" for i, h in enumerate(header))
     listed = " | ".join(header)
@@ -477,11 +466,21 @@ def _statement_oracles() -> dict[str, str]:
     }
 
 
-def _go_number(x: str) -> str:
+def _small_number(x: str) -> str:
     """Plain decimal text of a number that has at most two decimals."""
     return f"regexp_replace(regexp_replace(CAST(CAST({x} AS DECIMAL(28,2)) AS VARCHAR), '0+$', ''), '\\.$', '')"
 
 
+def _big_number(x: str) -> str:
+    """Text with an exponent of a whole number from a million on."""
+    whole = f"CAST(CAST({x} AS BIGINT) AS VARCHAR)"
+    digits = f"rtrim({whole}, '0')"
+    return (
+        f"(substr({digits}, 1, 1) || CASE WHEN length({digits}) > 1 THEN '.' || substr({digits}, 2) ELSE '' END "
+        f"|| 'e+' || lpad(CAST(length({whole}) - 1 AS VARCHAR), 2, '0'))"
+    )
+
+
 def _sql_oracles() -> dict[str, str]:
     out = {name: f"WITH data AS ({_wide(key)}) {statement}" for name, (key, statement) in SQL_STATEMENTS.items()}
     out["sql_having"] = out["sql_having"].replace("SELECT user,", 'SELECT "user",').replace("GROUP BY user", 'GROUP BY "user"')
@@ -489,11 +488,11 @@ def _sql_oracles() -> dict[str, str]:
     header = " | ".join(columns)
     out["format_rows"] = (
         f"WITH data AS ({_wide('events')}), r AS (SELECT type, flag, count(value) AS n, min(value) AS low, "
-        "max(value) * 1000000 AS high, max(when_utc) AS last_seen, max(CASE WHEN flag THEN value END) AS top_flagged FROM data GROUP BY type, flag) "
+        "round(max(value)) * 1000000 AS high, max(when_utc) AS last_seen, max(CASE WHEN flag THEN value END) AS top_flagged FROM data GROUP BY type, flag) "
         f"SELECT 'header' AS kind, {_quote(header)} AS text UNION ALL SELECT 'rule', {_quote('-' * len(header))} UNION ALL "
-        f"SELECT 'row', concat_ws(' | ', CAST(flag AS VARCHAR), {_go_number('high')}, "
+        f"SELECT 'row', concat_ws(' | ', CAST(flag AS VARCHAR), {_big_number('high')}, "
         f"strftime(last_seen, '%Y-%m-%d %H:%M:%S') || CASE WHEN epoch_us(last_seen) % 1000000 = 0 THEN '' ELSE '.25' END || ' +0000 UTC', "
-        f"{_go_number('low')}, CAST(n AS VARCHAR), coalesce({_go_number('top_flagged')}, '<nil>'), type) FROM r"
+        f"{_small_number('low')}, CAST(n AS VARCHAR), coalesce({_small_number('top_flagged')}, '<nil>'), type) FROM r"
     )
     return out
 

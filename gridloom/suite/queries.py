@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from gridloom.operators import chunks as ck
 from gridloom.operators import grid as g
 from gridloom.operators import hooks, prompts, retrieval, routing, runlog, schema, sqlguard, typed, vectors
 from gridloom.plans.ingest import Store
-from gridloom.session import fresh_path, written
+from gridloom.session import fresh_path, ship_package, written
 from gridloom.sources import catalog
 from gridloom.sources.csv import scan_csv
 from gridloom.sources.store import KeyedStore
@@ -32,7 +33,12 @@ _QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    _QUERIES[fn.__name__] = fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    _QUERIES[fn.__name__] = run
     return fn
 
 
@@ -175,7 +181,7 @@ def format_rows(spark, sf_dir):
     session = sqlguard.open_table(spark, table_path(stored_tables(spark, sf_dir), "events"))
     result = sqlguard.run_guarded(
         session,
-        "SELECT type, flag, count(value) AS n, min(value) AS low, max(value) * 1000000 AS high, "
+        "SELECT type, flag, count(value) AS n, min(value) AS low, round(max(value)) * 1000000 AS high, "
         "max(when_utc) AS last_seen, max(CASE WHEN flag THEN value END) AS top_flagged FROM data GROUP BY type, flag",
     )
     header, rule = sqlguard.header_texts(result)
