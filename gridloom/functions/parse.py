@@ -88,9 +88,19 @@ def cleaned_as_double(v: Column, lenient_prefix: bool = False) -> Column:
             v, r"^(?i:nan|[+-]?inf|[+-]?(?:\d[\d_]*\.?\d*|\.\d+)(?:e[+-]?\d+)?)", 0
         )
         return F.when(head != "", F.replace(head, F.lit("_"), F.lit("")).try_cast("double"))
-    number = F.when(v.rlike(DECIMAL), F.replace(v, F.lit("_"), F.lit(""))).when(v.rlike(HEX_FLOAT), v)
-    value = number.try_cast("double")
-    return F.when(F.abs(value) < F.lit(float("inf")), value).when(v.rlike(NOT_FINITE), v.try_cast("double"))
+    return F.when(_in_range(v), _number_text(v).try_cast("double")).when(
+        v.rlike(NOT_FINITE), v.try_cast("double")
+    )
+
+
+def _number_text(v: Column) -> Column:
+    return F.when(v.rlike(DECIMAL), F.replace(v, F.lit("_"), F.lit(""))).when(v.rlike(HEX_FLOAT), v)
+
+
+def _in_range(v: Column) -> Column:
+    """A finite number; the first character rules most other texts out."""
+    finite = F.abs(_number_text(v).try_cast("double")) < F.lit(float("inf"))
+    return F.ascii(v).between(43, 57) & F.coalesce(finite, F.lit(False))
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
@@ -108,52 +118,59 @@ def _month(name: Column) -> Column:
     )
 
 
-def as_date(c: Column | str, shape: Column | None = None) -> Column:
-    """``shape`` is the text's ``date_shape`` if a column already holds it."""
+def date_text(c: Column | str, shape: Column | None = None) -> Column:
+    """A text in a date format in ISO order, or NULL; the day may still not exist."""
     v = _col(c)
     like = date_shape(v) if shape is None else shape
-    iso = (
+    return (
         F.when(like == DATE_ISO, v)
         .when(like == DATE_DOT, _ymd(_part(v, 7, 4), _part(v, 4, 2), _part(v, 1, 2)))
         .when(like == DATE_US, _ymd(_part(v, 7, 4), _part(v, 1, 2), _part(v, 4, 2)))
-        .when(like == DATE_SLASH, _ymd(_part(v, 1, 4), _part(v, 6, 2), _part(v, 9, 2)))
+        .when(like == DATE_SLASH, F.translate(v, "/", "-"))
         .when(
             like.isin(DATE_DAY_MON, DATE_DASH_MON),
             _ymd(_part(v, 8, 4), _month(_part(v, 4, 3)), _part(v, 1, 2)),
         )
         .when(like == DATE_MON_DAY, _ymd(_part(v, 9, 4), _month(_part(v, 1, 3)), _part(v, 5, 2)))
     )
-    return iso.try_cast("date")
 
 
-def as_timestamp(c: Column | str) -> Column:
-    """Instant of a date-time text; texts without a zone are UTC."""
+def as_date(c: Column | str) -> Column:
+    return date_text(c).try_cast("date")
+
+
+def stamp_text(c: Column | str) -> Column:
+    """A text in a date-time format as ISO text with a zone, or NULL; without one it is UTC."""
     v = _col(c)
     day = (
         F.when(v.rlike(STAMP_ISO), _part(v, 1, 10))
         .when(v.rlike(STAMP_DOT), _ymd(_part(v, 7, 4), _part(v, 4, 2), _part(v, 1, 2)))
         .when(v.rlike(STAMP_US), _ymd(_part(v, 7, 4), _part(v, 1, 2), _part(v, 4, 2)))
     )
-    clock = F.replace(F.substring(v, F.lit(12), F.length(v)), F.lit(","), F.lit("."))
-    clock = F.when(F.substring(clock, 2, 1) == ":", F.concat(F.lit("0"), clock)).otherwise(clock)
-    zoned = F.when(clock.rlike(r"(?:Z|[+-]\d{2}:\d{2})$"), clock).otherwise(F.concat(clock, F.lit("Z")))
-    return F.when(
-        (F.length(v) >= 18) & F.contains(v, F.lit(":")),
-        F.concat(day, F.lit("T"), zoned).try_cast("timestamp"),
-    )
+    clock = F.translate(F.substring(v, F.lit(12), F.length(v)), ",", ".")
+    hour = F.when(_part(v, 13, 1) == ":", F.lit("T0")).otherwise(F.lit("T"))
+    zone = F.when(clock.rlike(r"(?:Z|[+-]\d{2}:\d{2})$"), F.lit("")).otherwise(F.lit("Z"))
+    return F.when((F.length(v) >= 18) & F.contains(v, F.lit(":")), F.concat(day, hour, clock, zone))
+
+
+def as_timestamp(c: Column | str) -> Column:
+    return stamp_text(c).try_cast("timestamp")
 
 
 def with_parsed(df: DataFrame, value: Column) -> DataFrame:
-    """Add the trimmed text ``_v``, its number text ``_num`` and its date shape ``_shape``.
+    """Add what the type tests look at: the trimmed text ``_v``, its number text ``_num``,
+    and its ISO date and date-time texts ``_day`` and ``_stamp``.
 
-    As columns of their own these are computed once per cell. Inlined into the type tests
-    they would be repeated dozens of times, and the generated method would grow past what
-    the JVM compiles.
+    As columns of their own these are computed once per cell. Inlined into the tests they
+    would be repeated dozens of times, and the generated method would grow past the 8000
+    bytes up to which the JVM compiles one (a test keeps it below).
     """
     return (
         df.withColumn("_v", trim_ws(value))
         .withColumn("_shape", date_shape("_v"))
         .withColumn("_num", clean_number("_v"))
+        .withColumn("_day", date_text("_v", F.col("_shape")))
+        .withColumn("_stamp", stamp_text("_v"))
     )
 
 
@@ -163,14 +180,16 @@ def cell_kind() -> Column:
     The tests exclude one another except that every integer is also a double, so one
     lazily evaluated chain replaces five independent tests per value.
     """
-    v = F.col("_v")
+    v, num, day, stamp = F.col("_v"), F.col("_num"), F.col("_day"), F.col("_stamp")
+    longest = max(map(len, fixed.BOOLEAN_TRUE + fixed.BOOLEAN_FALSE))
+    words = (F.length(v) <= longest) & F.lower(v).isin(*fixed.BOOLEAN_TRUE, *fixed.BOOLEAN_FALSE)
     return (
         F.when(v == "", F.lit(None).cast("string"))
-        .when(F.lower(v).isin(*fixed.BOOLEAN_TRUE, *fixed.BOOLEAN_FALSE), F.lit("BOOLEAN"))
-        .when(as_long(v).isNotNull(), F.lit("INTEGER"))
-        .when(cleaned_as_double(F.col("_num")).isNotNull(), F.lit("DOUBLE"))
-        .when(as_date(v, F.col("_shape")).isNotNull(), F.lit("DATE"))
-        .when(as_timestamp(v).isNotNull(), F.lit("TIMESTAMP"))
+        .when(F.ascii(v).between(43, 57) & as_long(v).isNotNull(), F.lit("INTEGER"))
+        .when(words, F.lit("BOOLEAN"))
+        .when(_in_range(num) | num.rlike(NOT_FINITE), F.lit("DOUBLE"))
+        .when(day.isNotNull() & day.try_cast("date").isNotNull(), F.lit("DATE"))
+        .when(stamp.isNotNull() & stamp.try_cast("timestamp").isNotNull(), F.lit("TIMESTAMP"))
         .otherwise(F.lit("VARCHAR"))
     )
 
@@ -192,8 +211,8 @@ def parsed_value(column_type: str, lenient_prefix: bool = False) -> Column:
         "BOOLEAN": lambda: as_boolean(v),
         "INTEGER": lambda: as_long(v, lenient_prefix),
         "DOUBLE": lambda: cleaned_as_double(F.col("_num"), lenient_prefix),
-        "DATE": lambda: as_date(v, F.col("_shape")),
-        "TIMESTAMP": lambda: as_timestamp(v),
+        "DATE": lambda: F.col("_day").try_cast("date"),
+        "TIMESTAMP": lambda: F.col("_stamp").try_cast("timestamp"),
         "VARCHAR": lambda: F.when(v != "", v),
     }[column_type]()
 

@@ -15,8 +15,13 @@ def _col(c: Column | str) -> Column:
 
 
 def trim_ws(c: Column | str) -> Column:
-    """Strip Unicode white space; an absent value becomes the empty string."""
-    return F.coalesce(F.btrim(_col(c), F.lit(fixed.WHITE_SPACE)), F.lit(""))
+    """Strip Unicode white space; an absent value becomes the empty string.
+
+    Most cells start and end in visible ASCII and pass through untouched.
+    """
+    v = _col(c)
+    clean = F.ascii(v).between(33, 126) & F.ascii(F.right(v, F.lit(1))).between(33, 126)
+    return F.coalesce(F.when(clean, v).otherwise(F.btrim(v, F.lit(fixed.WHITE_SPACE))), F.lit(""))
 
 
 def has_content(c: Column | str) -> Column:
@@ -55,8 +60,12 @@ def fnv1a(c: Column | str) -> Column:
 
 
 def term_bucket(c: Column | str) -> Column:
-    """Sparse vector index of a term."""
-    return (fnv1a(c) % fixed.SPARSE_BUCKETS).cast("int")
+    """Sparse vector index of a term.
+
+    Never NULL for the optimizer either: a join on it would otherwise add a not-null
+    filter that hashes every occurrence of a term below the counting.
+    """
+    return F.coalesce((fnv1a(c) % fixed.SPARSE_BUCKETS).cast("int"), F.lit(0))
 
 
 def name_uuid(c: Column | str) -> Column:

@@ -70,13 +70,15 @@ def choose_type():
     return chosen.otherwise(F.lit(fixed.COLUMN_TYPES[-1]))
 
 
-def infer_types(rows: DataFrame, columns: DataFrame) -> DataFrame:
+COUNTS = ("n_values", "n_boolean", "n_integer", "n_double", "n_date", "n_timestamp")
+
+
+def infer_types(rows: DataFrame, columns: DataFrame, keep_counts: bool = False) -> DataFrame:
     """``columns`` plus ``type``; columns without any cell come out as VARCHAR."""
-    return (
-        columns.join(type_counts(rows), ["table_key", "col_index"], "left")
-        .withColumn("type", F.coalesce(choose_type(), F.lit("VARCHAR")))
-        .drop("n_values", "n_boolean", "n_integer", "n_double", "n_date", "n_timestamp")
+    typed = columns.join(type_counts(rows), ["table_key", "col_index"], "left").withColumn(
+        "type", F.coalesce(choose_type(), F.lit("VARCHAR"))
     )
+    return typed if keep_counts else typed.drop(*COUNTS)
 
 
 def with_schema(tables: DataFrame, columns: DataFrame) -> DataFrame:

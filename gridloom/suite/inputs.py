@@ -29,16 +29,14 @@ def _commas(text: str) -> str:
     )
 
 
-def _dates(iso: str, by: str) -> str:
-    """One date in seven spellings, chosen by ``by``."""
-    y, m, d = f"substr({iso}, 1, 4)", f"substr({iso}, 6, 2)", f"substr({iso}, 9, 2)"
-    mon = f"substr('{MONTHS}', (cast({m} as int) - 1) * 3 + 1, 3)"
-    return (
-        f"case {by} when 0 then {iso} when 1 then {d} || '.' || {m} || '.' || {y} "
-        f"when 2 then {m} || '/' || {d} || '/' || {y} when 3 then {y} || '/' || {m} || '/' || {d} "
-        f"when 4 then {d} || ' ' || {mon} || ' ' || {y} when 5 then {mon} || ' ' || {d} || ', ' || {y} "
-        f"else {d} || '-' || lower({mon}) || '-' || {y} end"
-    )
+# One date (parts y, m, d and month name mon) in seven spellings, chosen by w = 0 to 6.
+DATES = (
+    "case when w in (0, 3) then y when w = 2 then m when w = 5 then mon else d end"
+    " || case when w in (0, 6) then '-' when w = 1 then '.' when w in (2, 3) then '/' else ' ' end"
+    " || case when w in (0, 1, 3) then m when w in (2, 5) then d else mon end"
+    " || case when w in (0, 6) then '-' when w = 1 then '.' when w in (2, 3) then '/' when w = 5 then ', ' else ' ' end"
+    " || case when w in (0, 3) then d else y end"
+)
 
 
 CUSTOMER_TEXT = f"""
@@ -56,32 +54,32 @@ ORDERS_TEXT = f"""
 select 'orders' as table_key, k as row_index,
   cast(k as string) as v0,
   status as v1,
-  case when k % 97 = 0 then 'n/a'
-       when k % 5 = 0 then '$' || {_commas('price')}
-       when k % 5 = 1 then price || '%'
-       when k % 5 = 2 then ' € ' || {_commas('price')}
-       when k % 5 = 3 then '+' || price
-       else price end as v2,
-  case when k % 89 = 0 then 'unknown' else {_dates('d', 'k % 7')} end as v3,
+  case when k % 97 = 0 then 'n/a' else
+    case k % 5 when 0 then '$' when 2 then ' € ' when 3 then '+' else '' end
+    || case when k % 5 in (0, 2) then spaced else price end
+    || case when k % 5 = 1 then '%' else '' end end as v2,
+  case when k % 89 = 0 then 'unknown' else {DATES} end as v3,
   priority as v4,
   case when k % 13 = 0 then ' ' else cust end as v5
 from (
-  select o_orderkey as k, o_orderstatus as status, {_money('o_totalprice')} as price,
-    cast(cast(o_orderdate as date) as string) as d, o_orderpriority as priority,
-    cast(o_custkey as string) as cust
-  from {{orders}}
+  select k, k % 7 as w, status, price, priority, cust, {_commas('price')} as spaced,
+    substr(iso, 1, 4) as y, substr(iso, 6, 2) as m, substr(iso, 9, 2) as d,
+    substr('{MONTHS}', cast(substr(iso, 6, 2) as int) * 3 - 2, 3) as mon
+  from (
+    select o_orderkey as k, o_orderstatus as status, {_money('o_totalprice')} as price,
+      cast(cast(o_orderdate as date) as string) as iso, o_orderpriority as priority,
+      cast(o_custkey as string) as cust
+    from {{orders}}
+  ) given
 ) t
 """
 
 EVENTS_TEXT = f"""
 select 'events' as table_key, event_id as row_index,
   cast(event_id as string) as v0,
-  case event_id % 5
-    when 0 then s
-    when 1 then substr(s, 1, 10) || 'T' || substr(s, 12, 8)
-    when 2 then substr(s, 1, 10) || 'T' || substr(s, 12, 8) || 'Z'
-    when 3 then substr(s, 9, 2) || '.' || substr(s, 6, 2) || '.' || substr(s, 1, 4) || substr(s, 11, 9)
-    else s || '.25' end as v1,
+  case when event_id % 5 = 3 then substr(s, 9, 2) || '.' || substr(s, 6, 2) || '.' || substr(s, 1, 4) else substr(s, 1, 10) end
+    || case when event_id % 5 in (1, 2) then 'T' else ' ' end || substr(s, 12, 8)
+    || case event_id % 5 when 2 then 'Z' when 4 then '.25' else '' end as v1,
   cast(user_id as string) as v2,
   event_type as v3,
   case when event_id % 50 = 0 then 'none' else {_money('value')} || case when event_id % 2 = 0 then ' %' else '' end end as v4,

@@ -67,10 +67,8 @@ def clean_numeric(spark, sf_dir):
 def infer_types(spark, sf_dir):
     rows = inputs.text_rows(spark, sf_dir)
     columns = schema.normalize_headers(schema.header_columns(inputs.text_tables(rows)))
-    return (
-        schema.infer_types(rows, columns)
-        .join(schema.type_counts(rows), ["table_key", "col_index"])
-        .select("table_key", "col_index", "name", "type", "n_values", "n_boolean", "n_integer", "n_double", "n_date", "n_timestamp")
+    return schema.infer_types(rows, columns, keep_counts=True).select(
+        "table_key", "col_index", "name", "type", *schema.COUNTS
     )
 
 
