@@ -33,6 +33,8 @@ HEADLINE = [
     "validate_sql",
     "index_upsert",
     "run_metrics",
+    "csv_ingest",
+    "streaming_ingest",
 ]
 
 

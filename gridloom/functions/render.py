@@ -51,7 +51,8 @@ def value_text(c: Column, data_type: T.DataType) -> Column:
     elif isinstance(data_type, T.DateType):
         text = F.concat(c.cast("string"), F.lit(" 00:00:00 +0000 UTC"))
     elif isinstance(data_type, T.TimestampType):
-        text = F.concat(c.cast("string"), F.lit(" +0000 UTC"))
+        utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+        text = F.concat(utc.cast("string"), F.lit(" +0000 UTC"))
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit(fixed.NULL_TEXT))

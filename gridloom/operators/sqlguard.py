@@ -76,6 +76,7 @@ def open_table(spark: SparkSession, path: str) -> SparkSession:
         "spark.sql.shuffle.partitions",
         "spark.sql.ansi.enabled",
         "spark.sql.adaptive.enabled",
+        "spark.sql.codegen.hugeMethodLimit",
     ):
         child.conf.set(key, spark.conf.get(key))
     child.conf.set("spark.sql.runSQLOnFiles", "false")

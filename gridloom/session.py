@@ -34,6 +34,14 @@ def build_session(app: str = "gridloom", master: str | None = None, **conf: str)
     return spark
 
 
+def prepare(spark: SparkSession) -> None:
+    """For a session built elsewhere: ship the package and keep generated methods compilable."""
+    ship_package(spark)
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(limit)) > int(DEFAULTS[limit]):
+        spark.conf.set(limit, DEFAULTS[limit])
+
+
 _shipped: set[str] = set()
 
 

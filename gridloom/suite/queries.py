@@ -15,7 +15,7 @@ from gridloom.operators import chunks as ck
 from gridloom.operators import grid as g
 from gridloom.operators import hooks, prompts, retrieval, routing, runlog, schema, sqlguard, typed, vectors
 from gridloom.plans.ingest import Store
-from gridloom.session import fresh_path, ship_package, written
+from gridloom.session import fresh_path, prepare, written
 from gridloom.sources import catalog
 from gridloom.sources.csv import scan_csv
 from gridloom.sources.store import KeyedStore
@@ -35,7 +35,7 @@ _QUERIES: dict[str, Query] = {}
 def query(fn: Query) -> Query:
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
 
     _QUERIES[fn.__name__] = run
