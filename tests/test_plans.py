@@ -1,5 +1,7 @@
 """What the physical plans must and must not contain."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,19 @@ def test_key_filter_reaches_the_scan(spark):
     text = plan(retrieval.for_tables(docs, "src1").select("doc_id"))
     pushed = text[text.index("PushedFilters"):].split("\n")[0]
     assert "EqualTo(source,src1)" in pushed and "ReadSchema: struct<doc_id:bigint,source:string>" in text
+
+
+def test_parsing_stays_compilable(spark, tmp_path, capsys):
+    path = str(tmp_path / "rows")
+    inputs.text_rows(spark, SF, "orders", "events").write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        schema.type_counts(rows).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
