@@ -62,6 +62,10 @@ class Store:
     def ingest_log(self) -> str:
         return f"{self.root}/ingest_log"
 
+    @property
+    def query_log(self) -> str:
+        return f"{self.root}/query_log"
+
     def table_path(self, table_key: str) -> str:
         return table_path(self.tables, table_key)
 
@@ -114,11 +118,13 @@ def ingest(
     store: Store,
     embed: hooks.Embed,
     complete: hooks.Complete | None = None,
+    lenient_prefix: bool = False,
 ) -> Ingested:
     """Find, name, type, store, chunk, embed and index the tables of all files of a folder.
 
     A failed summary stays empty; a failed question prompt fails the run. Everything is
     keyed by file, sheet and row, so running again replaces instead of adding.
+    ``lenient_prefix`` reads leading numbers of texts in number columns.
     """
     started = time.monotonic()
     store.create(spark)
@@ -134,7 +140,7 @@ def ingest(
         tables = tables.join(told.drop("prompt"), "table_key")
     described = written(describe_tables(tables, rows), "described")
 
-    write_tables(rows, described, store.tables)
+    write_tables(rows, described, store.tables, lenient_prefix)
 
     if complete is None:
         described = described.withColumn("hyde", F.lit(""))

@@ -8,7 +8,7 @@ import workbook as wb
 from pyspark.sql import functions as F
 
 from gridloom.operators.hooks import hashed_embedding
-from gridloom.operators.runlog import ingest_metrics
+from gridloom.operators.runlog import ingest_metrics, query_metrics
 from gridloom.plans.answer import answer, search
 from gridloom.plans.ingest import Store, delete_file, ingest
 from gridloom.sources import catalog
@@ -119,6 +119,8 @@ def test_answers(spark, loaded):
     assert got["q2"].route == "text" and got["q2"].answer == "from text" and got["q2"].sql_attempts is None
     assert got["q3"].route == "text" and [a.n_rows for a in got["q3"].sql_attempts] == [0]
     assert len({(s.table_key) for s in got["q2"].sources}) >= 3
+    seen = query_metrics(spark.read.parquet(store.query_log)).first()
+    assert (seen.requests_total, seen.sql_path, seen.text_path) == (3, 1, 2) and seen.mean_ms > 0
     plain = {r.query_id: r for r in answer(spark, store, questions, EMBED).collect()}
     assert {r.route for r in plain.values()} == {"text"} and plain["q1"].answer.count("\n") == 2
 
