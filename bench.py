@@ -23,18 +23,14 @@ HEADLINE = [
     "title_rows_skipped",
     "table_extract",
     "row_chunks",
-    "chunk_ids",
     "summary_prompts",
     "tf_sparse",
     "dense_topk",
     "sparse_topk",
     "hybrid_search",
-    "diversify_hits",
     "validate_sql",
     "index_upsert",
     "run_metrics",
-    "csv_ingest",
-    "streaming_ingest",
 ]
 
 
