@@ -66,28 +66,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def by_groups(batches: Iterator[pa.RecordBatch], keys: list[str], then: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
-    """Call ``then`` with each run of equal keys of a sorted partition; a run may span batches."""
-    held: list[pa.Table] = []
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Each run of equal keys of a sorted partition; a run may span batches."""
+    held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         part = pa.Table.from_batches([batch])
-        if held:
-            part = pa.concat_tables([held.pop(), part]) if len(held) == 1 else pa.concat_tables([*held, part])
-            held = []
+        if held is not None:
+            part = pa.concat_tables([held, part])
         change = np.zeros(part.num_rows, dtype=bool)
         for key in keys:
             values = part[key].combine_chunks().to_numpy(zero_copy_only=False)
             change[1:] |= values[1:] != values[:-1]
         cuts = np.concatenate([[0], np.flatnonzero(change)])
+        part = part.combine_chunks()
         for a, b in zip(cuts[:-1], cuts[1:]):
-            out = then(part.slice(a, b - a).combine_chunks())
-            if out is not None and out.num_rows:
-                yield out
-        held = [part.slice(cuts[-1])]
-    if held:
-        out = then(held[0].combine_chunks())
+            yield part.slice(a, b - a)
+        held = part.slice(cuts[-1])
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def by_groups(batches: Iterator[pa.RecordBatch], keys: list[str], then: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """What ``then`` makes of each group; nothing for None and for empty batches."""
+    for group in groups(batches, keys):
+        out = then(group)
         if out is not None and out.num_rows:
             yield out
 

@@ -20,7 +20,8 @@ TOP, TOP_BYTES = 200_000, 48
 # Filter: bits per training token (a token adds at most one pair, and fewer than half of them
 # are new), never more than MAX_BYTES, which is the bound of what is broadcast.
 BITS_PER_TOKEN, MAX_BYTES, PROBES, BLOCK = 5, 256 << 20, 4, 512
-SMOOTH = 4.0
+# Weight of the pair estimate against the word estimate.
+PAIRS = 0.2
 _START, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _PAIR, _LEVEL = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x2545F4914F6CDD1D)
 
@@ -76,7 +77,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 def _positions(h: np.ndarray, level: int, blocks: int) -> list[np.ndarray]:
     """Bits of an n-gram at a level: its block from its high bits, the places in it from a remix."""
     base = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)) * np.uint64(BLOCK)
-    g = mix64(h ^ (np.uint64(level) * _LEVEL))
+    g = mix64(h ^ (np.full(1, level, dtype=np.uint64) * _LEVEL))
     return [base + ((g >> np.uint64(9 * k)) & np.uint64(BLOCK - 1)) for k in range(PROBES)]
 
 
@@ -153,7 +154,7 @@ def quantised(h: np.ndarray, bits: np.ndarray, blocks: int) -> np.ndarray:
         if not len(left):
             break
         level[left] = q
-    return np.where(level > 0, np.where(level == 1, 1.0, 0.75 * 2.0**level), 0.0)
+    return np.where(level > 0, np.where(level == 1, 1.0, 2.0 ** (level - 0.5)), 0.0)
 
 
 def score_texts(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
@@ -162,7 +163,7 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     Learns from rows whose ``crc32(doc_id) mod fold`` is not ``held``. The base needs exact
     counts: those of the most frequent words are in every task, those of other words are
     joined by word after each text has counted its own. The model is a pair model with
-    ``P(w|h) = (c(h,w) + SMOOTH * P(w)) / (c(h) + SMOOTH)`` and ``P(w) = (c(w)+1)/(N+V+1)``, all
+    ``P(w|h) = PAIRS * c(h,w) / c(h) + (1 - PAIRS) * P(w)`` and ``P(w) = (c(w)+1)/(N+V+1)``, all
     counts read from the filter. A null text is empty: one token, the end. A null doc_id
     counts as the empty id; repeated rows score alike; other columns are not looked at.
     """
@@ -191,7 +192,7 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
                 two = quantised(pair, bits, blocks)
                 before = np.empty_like(one)
                 before[1:], before[starts] = one[:-1], float(max(1, texts))
-                p = (np.minimum(two, before) + SMOOTH * (one + 1) / total) / (before + SMOOTH)
+                p = PAIRS * np.minimum(two, before) / np.maximum(before, 1.0) + (1 - PAIRS) * (one + 1) / total
                 score = np.add.reduceat(np.log10(p), starts) if rows else p
                 c = np.array([known.get(w, 0) for w in words], dtype=np.int64)
                 doc = np.repeat(np.arange(rows), lengths)

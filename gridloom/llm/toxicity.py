@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import pieces, remainder
 
-# Bounds of the labelled sample that the model is fitted on: rows of each label, and code
+# Bounds of the labelled sample that the model is fitted on: toxic and clean texts, and code
 # points of a text that is taken into it.
-SAMPLE, SAMPLE_CHARS = 2_000, 50_000
+SAMPLE, SAMPLE_CHARS = (1_200, 3_000), 12_000
 FEATURES, CHAIN, THRESHOLD = 1 << 17, 64, 0.3
-TOKEN = re.compile(r"\w+")
+TOKEN = re.compile(r"[^\W\d_]+")
 
 
 def _features(word: str) -> list[int]:
@@ -108,14 +108,14 @@ def _token_labels(words: list[list[str]], toxic: np.ndarray) -> np.ndarray:
     """Labels of tokens from labels of documents.
 
     A word, or a beginning of four to six letters, marks a token if it is found in at least
-    one in a hundred toxic documents and at least twenty times as often as in clean ones.
+    one in twenty-five toxic documents and at least thirty times as often as in clean ones.
     """
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     keys = lambda w: (w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k))
     for doc, label in zip(words, toxic):
         seen[int(label)].update({k for w in set(doc) for k in keys(w)})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    marks = {k for k, n in seen[1].items() if n >= max(3, n1 / 100) and (n + 0.5) / n1 >= 20 * (seen[0][k] + 0.5) / n0}
+    marks = {k for k, n in seen[1].items() if n >= max(3, n1 / 25) and (n + 0.5) / n1 >= 30 * (seen[0][k] + 0.5) / n0}
     cache: dict[str, bool] = {}
     flags = []
     for doc, label in zip(words, toxic):
@@ -126,7 +126,7 @@ def _token_labels(words: list[list[str]], toxic: np.ndarray) -> np.ndarray:
     return np.array(flags, dtype=np.float64)
 
 
-def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 6, parts: int = 12, rate: float = 0.1) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 5, parts: int = 10, rate: float = 0.1) -> Model:
     """Fit the field by Adam on the conditional likelihood, then the document calibration."""
     model = Model(np.zeros(FEATURES), np.zeros((2, 2)), -2.0, np.array([-20.0, 0.0, 0.0]), prior)
     words = [TOKEN.findall((t or "").lower()) for t in texts]
@@ -161,9 +161,8 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 6, part
             p = a * b / (1 + a * b)
             error = (p - truth2) * real2
             n = len(at)
-            grad = np.zeros(FEATURES)
             per_word = np.bincount(back, weights=error.T.reshape(-1)[place], minlength=len(used))
-            np.add.at(grad, features[used], per_word[:, None])
+            grad = np.bincount(features[used].reshape(-1), weights=np.repeat(per_word, N_FEATURES), minlength=FEATURES)
             move = np.exp(model.moves)
             joint = np.empty((2, 2))
             left, right = np.stack([np.ones_like(a[:-1]), a[:-1]]), np.stack([np.ones_like(a[1:]), ex[1:] * b[1:]])
@@ -194,8 +193,8 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 6, part
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on at most ``sample`` rows of each label, the first in the order of a hash.
+def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on at most ``sample`` different texts, toxic and clean, the first in the order of a hash.
 
     Rows whose ``crc32(doc_id) mod 4`` is 2 are never looked at. The share of toxic rows comes
     from all labelled rows outside them.
@@ -205,8 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars
     counts = {r[0]: r[1] for r in usable.groupBy(F.col("_toxic") > 0).count().collect()}
     joined = docs.select("doc_id", "text").join(usable, "doc_id").where(F.length("text").between(1, sample_chars))
     rows = []
-    for label in (F.col("_toxic") > 0, F.col("_toxic") <= 0):
-        rows += joined.where(label).orderBy(F.xxhash64("doc_id"), "doc_id", F.md5(F.col("text").cast("binary"))).select("text", "_toxic").limit(sample).collect()
+    for label, most in zip((F.col("_toxic") > 0, F.col("_toxic") <= 0), sample):
+        one = joined.where(label).groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("_toxic").alias("_toxic"))
+        rows += one.orderBy("h").select("text", "_toxic").limit(most).collect()
     prior = counts.get(True, 0) / max(1, sum(counts.values()))
     return fit([r[0] for r in rows], np.array([r[1] > 0 for r in rows], dtype=bool), prior)
 
