@@ -20,7 +20,7 @@ WINDOW = LENGTH - GRAM + 1
 _M = 0x5851F42D4C957F2D
 _INVERSE = pow(_M, -1, 1 << 64)
 # Contexts of one bucket that are compared in one task; larger buckets are dealt out.
-CHUNK = 2_048
+CHUNK = 16_384
 _BYTES = np.random.default_rng(64).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
