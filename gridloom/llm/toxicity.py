@@ -17,7 +17,7 @@ from gridloom.llm.common import pieces, remainder
 
 # Bounds of the labelled sample that the model is fitted on: toxic and clean texts, and code
 # points of a text that is taken into it.
-SAMPLE, SAMPLE_CHARS = (1_200, 3_000), 12_000
+SAMPLE, SAMPLE_CHARS = (1_300, 3_300), 12_000
 FEATURES, CHAIN, THRESHOLD = 1 << 17, 64, 0.3
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -194,7 +194,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 5, part
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on at most ``sample`` different texts, toxic and clean, the first in the order of a hash.
+    """Fit on the texts of at most ``sample`` ids, toxic and clean, the first in the order of a hash.
 
     Rows whose ``crc32(doc_id) mod 4`` is 2 are never looked at. The share of toxic rows comes
     from all labelled rows outside them.
@@ -202,11 +202,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(remainder("doc_id", 4) != 2)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     counts = {r[0]: r[1] for r in usable.groupBy(F.col("_toxic") > 0).count().collect()}
-    joined = docs.select("doc_id", "text").join(usable, "doc_id").where(F.length("text").between(1, sample_chars))
-    rows = []
-    for label, most in zip((F.col("_toxic") > 0, F.col("_toxic") <= 0), sample):
-        one = joined.where(label).groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("_toxic").alias("_toxic"))
-        rows += one.orderBy("h").select("text", "_toxic").limit(most).collect()
+    picked = [
+        usable.where(label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in zip((F.col("_toxic") > 0, F.col("_toxic") <= 0), sample)
+    ]
+    # At most the sum of ``sample`` ids, which bounds what is broadcast.
+    picked = F.broadcast(picked[0].union(picked[1]))
+    joined = docs.select("doc_id", "text").join(picked, "doc_id").where(F.length("text").between(1, sample_chars))
+    rows = {(r[0], r[1]) for r in joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("_toxic")).select("text", "_toxic").toLocalIterator()}
+    rows = sorted(rows)
     prior = counts.get(True, 0) / max(1, sum(counts.values()))
     return fit([r[0] for r in rows], np.array([r[1] > 0 for r in rows], dtype=bool), prior)
 
