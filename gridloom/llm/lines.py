@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import numbered
+from gridloom.llm.common import numbered, pieces
 from gridloom.session import written
 
 RUN = 3
-INK = "[^ \t\n\x0b\f\r]"
+BLANK = " \t\n\x0b\f\r"
+INK = f"[^{BLANK}]"
 
 
 def _min_at(hashes: Column, start: Column, run: int) -> Column:
@@ -32,7 +36,9 @@ def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
     """
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(INK))
     hashes = F.transform(lines, lambda x: F.xxhash64(F.trim(F.regexp_replace(x, r"^[ \t\x0b\f\r]+|[ \t\x0b\f\r]+$", ""))))
-    base = numbered(docs, F.col("doc_id").alias("_id"), hashes.alias("h")).where(F.size("h") >= run)
+    # Written, or the optimiser would push conditions on the windows down to the split text and
+    # hash all lines again for every window.
+    base = written(numbered(docs, F.col("doc_id").alias("_id"), hashes.alias("h")), "line-hashes").where(F.size("h") >= run)
     starts = F.sequence(F.lit(0), F.size("h") - run)
     picked = base.select("_row", "_id", "h", F.explode(F.transform(starts, lambda s: F.struct(_min_at(F.col("h"), s, run), s.alias("s")))).alias("w"))
     # One record per fingerprint line, carrying the windows that chose it.
@@ -56,18 +62,23 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     blank lines is left keeps those.
     """
     own = ("n_lines", "n_deleted")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc"))
-    rows = rows.join(repeated_windows(docs, run), "_row", "left")
-    lines = F.split(F.col("_doc.text"), "\n")
-    rows = rows.select("_doc", "starts", lines.alias("_lines"))
-    inked = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.element_at("_lines", i).rlike(INK))
-    rows = rows.withColumn("_inked", F.when(F.col("_lines").isNull(), F.array().cast("array<int>")).otherwise(inked))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(F.sequence(s, s + (run - 1)), lambda i: F.get("_inked", i)))))
-    rows = rows.withColumn("_gone", F.when(F.col("starts").isNotNull(), gone))
-    left = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_lines")), F.col("_gone")), lambda i: F.element_at("_lines", i))
-    text = F.when(F.col("_gone").isNull(), F.col("_doc.text")).otherwise(F.array_join(left, "\n"))
-    return rows.select(
-        *[text.alias("text") if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns if c not in own],
-        F.size("_inked").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_deleted"),
-    )
+    rest = [c for c in docs.columns if c not in ("text", *own)]
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*rest, F.lit(0).alias("_")).alias("_rest"), "text")
+    rows = rows.join(repeated_windows(docs, run), "_row", "left").select("_rest", "text", "starts")
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                texts, inked, deleted = [], [], []
+                for text, starts in zip(piece["text"].to_pylist(), piece["starts"].to_pylist()):
+                    lines = (text or "").split("\n")
+                    places = [i for i, x in enumerate(lines) if x.strip(BLANK)]
+                    gone = {places[s + k] for s in starts or () for k in range(run)}
+                    texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
+                    inked.append(len(places))
+                    deleted.append(len(gone))
+                yield pa.RecordBatch.from_arrays([piece["_rest"], pa.array(texts, pa.string()), pa.array(inked, pa.int64()), pa.array(deleted, pa.int64())], ["_rest", "text", *own])
+
+    kind = rows.schema["_rest"].dataType.simpleString()
+    out = rows.mapInArrow(delete, f"_rest {kind}, text string, n_lines long, n_deleted long")
+    return out.select(*["text" if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns if c not in own], *own)
