@@ -79,7 +79,8 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
         number = F.when(F.col("_edge") > (bounds[b - 1] if b else -1), b).otherwise(number)
         shards = F.when(F.col("_edge") > (bounds[b - 1] if b else -1), max(1, -(-inside // SHARD))).otherwise(shards)
     boundary = F.get(F.array(*[F.lit(x).cast("long") for x in bounds or [0]]), F.col("_b"))
-    rows = rows.withColumns({"_b": number, "_s": F.pmod(F.col("_h"), shards.cast("long")).cast("int")})
+    # Never null, or the join below would test both for null on the unread text, bucket by bucket.
+    rows = rows.withColumns({"_b": number, "_s": F.coalesce(F.pmod(F.col("_h"), shards.cast("long")).cast("int"), F.lit(0))})
     starts = rows.groupBy("_b", "_s").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("_b", "_s", (F.sum("n").over(Window.partitionBy("_b").orderBy("_s")) - F.col("n")).alias("_start"))
     starts = written(starts, "pack-shards")
