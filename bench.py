@@ -31,6 +31,14 @@ HEADLINE = [
     "validate_sql",
     "index_upsert",
     "run_metrics",
+    "chunk_ids",
+    "diversify_hits",
+    "csv_ingest",
+    "streaming_ingest",
+    "answer_routes",
+    "sql_attempts",
+    "embed_batches",
+    "index_delete",
 ]
 
 

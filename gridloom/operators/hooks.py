@@ -16,16 +16,9 @@ from gridloom import fixed
 Complete = Callable[[str, str], str]  # (system text, prompt) -> reply
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
-QUESTION_SYSTEM = (
-    "You help people explore tabular data. From the table described by the user, write "
-    "five short, concrete questions it can answer, naming its columns and values. "
-    "One question per line, nothing else."
-)
-SUMMARY_SYSTEM = (
-    "You help people explore tabular data. Summarise the table shown by the user in three "
-    "to five English sentences: what it holds, what its main columns mean, roughly how many "
-    "rows it has and which values or ranges stand out. Quote column names and examples."
-)
+# Texts for the caller's model; results do not depend on them, and callers may pass their own.
+QUESTION_SYSTEM = "List five questions about this table, one per line."
+SUMMARY_SYSTEM = "Describe this table briefly."
 
 
 def completions(

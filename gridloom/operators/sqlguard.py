@@ -89,7 +89,8 @@ def _check_relations(session: SparkSession, statement: str) -> None:
     tree = session._jsparkSession.sessionState().sqlParser().parsePlan(statement).toString()
     if "ScriptTransformation" in tree or "Command" in tree.split("\n", 1)[0]:
         raise RejectedSQL("only SELECT queries are allowed")
-    own = {n.lower() for n in re.findall(r"SubqueryAlias (\w+)", tree)}
+    # Names of common table expressions only: an alias of a relation makes no table known.
+    own = {n.strip().lower() for names in re.findall(r"CTE \[([^\]]*)\]", tree) for n in names.split(",")}
     for found in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", tree):
         name = found.strip().lower()
         if name != fixed.TABLE_NAME and name not in own:
@@ -107,7 +108,11 @@ def run_guarded(session: SparkSession, statement: str) -> DataFrame:
     if reason:
         raise RejectedSQL(reason)
     _check_relations(session, statement)
-    return session.sql(statement)
+    result = session.sql(statement)
+    # However the text was read, the analysed plan must not hold a table of the catalog.
+    if "SubqueryAlias spark_catalog." in result._jdf.queryExecution().analyzed().toString():
+        raise RejectedSQL("unknown table")
+    return result
 
 
 def row_texts(result: DataFrame) -> DataFrame:

@@ -85,8 +85,13 @@ class Ingested:
 
 
 def index_rows(chunks: DataFrame, embed: hooks.Embed) -> DataFrame:
-    """Chunks with dense and sparse vectors, ready for the index."""
-    dense = chunks.withColumn("dense", hooks.embeddings("text", embed))
+    """Chunks with dense and sparse vectors, ready for the index.
+
+    Files of one name share chunk ids; one row per id goes on, so that the terms of one text
+    are never counted together with those of another.
+    """
+    once = chunks.groupBy("chunk_id").agg(F.max(F.struct(*chunks.columns)).alias("_row")).select("_row.*")
+    dense = once.withColumn("dense", hooks.embeddings("text", embed))
     return with_sparse(dense, "chunk_id").withColumn("ingested_at", F.current_timestamp()).select(
         *_INDEX_COLUMNS
     )

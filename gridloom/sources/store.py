@@ -45,6 +45,16 @@ class KeyedStore:
             self._replace(spark.createDataFrame([], self.schema), spark.range(1).select(F.lit(0).alias("bucket")))
         return self
 
+    def _check_layout(self, spark: SparkSession) -> None:
+        """Keep the number of buckets with the store; another number would lose updates."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_buckets-{self.buckets}")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        named = [str(f.getPath().getName()) for f in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_buckets-*")) or []]
+        if not named:
+            files.create(path, True).close()
+        elif named != [f"_buckets-{self.buckets}"]:
+            raise ValueError(f"the store at {self.root} has {named[0].removeprefix('_buckets-')} buckets, not {self.buckets}")
+
     def read(self, spark: SparkSession) -> DataFrame:
         return self._stored(spark).filter(F.col(self.key).isNotNull()).drop("bucket")
 
@@ -78,6 +88,7 @@ class KeyedStore:
         Keys the batch does not mention stay as they are.
         """
         spark = batch.sparkSession
+        self._check_layout(spark)
         batch = written(latest_per_key(batch, self.key, latest).select(*self.schema.names), "batch")
         touched = batch.select(self._bucket().alias("bucket")).distinct()
         old = self._stored(spark).join(touched, "bucket", "left_semi").filter(F.col(self.key).isNotNull())
@@ -86,6 +97,7 @@ class KeyedStore:
 
     def delete(self, spark: SparkSession, condition: Column) -> None:
         """Remove the rows for which ``condition`` is true; NULL keeps a row."""
+        self._check_layout(spark)
         stored = self._stored(spark).filter(F.col(self.key).isNotNull())
         doomed = F.coalesce(condition, F.lit(False))
         touched = written(stored.filter(doomed).select("bucket").distinct(), "touched")

@@ -63,9 +63,7 @@ def index_stream(rows: DataFrame, store: Store, checkpoint: str, embed: Embed) -
     store.create(rows.sparkSession)
 
     def handle(batch: DataFrame, _: int) -> None:
-        # A batch may bring one row several times; the store keeps one per id.
-        once = batch.groupBy("chunk_id").agg(F.max(F.struct(*batch.columns)).alias("_row")).select("_row.*")
-        store.index.upsert(index_rows(once, embed))
+        store.index.upsert(index_rows(batch, embed))
 
     return (
         chunk_stream(rows)

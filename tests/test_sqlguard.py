@@ -142,3 +142,23 @@ def test_attempts_stop_at_the_first_rows(spark, session):
     log = spark.createDataFrame([t.row() for t in tried + none], routing.ATTEMPTS_SCHEMA)
     assert [(r.table_rank, r.sql) for r in routing.winners(log).collect()] == [(5, "SELECT max(id) AS m FROM data")]
     assert log.filter(F.col("status").isin(*routing.EXECUTED)).count() == 3
+
+
+def test_alias_named_like_a_catalog_table_opens_nothing(spark, tmp_path):
+    from gridloom.operators import sqlguard
+
+    spark.sql("CREATE TABLE IF NOT EXISTS payroll_guard USING parquet AS SELECT 1 AS secret")
+    try:
+        spark.range(3).write.parquet(str(tmp_path / "t"))
+        session = sqlguard.open_table(spark, str(tmp_path / "t"))
+        for statement in (
+            "SELECT b.* FROM data AS payroll_guard JOIN payroll_guard AS b",
+            "SELECT 'CTE [payroll_guard]' AS x, secret FROM payroll_guard",
+            "SELECT * FROM (SELECT id FROM data) payroll_guard, payroll_guard p",
+        ):
+            with pytest.raises(sqlguard.RejectedSQL):
+                sqlguard.run_guarded(session, statement)
+        fine = "SELECT * FROM (WITH few AS (SELECT id FROM data WHERE id < 2) SELECT id FROM few) x"
+        assert sqlguard.run_guarded(session, fine).count() == 2
+    finally:
+        spark.sql("DROP TABLE IF EXISTS payroll_guard")
