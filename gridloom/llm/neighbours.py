@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_groups
+from gridloom.llm.common import groups
 from gridloom.session import written
 
 # The partitioning is learned on at most SAMPLE vectors; a partition holds about SIZE different
@@ -200,7 +200,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TA
     meeting = candidates.union(routed).repartition("part", "chunk").sortWithinPartitions("part", "chunk", "side")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(group: pa.Table) -> pa.RecordBatch | None:
+        def one(group: pa.Table) -> tuple[np.ndarray, ...] | None:
             side = group["side"].to_numpy()
             at = int(np.searchsorted(side, 1))
             if at in (0, len(side)):
@@ -219,14 +219,32 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TA
                 n = (bounds[1:] - bounds[:-1])[col]
                 row, start, exact = np.repeat(row, n), np.repeat(bounds[col] - (np.cumsum(n) - n), n), np.repeat(score[row, col], n)
                 out.append((asked[a - at + row], flat[start + np.arange(len(row))], exact))
-            q, i, s = (np.concatenate(x) for x in zip(*out))
+            return best_of(*(np.concatenate(x) for x in zip(*out)))
+
+        def best_of(q: np.ndarray, i: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
             order = np.lexsort((i, -s, q))
             q, i, s = q[order], i[order], s[order]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = rank <= k
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (q, i, s)], ["q", "vec_id", "score"])
-
-        yield from by_groups(batches, ["part", "chunk"], one)
+            keep = np.arange(len(q)) - np.searchsorted(q, q) <= k
+            return q[keep], i[keep], s[keep]
+
+        # What a task has found for a query is merged before it is sent on.
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+        for group in groups(batches, ["part", "chunk"]):
+            found = one(group)
+            if found is None:
+                continue
+            held.append(found)
+            rows += len(found[0])
+            if rows > 500_000:
+                held = [best_of(*(np.concatenate(x) for x in zip(*held)))]
+                rows = len(held[0][0])
+                if rows > 250_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["q", "vec_id", "score"])
+                    held, rows = [], 0
+        if held:
+            merged = best_of(*(np.concatenate(x) for x in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged], ["q", "vec_id", "score"])
 
     found = meeting.mapInArrow(search, "q long, vec_id long, score double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
