@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import fixed
-from gridloom.operators.sqlguard import RejectedSQL, open_table, prompt_table, run_guarded
+from gridloom.operators.sqlguard import RejectedSQL, open_table, run_guarded, shown_rows
 
 ATTEMPTS_SCHEMA = (
     "query_id string, table_rank int, table_key string, sql string, status string, "
@@ -53,10 +53,9 @@ def attempt(spark: SparkSession, candidate: Row, path_of: Callable[[str], str])
         return Attempt(*base, status="skipped")
     try:
         result = run_guarded(open_table(spark, path_of(candidate["table_key"])), statement)
-        shown = prompt_table(result)
-        if shown == fixed.NO_ROWS_TEXT:
+        shown, rows = shown_rows(result)
+        if not rows:
             return Attempt(*base, status="empty", n_rows=0, rows_json="[]")
-        rows = [r[0] for r in result.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
         return Attempt(
             *base, status="rows", n_rows=len(rows), rows_json="[" + ",".join(rows) + "]", shown=shown
         )

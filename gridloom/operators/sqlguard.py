@@ -117,11 +117,13 @@ def run_guarded(session: SparkSession, statement: str) -> DataFrame:
 
 def row_texts(result: DataFrame) -> DataFrame:
     """Every result row as one text line, columns by name; stays distributed."""
-    return result.select(
-        F.concat_ws(
-            fixed.PAIR_SEPARATOR,
-            *[value_text(F.col(f"`{c}`"), result.schema[c].dataType) for c in sorted(result.columns)],
-        ).alias("text")
+    return result.select(_row_text(result).alias("text"))
+
+
+def _row_text(result: DataFrame) -> Column:
+    return F.concat_ws(
+        fixed.PAIR_SEPARATOR,
+        *[value_text(F.col(f"`{c}`"), result.schema[c].dataType) for c in sorted(result.columns)],
     )
 
 
@@ -133,7 +135,19 @@ def header_texts(result: DataFrame) -> tuple[str, str]:
 
 def prompt_table(result: DataFrame) -> str:
     """A whole result as the text a prompt shows."""
-    lines = [r["text"] for r in row_texts(result).limit(MAX_PROMPT_ROWS + 1).collect()]
-    if len(lines) > MAX_PROMPT_ROWS:
-        raise ValueError("the result is too long to be shown in a prompt")
-    return "\n".join([*header_texts(result), *lines]) if lines else fixed.NO_ROWS_TEXT
+    return shown_rows(result)[0]
+
+
+def shown_rows(result: DataFrame) -> tuple[str, list[str]]:
+    """A whole result as the text a prompt shows and as JSON objects, of one execution.
+
+    A result too long for a prompt is a rejected statement, so that it ends its own attempt
+    and not the batch.
+    """
+    record = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    rows = result.select(_row_text(result).alias("text"), record.alias("json")).limit(MAX_PROMPT_ROWS + 1).collect()
+    if len(rows) > MAX_PROMPT_ROWS:
+        raise RejectedSQL("the result is too long to be shown in a prompt")
+    lines = [r["text"] for r in rows]
+    shown = "\n".join([*header_texts(result), *lines]) if lines else fixed.NO_ROWS_TEXT
+    return shown, [r["json"] for r in rows]

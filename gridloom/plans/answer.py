@@ -85,6 +85,8 @@ def answer(
 ) -> DataFrame:
     """``(query_id, answer, route, sources, sql_attempts)`` of every question.
 
+    A question without hits or without executed statements has empty arrays.
+
     ``questions(query_id string, question string, top_k int)``; a missing or non-positive
     ``top_k`` means 10. The result is written once, so looking at it again does not call
     the model again, and the run is added to the query log (time split evenly).
@@ -165,8 +167,7 @@ def answer(
             "query_id",
             F.coalesce("reply", "text_reply", F.lit(fixed.NO_HITS_ANSWER)).alias("answer"),
             "route",
-            "sources",
-            "sql_attempts",
+            *[F.coalesce(c, F.array().cast(t[c].dataType)).alias(c) for c, t in (("sources", listed.schema), ("sql_attempts", ran.schema))],
         ),
         "answers",
     )

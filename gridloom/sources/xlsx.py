@@ -11,8 +11,9 @@ import datetime as dt
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -43,6 +44,10 @@ BUILTIN_DATES = {
     47: "mm:ss.0",
 }
 
+# Plain number formats that have a number instead of a text.
+BUILTIN_NUMBERS = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%"}
+NUMBER_FORMAT = re.compile(r"(#,##)?0(\.0+)?(%)?")
+
 
 def column_number(ref: str) -> int:
     n = 0
@@ -66,15 +71,17 @@ def _area(ref: str) -> list[int]:
 
 def date_text(serial: float, pattern: str) -> str:
     """A day serial in a date/time pattern of y, m, d, h, s letters."""
-    moment = dt.datetime(1899, 12, 30) + dt.timedelta(seconds=round(serial * 86400))
+    elapsed = round(serial * 86400)
+    moment = dt.datetime(1899, 12, 30) + dt.timedelta(seconds=elapsed)
     out, clock_seen = [], False
     half_day = "am/pm" in pattern.lower()
-    for token in re.findall(r"am/pm|y+|m+|d+|h+|s+|\\.|\"[^\"]*\"|\[[^\]]*\]|.", pattern.lower()):
+    tokens = re.findall(r"am/pm|y+|m+|d+|h+|s+|\\.|\"[^\"]*\"|\[[^\]]*\]|.", pattern.lower())
+    for i, token in enumerate(tokens):
         head, n = token[0], len(token)
         if token == "am/pm":
             out.append("AM" if moment.hour < 12 else "PM")
-        elif token in ("[h]", "[hh]"):
-            out.append(str(int(serial * 24)))
+        elif re.fullmatch(r"\[(h+|m+|s+)\]", token):
+            out.append(f"{elapsed // {'h': 3600, 'm': 60, 's': 1}[token[1]]:0{n - 2}d}")
             clock_seen = True
         elif head == "y":
             out.append(f"{moment.year:04d}" if n > 2 else f"{moment.year % 100:02d}")
@@ -87,7 +94,9 @@ def date_text(serial: float, pattern: str) -> str:
         elif head == "s":
             out.append(f"{moment.second:0{n}d}")
         elif head == "m":
-            value = moment.minute if clock_seen and n <= 2 else moment.month
+            # Minutes stand after hours or before seconds.
+            following = next((t[0] for t in tokens[i + 1 :] if t[0] in "ymdhs" or t in ("[s]", "[ss]")), "")
+            value = moment.minute if n <= 2 and (clock_seen or following in ("s", "[")) else moment.month
             names = {3: moment.strftime("%b"), 4: moment.strftime("%B")}
             out.append(names.get(n) or f"{value:0{n}d}")
         elif head == "\\":
@@ -111,8 +120,16 @@ def number_text(raw: str) -> str:
     return text[:-2] if text.endswith(".0") else text
 
 
-def _date_formats(book: zipfile.ZipFile) -> list[str | None]:
-    """Per cell style: the date pattern, or None for anything else."""
+def formatted_number(raw: str, pattern: str) -> str:
+    """A stored number in a format of digits, thousands, decimals and percent."""
+    group, decimals, percent = NUMBER_FORMAT.fullmatch(pattern).groups()
+    value = Decimal(repr(float(raw))) * (100 if percent else 1)
+    value = value.quantize(Decimal(1).scaleb(1 - len(decimals or ".")), ROUND_HALF_UP)
+    return format(value if value else abs(value), ",f" if group else "f") + (percent or "")
+
+
+def _cell_formats(book: zipfile.ZipFile) -> list[str | None]:
+    """Per cell style: the date pattern or plain number format, or None for anything else."""
     if "xl/styles.xml" not in book.namelist():
         return []
     root = ElementTree.fromstring(book.read("xl/styles.xml"))
@@ -123,7 +140,8 @@ def _date_formats(book: zipfile.ZipFile) -> list[str | None]:
         fmt = int(xf.get("numFmtId", "0"))
         pattern = custom.get(fmt, "").split(";")[0]
         bare = re.sub(r"\"[^\"]*\"|\\.|\[[^\]]*\]", "", pattern).lower()
-        out.append(BUILTIN_DATES.get(fmt) or (pattern if re.search(r"[ymdhs]", bare) and "0" not in bare else None))
+        shown = NUMBER_FORMAT.fullmatch(pattern) or (re.search(r"[ymdhs]", bare) and "0" not in bare.replace("s.0", "s"))
+        out.append(BUILTIN_DATES.get(fmt) or BUILTIN_NUMBERS.get(fmt) or (pattern if shown else None))
     return out
 
 
@@ -141,7 +159,7 @@ def _shared_strings(book: zipfile.ZipFile) -> list[str]:
     return out
 
 
-def _cell_text(cell, strings: list[str], dates: list[str | None]) -> str:
+def _cell_text(cell, strings: list[str], formats: list[str | None]) -> str:
     kind = cell.get("t", "n")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
@@ -155,8 +173,13 @@ def _cell_text(cell, strings: list[str], dates: list[str | None]) -> str:
     if kind != "n":
         return raw
     style = int(cell.get("s", "0"))
-    pattern = dates[style] if style < len(dates) else None
-    return date_text(float(raw), pattern) if pattern else number_text(raw)
+    pattern = formats[style] if style < len(formats) else None
+    try:
+        if pattern and NUMBER_FORMAT.fullmatch(pattern):
+            return formatted_number(raw, pattern)
+        return date_text(float(raw), pattern) if pattern else number_text(raw)
+    except (OverflowError, ArithmeticError):  # no such day, or too many digits
+        return number_text(raw)
 
 
 def _sheet_parts(book: zipfile.ZipFile) -> list[tuple[str, str]]:
@@ -175,7 +198,7 @@ def _sheet_parts(book: zipfile.ZipFile) -> list[tuple[str, str]]:
 def sheet_records(content: bytes) -> Iterator[tuple]:
     """``(sheet, r, cells, merge)`` of one workbook: its rows, and its merge ranges (r = -1)."""
     book = zipfile.ZipFile(io.BytesIO(content))
-    strings, dates = _shared_strings(book), _date_formats(book)
+    strings, formats = _shared_strings(book), _cell_formats(book)
     for name, part in _sheet_parts(book):
         next_row = 0
         with book.open(part) as stream:
@@ -186,7 +209,7 @@ def sheet_records(content: bytes) -> Iterator[tuple]:
                     cells: list[str] = []
                     for cell in node.iter(f"{MAIN}c"):
                         at = column_number(cell.get("r")) if cell.get("r") else len(cells)
-                        text = _cell_text(cell, strings, dates)
+                        text = _cell_text(cell, strings, formats)
                         if text:
                             cells.extend([""] * (at - len(cells)))
                             cells.append(text)
@@ -208,7 +231,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if len(rows) == BATCH_ROWS:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError) as e:
+            except (zipfile.BadZipFile, zlib.error, EOFError, KeyError, ElementTree.ParseError, ValueError, IndexError) as e:
                 rows.append((path, None, -1, None, None, f"open xlsx: {e}"))
             if rows:
                 yield pd.DataFrame(rows, columns=columns)

@@ -116,7 +116,7 @@ def test_answers(spark, loaded):
     head, rule, *rows = got["q1"].answer.removeprefix("from rows: ").split("/")
     assert (head, rule, sorted(rows)) == ("mean | region", "-" * 13, ["20 | South", "6 | North"])
     assert [a.n_rows for a in got["q1"].sql_attempts] == [2] and len(got["q1"].sources) == 5
-    assert got["q2"].route == "text" and got["q2"].answer == "from text" and got["q2"].sql_attempts is None
+    assert got["q2"].route == "text" and got["q2"].answer == "from text" and got["q2"].sql_attempts == []
     assert got["q3"].route == "text" and [a.n_rows for a in got["q3"].sql_attempts] == [0]
     assert len({(s.table_key) for s in got["q2"].sources}) >= 3
     seen = query_metrics(spark.read.parquet(store.query_log)).first()
@@ -136,7 +136,7 @@ def test_no_hits(spark, tmp_path):
     store = Store(str(tmp_path / "none"), 2, 2).create(spark)
     asked = spark.createDataFrame([("q", "anything")], "query_id string, question string")
     got = answer(spark, store, asked, EMBED, MODEL).first()
-    assert got.answer == "No relevant data found." and got.route == "none" and got.sources is None
+    assert got.answer == "No relevant data found." and got.route == "none" and got.sources == []
 
 
 def test_repeat_then_delete(spark, tmp_path):

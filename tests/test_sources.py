@@ -180,3 +180,13 @@ def test_catalog_json_skips_unreadable(spark, tmp_path):
     records = catalog.read_json_records(spark, str(folder))
     assert [(r.id, r.filename) for r in records.select("id", "filename").collect()] == [("a", "a.csv")]
     assert catalog.file_schema(records).count() == 0
+
+
+def test_shown_numbers_and_times():
+    from gridloom.sources.xlsx import date_text, formatted_number
+
+    at = 45000 + (12 * 3600 + 30 * 60 + 23) / 86400
+    assert [date_text(at, p) for p in ("mm:ss", "hh:mm:ss", "m/d/yy hh:mm", "mm-dd-yy")] == ["30:23", "12:30:23", "3/15/23 12:30", "03-15-23"]
+    assert [date_text(1.5, p) for p in ("[h]:mm:ss", "[mm]:ss")] == ["36:00:00", "2160:00"]
+    shown = [formatted_number(*x) for x in (("0.15", "0%"), ("1234.5", "#,##0"), ("0.1234", "0.00%"), ("-0.001", "0.0"), ("2.5", "0"))]
+    assert shown == ["15%", "1,235", "12.34%", "0.0", "3"]

@@ -162,3 +162,11 @@ def test_alias_named_like_a_catalog_table_opens_nothing(spark, tmp_path):
         assert sqlguard.run_guarded(session, fine).count() == 2
     finally:
         spark.sql("DROP TABLE IF EXISTS payroll_guard")
+
+
+def test_too_long_a_result_is_a_rejected_statement(spark, monkeypatch):
+    monkeypatch.setattr(sqlguard, "MAX_PROMPT_ROWS", 3)
+    with pytest.raises(sqlguard.RejectedSQL):
+        sqlguard.shown_rows(spark.range(4))
+    shown, rows = sqlguard.shown_rows(spark.range(3).coalesce(1))
+    assert shown.split("\n")[2:] == ["0", "1", "2"] and rows == ['{"id":0}', '{"id":1}', '{"id":2}']
