@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -75,15 +76,28 @@ def embeddings(text: Column | str, embed: Embed) -> Column:
 
 
 def hashed_embedding(dims: int = 64) -> Embed:
-    """A deterministic local stand-in for a model: signed hashing of white-space words."""
+    """A deterministic local stand-in for a model: signed hashing of lower-case words.
+
+    A word adds 1 or -1, by the ninth hex digit of its md5, at the first eight digits modulo
+    ``dims``; vectors are scaled to length 1. Case and white space are those of ASCII.
+    """
+    seen: dict[bytes, tuple[int, float]] = {}
+
+    def place(word: bytes) -> tuple[int, float]:
+        if word not in seen:
+            if len(seen) > 100_000:
+                seen.clear()
+            digits = hashlib.md5(word).hexdigest()
+            seen[word] = (int(digits[:8], 16) % dims, 1.0 if int(digits[8], 16) % 2 else -1.0)
+        return seen[word]
 
     def embed(texts: Sequence[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
             v = np.zeros(dims)
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                v[h % dims] += 1.0 if (h >> 32) & 1 else -1.0
+            for word, n in Counter(text.encode().lower().split()).items():
+                at, sign = place(word)
+                v[at] += n * sign
             norm = np.sqrt((v * v).sum())
             out.append(v / norm if norm else v)
         return out

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridloom import fixed
 
 SCORE_DIGITS = 6
-# Question vectors held by one task at a time; more questions mean more passes.
-QUERY_BLOCK = 1024
+# Questions held by one task at a time, and rows scored at once; more questions mean more passes.
+QUERY_BLOCK, SLICE = 8192, 1024
 
 
 def _best(df: DataFrame, limit: int | Column, id_col: str = "chunk_id") -> DataFrame:
@@ -28,34 +32,88 @@ def _best(df: DataFrame, limit: int | Column, id_col: str = "chunk_id") -> DataF
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def _top_in_task(ids: list, matrix: np.ndarray, limit: int, id_col: str):
-    """Batches of vectors to this task's best rows per question, same order as ``_best``."""
+class _Best:
+    """A task's best rows of every question, in the order of ``_best``."""
+
+    def __init__(self, questions: int, limit: int) -> None:
+        self.limit = limit
+        self.floor = np.full(questions, -np.inf)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.rows, self.room = 0, max(500_000, 2 * questions * limit)
+
+    def add(self, question: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
+        """Rows that reach what their question's last kept row has; the others are out."""
+        near = score >= self.floor[question]
+        self.held.append((question[near], score[near], key[near]))
+        self.rows += int(near.sum())
+        if self.rows > self.room:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, ...] | None:
+        if not self.held:
+            return None
+        question, score, key = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((key, -score, question))
+        question, score, key = question[order], score[order], key[order]
+        place = np.arange(len(question)) - np.searchsorted(question, question)
+        kept = place < self.limit
+        last = place == self.limit - 1
+        self.floor[question[last]] = score[last]
+        self.held, self.rows = [(question[kept], score[kept], key[kept])], int(kept.sum())
+        return self.held[0]
+
+    def frame(self, ids: np.ndarray, id_col: str) -> Iterator[pd.DataFrame]:
+        found = self.merge()
+        if found is not None and len(found[0]):
+            yield pd.DataFrame({"query_id": ids[found[0]], id_col: found[2], "score": found[1]})
+
+
+def _names(rows: list) -> np.ndarray:
+    """Question ids as they are, whatever their type."""
+    out = np.empty(len(rows), dtype=object)
+    out[:] = [r["query_id"] for r in rows]
+    return out
+
+
+def _blocks(questions: DataFrame) -> Iterator[list]:
+    """Questions in blocks of about ``QUERY_BLOCK`` by a hash of id and contents."""
+    total = questions.count()
+    blocks = math.ceil(total / QUERY_BLOCK)
+    for b in range(blocks):
+        yield questions.where(F.pmod(F.xxhash64(*questions.columns), F.lit(blocks)) == b).collect()
+
+
+def _result(queries: DataFrame, corpus: DataFrame, id_col: str) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField(id_col, corpus.schema[id_col].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+
+
+def _passes(spark: SparkSession, parts: list[DataFrame], schema: T.StructType, limit: int, id_col: str) -> DataFrame:
+    return _best(reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema), limit, id_col)
+
+
+def _dense_in_task(ids: np.ndarray, matrix: np.ndarray, limit: int, id_col: str):
+    """Batches of vectors to this task's best rows per question."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list = [None] * len(ids)
+        best = _Best(len(ids), limit)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            vectors = np.stack(pdf["dense"].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(vectors, axis=1)
-            norms[norms == 0] = 1.0
-            scores = np.round((vectors @ matrix.T) / norms[:, None], SCORE_DIGITS) + 0.0
-            keys = pdf[id_col].to_numpy()
-            for q in range(len(ids)):
-                column = scores[:, q]
-                if len(column) > limit:
-                    floor = np.partition(column, len(column) - limit)[len(column) - limit]
-                    kept = np.flatnonzero(column >= floor)
-                else:
-                    kept = np.arange(len(column))
-                found, named = column[kept], keys[kept]
-                if best[q] is not None:
-                    found, named = np.concatenate([best[q][0], found]), np.concatenate([best[q][1], named])
-                order = np.lexsort((named, -found))[:limit]
-                best[q] = (found[order], named[order])
-        for q, found in enumerate(best):
-            if found is not None:
-                yield pd.DataFrame({"query_id": ids[q], id_col: found[1], "score": found[0]})
+            for start in range(0, len(pdf), SLICE):
+                part = pdf.iloc[start : start + SLICE]
+                vectors = np.stack(part["dense"].to_numpy()).astype(np.float64)
+                norms = np.linalg.norm(vectors, axis=1)
+                norms[norms == 0] = 1.0
+                scores = np.round((vectors @ matrix.T) / norms[:, None], SCORE_DIGITS) + 0.0
+                if len(part) > limit:
+                    best.floor = np.maximum(best.floor, np.partition(scores, len(part) - limit, axis=0)[len(part) - limit])
+                row, question = np.nonzero(scores >= best.floor)
+                best.add(question, scores[row, question], part[id_col].to_numpy()[row])
+        yield from best.frame(ids, id_col)
 
     return run
 
@@ -64,41 +122,72 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, limit: int, id_col: str =
     """Exact cosine top ``limit``: ``corpus(id, dense)`` against ``queries(query_id, dense)``.
 
     The corpus never shuffles: each task scores its own batches as a matrix product and
-    emits its best rows per question. Question vectors travel to the tasks at most
-    ``QUERY_BLOCK`` at a time; a longer question list is hashed into blocks, one pass of
-    the corpus per block, so neither driver nor task holds more than one block.
+    emits its best rows per question. Questions travel to the tasks in blocks of about
+    ``QUERY_BLOCK``, one pass of the corpus for each block, so that neither driver nor task
+    holds more than one block.
     """
-    total = queries.count()
-    blocks = max(1, math.ceil(total / (QUERY_BLOCK * 0.75))) if total > QUERY_BLOCK else 1
-    schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField(id_col, corpus.schema[id_col].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    schema = _result(queries, corpus, id_col)
     lean = corpus.select(id_col, "dense").filter(F.col("dense").isNotNull())
     parts = []
-    for b in range(blocks):
-        part = queries.select("query_id", "dense")
-        if blocks > 1:
-            part = part.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        block = part.limit(2 * QUERY_BLOCK).collect()
-        if len(block) == 2 * QUERY_BLOCK:
-            raise ValueError("question ids are not distinct enough to be split into blocks")
+    for block in _blocks(queries.select("query_id", "dense").distinct()):
         if not block:
             continue
         matrix = np.array([r["dense"] for r in block], dtype=np.float64)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = matrix / np.where(norms == 0, 1.0, norms)
-        parts.append(lean.mapInPandas(_top_in_task([r["query_id"] for r in block], matrix, limit, id_col), schema))
-    if not parts:
-        scored = queries.sparkSession.createDataFrame([], schema)
-    else:
-        scored = parts[0]
-        for more in parts[1:]:
-            scored = scored.unionAll(more)
-    return _best(scored, limit, id_col)
+        parts.append(lean.mapInPandas(_dense_in_task(_names(block), matrix, limit, id_col), schema))
+    return _passes(queries.sparkSession, parts, schema, limit, id_col)
+
+
+def _sparse_in_task(ids: np.ndarray, terms: np.ndarray, of: np.ndarray, tf: np.ndarray, sizes: np.ndarray, limit: int, id_col: str, layout: pa.Schema):
+    """Batches of stored vectors to this task's best rows per question; terms are sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(len(ids), limit)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                stored = part["sparse"]
+                row = np.repeat(np.arange(part.num_rows), np.asarray(pc.fill_null(pc.list_value_length(stored), 0)))
+                flat = stored.flatten()
+                idx, times = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("idx", "tf"))
+                lo, n = np.searchsorted(terms, idx), np.searchsorted(terms, idx, "right")
+                n -= lo
+                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pair = np.repeat(row, n) * len(ids) + of[at]
+                pair, inverse = np.unique(pair, return_inverse=True)
+                dot = np.bincount(inverse, weights=np.repeat(times, n) * tf[at], minlength=len(pair))
+                row, question = pair // len(ids), pair % len(ids)
+                size = part["n_terms"].to_numpy(zero_copy_only=False)[row] * sizes[question]
+                score = np.floor(dot / size * 10**SCORE_DIGITS + 0.5) / 10**SCORE_DIGITS
+                best.add(question, score, part[id_col].to_numpy(zero_copy_only=False)[row])
+        for pdf in best.frame(ids, id_col):
+            yield pa.RecordBatch.from_pandas(pdf, schema=layout, preserve_index=False)
+
+    return run
+
+
+def stored_sparse_topk(index: DataFrame, query_postings: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
+    """The top ``limit`` of ``sparse_topk`` over ``index(id, sparse, n_terms)`` as it is stored.
+
+    A stored row has all its terms, so each task scores its own rows against a block of
+    questions and emits its best; nothing of the index is exchanged.
+    """
+    asked = query_postings.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "tf"))).alias("items"), F.max("n_terms").alias("n_terms")
+    )
+    schema = _result(query_postings, index, id_col)
+    layout = to_arrow_schema(schema)
+    lean = index.select(id_col, "sparse", "n_terms").filter(F.size("sparse") > 0)
+    parts = []
+    for block in _blocks(asked):
+        flat = sorted((i["idx"], q, i["tf"]) for q, r in enumerate(block) for i in r["items"])
+        if not flat:
+            continue
+        terms, of, tf = (np.array(x, dtype=np.int64) for x in zip(*flat))
+        sizes = np.array([r["n_terms"] for r in block], dtype=np.int64)
+        parts.append(lean.mapInArrow(_sparse_in_task(_names(block), terms, of, tf, sizes, limit, id_col, layout), schema))
+    return _passes(index.sparkSession, parts, schema, limit, id_col)
 
 
 def sparse_topk(

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import fixed
-from gridloom.operators.sqlguard import RejectedSQL, open_table, run_guarded, shown_rows
+from gridloom.operators.sqlguard import RejectedSQL, header_texts, open_table, run_guarded, shown_rows
+from gridloom.session import fresh_path
 
 ATTEMPTS_SCHEMA = (
     "query_id string, table_rank int, table_key string, sql string, status string, "
-    "n_rows bigint, rows_json string, detail string"
+    "n_rows bigint, detail string"
 )
+RESULT_ROWS = "query_id string, table_rank int, head string, row_no bigint, text string, json string"
 # Statements that ran are recorded, with or without rows.
 EXECUTED = ("rows", "empty")
 
@@ -28,9 +30,8 @@ class Attempt:
     sql: str | None
     status: str  # no_schema, skipped, rejected, failed, empty, rows
     n_rows: int | None = None
-    rows_json: str | None = None
     detail: str | None = None
-    shown: str | None = None
+    rows_path: str | None = None  # where the rows of the result are
 
     def row(self) -> tuple:
         return (
@@ -40,25 +41,26 @@ class Attempt:
             self.sql,
             self.status,
             self.n_rows,
-            self.rows_json,
             self.detail,
         )
 
 
 def attempt(spark: SparkSession, candidate: Row, path_of: Callable[[str], str]) -> Attempt:
-    """Try one candidate statement ``(query_id, table_rank, table_key, sql)`` on its table."""
+    """Try one candidate statement ``(query_id, table_rank, table_key, sql)`` on its table.
+
+    It runs once: its rows are written where it found them, and only their number comes back.
+    """
     base = (candidate["query_id"], candidate["table_rank"], candidate["table_key"], candidate["sql"])
     statement = candidate["sql"] or ""
     if statement.lower() == fixed.IRRELEVANT_REPLY:
         return Attempt(*base, status="skipped")
     try:
         result = run_guarded(open_table(spark, path_of(candidate["table_key"])), statement)
-        shown, rows = shown_rows(result)
-        if not rows:
-            return Attempt(*base, status="empty", n_rows=0, rows_json="[]")
-        return Attempt(
-            *base, status="rows", n_rows=len(rows), rows_json="[" + ",".join(rows) + "]", shown=shown
-        )
+        path = fresh_path(spark, "result-rows")
+        named = [F.lit(base[0]).alias("query_id"), F.lit(base[1]).cast("int").alias("table_rank"), F.lit("\n".join(header_texts(result))).alias("head")]
+        shown_rows(result).select(*named, "row_no", "text", "json").write.parquet(path)
+        n = spark.read.schema(RESULT_ROWS).parquet(path).count()
+        return Attempt(*base, status="rows" if n else "empty", n_rows=n, rows_path=path)
     except RejectedSQL as e:
         return Attempt(*base, status="rejected", detail=str(e))
     except PySparkException as e:
@@ -80,6 +82,23 @@ def first_rows(
     return tried
 
 
+def result_rows(spark: SparkSession, attempts: Iterable[Attempt]) -> DataFrame:
+    """The rows of all results, in one scan."""
+    paths = [a.rows_path for a in attempts if a.rows_path]
+    return spark.read.schema(RESULT_ROWS).parquet(*paths) if paths else spark.createDataFrame([], RESULT_ROWS)
+
+
+def attempt_log(spark: SparkSession, attempts: Iterable[Attempt]) -> DataFrame:
+    """Every attempt, with the rows of its result as one JSON array where it ran."""
+    attempts = list(attempts)
+    records = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "json"))), lambda r: r["json"])
+    texts = result_rows(spark, attempts).groupBy("query_id", "table_rank").agg(records.alias("_r"))
+    texts = texts.select("query_id", "table_rank", F.array_join("_r", ",").alias("_text"))
+    log = spark.createDataFrame([a.row() for a in attempts], ATTEMPTS_SCHEMA)
+    shown = F.when(F.col("status").isin(*EXECUTED), F.concat(F.lit("["), F.coalesce("_text", F.lit("")), F.lit("]")))
+    return log.join(texts, ["query_id", "table_rank"], "left").withColumn("rows_json", shown).drop("_text")
+
+
 def winners(attempts: DataFrame) -> DataFrame:
     """Per question the first attempt with rows."""
     return (

@@ -60,9 +60,6 @@ def text_rejection(statement: str) -> str | None:
 # Spark offers these inside a SELECT; the token list above does not know them.
 REACHES_OUT = re.compile(r"\b(java_method|reflect|try_reflect)\s*\(|\busing\s*['\"]", re.IGNORECASE)
 
-# A result that has to become one prompt text is fetched; a longer one is an error.
-MAX_PROMPT_ROWS = 100_000
-
 
 def open_table(spark: SparkSession, path: str) -> SparkSession:
     """A child session whose only view is ``data``, scanning one stored table.
@@ -115,8 +112,18 @@ def run_guarded(session: SparkSession, statement: str) -> DataFrame:
     return result
 
 
+def named_once(result: DataFrame) -> DataFrame:
+    """Of columns with equal names the last, in the place of the first."""
+    last = {c: i for i, c in enumerate(result.columns)}
+    if len(last) == len(result.columns):
+        return result
+    numbered = result.toDF(*[f"_{i}" for i in range(len(result.columns))])
+    return numbered.select(*[F.col(f"_{i}").alias(c) for c, i in last.items()])
+
+
 def row_texts(result: DataFrame) -> DataFrame:
     """Every result row as one text line, columns by name; stays distributed."""
+    result = named_once(result)
     return result.select(_row_text(result).alias("text"))
 
 
@@ -129,25 +136,34 @@ def _row_text(result: DataFrame) -> Column:
 
 def header_texts(result: DataFrame) -> tuple[str, str]:
     """Header line and the rule below it."""
-    header = fixed.PAIR_SEPARATOR.join(sorted(result.columns))
+    header = fixed.PAIR_SEPARATOR.join(sorted(set(result.columns)))
     return header, "-" * len(header.encode())
 
 
-def prompt_table(result: DataFrame) -> str:
-    """A whole result as the text a prompt shows."""
-    return shown_rows(result)[0]
+def shown_rows(result: DataFrame) -> DataFrame:
+    """``(row_no, text, json)`` of every result row, numbers in the order of the result."""
+    result = named_once(result)
+    record = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    return result.select(F.monotonically_increasing_id().alias("row_no"), _row_text(result).alias("text"), record.alias("json"))
+
 
+def _lines() -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"])
 
-def shown_rows(result: DataFrame) -> tuple[str, list[str]]:
-    """A whole result as the text a prompt shows and as JSON objects, of one execution.
 
-    A result too long for a prompt is a rejected statement, so that it ends its own attempt
-    and not the batch.
+def prompt_table(result: DataFrame) -> DataFrame:
+    """One row, ``table_text``: a whole result as the text a prompt shows."""
+    head = F.lit("\n".join(header_texts(result)) + "\n")
+    return shown_rows(result).agg(_lines().alias("_lines")).select(
+        F.when(F.size("_lines") == 0, F.lit(fixed.NO_ROWS_TEXT)).otherwise(F.concat(head, F.array_join("_lines", "\n"))).alias("table_text")
+    )
+
+
+def prompt_tables(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per key the result as the text a prompt shows: ``rows(*keys, head, row_no, text)``.
+
+    One text needs all rows of its result in one task; nothing passes the driver.
     """
-    record = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-    rows = result.select(_row_text(result).alias("text"), record.alias("json")).limit(MAX_PROMPT_ROWS + 1).collect()
-    if len(rows) > MAX_PROMPT_ROWS:
-        raise RejectedSQL("the result is too long to be shown in a prompt")
-    lines = [r["text"] for r in rows]
-    shown = "\n".join([*header_texts(result), *lines]) if lines else fixed.NO_ROWS_TEXT
-    return shown, [r["json"] for r in rows]
+    return rows.groupBy(*keys, "head").agg(_lines().alias("_lines")).select(
+        *keys, F.concat("head", F.lit("\n"), F.array_join("_lines", "\n")).alias("table_text")
+    )

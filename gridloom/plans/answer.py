@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from gridloom import fixed
 from gridloom.operators import hooks, retrieval
-from gridloom.operators.prompts import chunk_prompts, result_prompt, sql_prompts
-from gridloom.operators.routing import ATTEMPTS_SCHEMA, EXECUTED, Attempt, answer_routes, attempt
-from gridloom.operators.sqlguard import clean_sql
-from gridloom.operators.vectors import explode_sparse, postings
+from gridloom.operators.prompts import chunk_prompts, result_prompts, sql_prompts
+from gridloom.operators.routing import EXECUTED, Attempt, answer_routes, attempt, attempt_log, result_rows
+from gridloom.operators.sqlguard import clean_sql, prompt_tables
+from gridloom.operators.vectors import postings
 from gridloom.plans.ingest import Store
 from gridloom.session import written
 
@@ -36,11 +36,7 @@ def search(
         hits.join(want, "query_id").filter(F.col("rank") <= own).drop("top_k")
         for hits in (
             retrieval.dense_topk(index, asked, fetch),
-            retrieval.sparse_topk(
-                explode_sparse(index, "chunk_id").repartition("chunk_id"),
-                postings(asked, "query_id", "question"),
-                fetch,
-            ),
+            retrieval.stored_sparse_topk(index, postings(asked, "query_id", "question"), fetch),
         )
     ]
     fused = retrieval.fuse_rrf(branches, int(longest) * fixed.FETCH_FACTOR)
@@ -104,7 +100,6 @@ def answer(
 
     attempts: list[Attempt] = []
     replies = spark.createDataFrame([], "query_id string, reply string")
-    won_rows: list[tuple] = []
     if complete is not None:
         keyed = diverse.filter((F.col("place") == 1) & (F.col("table_key") != "")).select("query_id")
         candidates = (
@@ -118,20 +113,15 @@ def answer(
         )
         attempts, won = _sql_rounds(spark, store, prompts, complete)
         if won:
-            text_of = {
-                r["query_id"]: r["question"]
-                for r in asked.join(
-                    spark.createDataFrame([(a.query_id,) for a, _ in won], "query_id string"), "query_id", "left_semi"
-                ).toLocalIterator()
-            }
-            won_rows = [
-                (a.query_id, result_prompt(text_of[a.query_id], a.sql, summary or "", a.shown)) for a, summary in won
-            ]
-            told = spark.createDataFrame(won_rows, "query_id string, prompt string")
+            chosen = spark.createDataFrame(
+                [(a.query_id, a.sql, summary) for a, summary in won], "query_id string, sql string, summary string"
+            )
+            results = prompt_tables(result_rows(spark, [a for a, _ in won]), "query_id").join(chosen, "query_id")
+            told = result_prompts(results, asked.select("query_id", "question"))
             replies = written(
                 hooks.completions(told, "prompt", "reply", complete).select("query_id", "reply"), "sql-replies"
             )
-    log = spark.createDataFrame([a.row() for a in attempts], ATTEMPTS_SCHEMA)
+    log = attempt_log(spark, attempts)
     won_tables = log.filter(F.col("n_rows") > 0).select("query_id", "table_key")
     routes = answer_routes(asked, diverse, won_tables, complete is not None)
 

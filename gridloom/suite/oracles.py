@@ -394,6 +394,11 @@ def _retrieval_oracles() -> dict[str, str]:
         "token_tf": f"WITH {docs} SELECT id AS doc_id, term, tf, n_terms FROM d_tf",
         "term_hash": f"WITH {docs} SELECT term, hash, CAST(hash % 1048576 AS INTEGER) AS idx FROM d_dict",
         "tf_sparse": f"WITH {docs} SELECT id AS doc_id, idx, round(CAST(CAST(tf / n_terms AS FLOAT) AS DOUBLE), 9) AS w FROM d",
+        "embed_batches": "WITH words AS (SELECT doc_id, md5(unnest(regexp_extract_all("
+        "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0b\\x0c\\r]+'))) AS h FROM documents), "
+        f"sums AS (SELECT doc_id, (('0x' || substr(h, 1, 8))::BIGINT % {DIMS})::INTEGER AS pos, "
+        "sum(CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM words GROUP BY ALL) "
+        "SELECT doc_id, pos, round((x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 6) AS x FROM sums WHERE x <> 0",
         "dense_topk": "WITH parts AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings), "
         "avgs AS (SELECT label, pos, avg(x) AS x FROM parts GROUP BY ALL), "
         "means AS (SELECT label, list(x ORDER BY pos) AS v FROM avgs GROUP BY ALL) "

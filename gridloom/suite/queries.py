@@ -284,8 +284,8 @@ def embed_batches(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", hooks.embeddings("text", hooks.hashed_embedding(DIMS)).alias("dense")
     )
-    length = F.sqrt(F.aggregate("dense", F.lit(0.0), lambda s, x: s + x * x))
-    return docs.select("doc_id", F.size("dense").alias("dims"), F.round(length, 3).alias("length"))
+    parts = docs.select("doc_id", F.posexplode("dense").alias("pos", "x")).where("x <> 0")
+    return parts.select("doc_id", "pos", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 # --- retrieval --------------------------------------------------------------------------
@@ -449,7 +449,7 @@ def sql_attempts(spark, sf_dir):
             Row(query_id=q, table_rank=n, table_key=key, sql=text.replace("{q}", q)) for n, key, text in ATTEMPT_REPLIES
         ]
         tried += routing.first_rows(spark, candidates, lambda key: table_path(root, key))
-    return spark.createDataFrame([a.row() for a in tried], routing.ATTEMPTS_SCHEMA).select(
+    return routing.attempt_log(spark, tried).select(
         "query_id", "table_rank", "table_key", "sql", "status", F.coalesce("rows_json", F.lit("")).alias("rows_json")
     )
 

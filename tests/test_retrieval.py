@@ -24,7 +24,8 @@ def test_dense_equals_brute_force_in_one_and_many_blocks(spark, monkeypatch):
     for j in range(40):
         order = sorted(range(300), key=lambda i: (-scores[i, j], i))[:12]
         expected[f"q{j}"] = [(i, n + 1) for n, i in enumerate(order)]
-    for block in (1024, 10):
+    for block, rows in ((1024, 1024), (10, 1024), (1024, 16)):
+        monkeypatch.setattr(retrieval, "SLICE", rows)
         monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
         got = {}
         for r in retrieval.dense_topk(c, q, 12, "vec_id").orderBy("query_id", "rank").collect():
@@ -56,6 +57,26 @@ def test_sparse_equals_brute_force(spark):
         assert [s for _, s in got.get(j, [])] == pytest.approx([s for _, s in expected], abs=2e-6)
 
 
+def test_stored_sparse_vectors_are_scored_in_place(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, size=rng.integers(1, 30))) for _ in range(150)] + ["", "same words"] * 3
+    docs = spark.createDataFrame([(f"c{i:03}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    vectors.with_sparse(docs, "chunk_id").repartition(5).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    asked = [(i, " ".join(rng.choice(words, size=4))) for i in range(9)] + [(9, "zzz"), (10, "same")]
+    items = vectors.postings(spark.createDataFrame(asked, "query_id int, text string"), "query_id")
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "chunk_id", "rank").collect())
+    expected = rows(retrieval.sparse_topk(vectors.postings(docs, "chunk_id"), items, 7))
+    for block, size in ((8192, 1024), (3, 20)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "SLICE", size)
+        found = retrieval.stored_sparse_topk(index, items, 7)
+        assert rows(found) == expected
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text[text.index("MapInArrow"):]
+
+
 def ranked(spark, rows):
     return spark.createDataFrame(rows, "query_id string, chunk_id string, rank int")
 

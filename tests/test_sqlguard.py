@@ -108,12 +108,18 @@ def test_rendered_rows(spark):
         "SELECT 2.0D AS b, 'x' AS a, true AS c, CAST(NULL AS STRING) AS d, DATE'2024-01-05' AS e, "
         "TIMESTAMP'2024-01-05 10:00:00' AS f, 7L AS g"
     )
-    assert sqlguard.prompt_table(df).split("\n") == [
+    assert sqlguard.prompt_table(df).first()[0].split("\n") == [
         "a | b | c | d | e | f | g",
         "-" * 25,
         "x | 2 | true | <nil> | 2024-01-05 00:00:00 +0000 UTC | 2024-01-05 10:00:00 +0000 UTC | 7",
     ]
-    assert sqlguard.prompt_table(df.filter("b > 5")) == "(no results)"
+    assert sqlguard.prompt_table(df.filter("b > 5")).first()[0] == "(no results)"
+
+
+def test_of_equal_column_names_the_last_counts(spark, session):
+    twice = sqlguard.run_guarded(sqlguard.open_table(spark, session), "SELECT id AS x, 1 AS y, id + 1 AS x FROM data WHERE id = 3")
+    assert sqlguard.header_texts(twice)[0] == "x | y"
+    assert [tuple(r)[1:] for r in sqlguard.shown_rows(twice).collect()] == [("4 | 1", '{"x":4,"y":1}')]
 
 
 def test_rendered_doubles(spark):
@@ -137,11 +143,14 @@ def test_attempts_stop_at_the_first_rows(spark, session):
         lambda key: session,
     )
     assert [t.status for t in tried] == ["skipped", "rejected", "failed", "empty", "rows"]
-    assert tried[-1].rows_json == '[{"m":9}]' and tried[-1].n_rows == 1
+    assert tried[-1].n_rows == 1
     none = routing.first_rows(spark, candidates("SELECT id FROM data WHERE id > 99"), lambda key: session)
-    log = spark.createDataFrame([t.row() for t in tried + none], routing.ATTEMPTS_SCHEMA)
+    log = routing.attempt_log(spark, tried)
+    assert [r.rows_json for r in log.orderBy("table_rank").collect()] == [None, None, None, "[]", '[{"m":9}]']
+    log = routing.attempt_log(spark, tried[:1] + tried[2:] + none)
     assert [(r.table_rank, r.sql) for r in routing.winners(log).collect()] == [(5, "SELECT max(id) AS m FROM data")]
     assert log.filter(F.col("status").isin(*routing.EXECUTED)).count() == 3
+    assert routing.attempt_log(spark, []).count() == 0
 
 
 def test_alias_named_like_a_catalog_table_opens_nothing(spark, tmp_path):
@@ -164,9 +173,7 @@ def test_alias_named_like_a_catalog_table_opens_nothing(spark, tmp_path):
         spark.sql("DROP TABLE IF EXISTS payroll_guard")
 
 
-def test_too_long_a_result_is_a_rejected_statement(spark, monkeypatch):
-    monkeypatch.setattr(sqlguard, "MAX_PROMPT_ROWS", 3)
-    with pytest.raises(sqlguard.RejectedSQL):
-        sqlguard.shown_rows(spark.range(4))
-    shown, rows = sqlguard.shown_rows(spark.range(3).coalesce(1))
-    assert shown.split("\n")[2:] == ["0", "1", "2"] and rows == ['{"id":0}', '{"id":1}', '{"id":2}']
+def test_a_long_result_becomes_one_prompt_text_in_order(spark):
+    rows = sqlguard.shown_rows(spark.range(0, 150_000, 1, 7).orderBy(F.desc("id"))).withColumns({"head": F.lit("id\n--"), "q": F.lit("a")})
+    text = sqlguard.prompt_tables(rows, "q").first().table_text.split("\n")
+    assert text[:2] == ["id", "--"] and text[2:] == [str(n) for n in range(149_999, -1, -1)]
