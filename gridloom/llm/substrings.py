@@ -187,12 +187,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     marked = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text").alias("_t")).mapInArrow(mark, "gram long, context long, _row long, at long")
     marked = written(marked, "substring-anchors")
-    often = marked.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram")
+    # Written, so that the join reads it from files and can split the records of a hot gram.
+    often = written(marked.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram"), "substring-grams")
     shared = written(marked.join(often, "gram"), "substring-shared")
     place = F.struct("_row", "at")
     contexts = written(shared.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "substring-contexts")
     mixed = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
-    mixed = mixed.select("gram", F.ceil(F.col("kinds") / CHUNK).cast("int").alias("chunks"))
+    mixed = written(mixed.select("gram", F.ceil(F.col("kinds") / CHUNK).cast("int").alias("chunks")), "substring-mixed")
     open_ = contexts.join(mixed, "gram").select(
         F.col("first._row").alias("_row"), F.struct("gram", "chunks", F.col("first.at").alias("at"), (F.col("n") == 1).alias("alone")).alias("a")
     )
