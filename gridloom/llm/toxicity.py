@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma
 from zlib import crc32
 
 import numpy as np
@@ -13,13 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pieces, remainder
+from gridloom.llm.common import mix64, pieces, remainder
 
 # Bounds of the labelled sample that the model is fitted on: toxic and clean texts, and code
 # points of a text that is taken into it.
 SAMPLE, SAMPLE_CHARS = (1_300, 3_300), 12_000
 FEATURES, CHAIN, THRESHOLD = 1 << 17, 64, 0.3
 TOKEN = re.compile(r"[^\W\d_]+")
+# A word is taken for toxic if it stands RATIO times as often in toxic texts as in clean ones, and
+# not by chance: the expected share of chance finds among such words is FALSE.
+RATIO, FALSE = 5.0, 0.01
+# Words on either side that tell copies of one passage.
+SIDE = 2
 
 
 def _features(word: str) -> list[int]:
@@ -104,26 +109,77 @@ def aggregates(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _token_labels(words: list[list[str]], toxic: np.ndarray) -> np.ndarray:
-    """Labels of tokens from labels of documents.
+def _tail(x: int, n: int, p: float) -> float:
+    """Probability of at least ``x`` of ``n`` independent draws, each with probability ``p``."""
+    k = np.arange(x, n + 1)
+    ways = np.cumsum(np.log(np.concatenate([[1.0], (n - k[:-1]) / (k[:-1] + 1.0)])))
+    first = lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1)
+    return float(min(1.0, np.exp(first + ways + k * np.log(p) + (n - k) * np.log1p(-p)).sum()))
 
-    A word, or a beginning of four to six letters, marks a token if it is found in at least
-    one in twenty-five toxic documents and at least thirty times as often as in clean ones.
+
+def _marked(x: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
+    """Which keys, with ``x`` finds in toxic and ``y`` in clean documents, mark toxic text.
+
+    Each is tested on its own counts by the exact binomial tail, against ``p``, the share of all
+    tokens that stand in toxic documents, so long documents do not count as suspicious. The tests
+    are taken together by the Benjamini-Hochberg step at FALSE, among the keys with finds
+    enough to reach it at all (Tarone). The share of all toxic documents that has a key does
+    not enter.
+    """
+    n = x + y
+    totals = np.bincount(n)
+    least, m = 1, int(totals[1:].sum())
+    while m and p**least * m > FALSE:
+        m -= int(totals[least])
+        least += 1
+    pairs, of, times = np.unique(np.stack([x, n]), axis=1, return_inverse=True, return_counts=True)
+    tails = np.array([_tail(a, b, p) if b >= least and a > b * p else 1.0 for a, b in pairs.T.tolist()])
+    order = np.argsort(tails)
+    fine = np.flatnonzero(tails[order] * m <= FALSE * np.cumsum(times[order]))
+    limit = tails[order[fine[-1]]] if m and len(fine) else -1.0
+    return (tails <= limit)[of.reshape(-1)] & ((x + 0.5) * (1 - p) >= RATIO * (y + 0.5) * p)
+
+
+def _token_labels(flat: np.ndarray, words: list[str], lengths: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Labels of tokens, numbers into ``words``, from labels of documents.
+
+    A word, or a beginning of four to six letters, marks a token of a toxic document by
+    ``_marked``. A find counts once for each document, and once for all documents that have it
+    between the same words, for copies of one passage are no new evidence; words so common
+    that they meet by chance do not make a copy.
     """
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    keys = lambda w: (w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k))
-    for doc, label in zip(words, toxic):
-        seen[int(label)].update({k for w in set(doc) for k in keys(w)})
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    marks = {k for k, n in seen[1].items() if n >= max(3, n1 / 25) and (n + 0.5) / n1 >= 30 * (seen[0][k] + 0.5) / n0}
-    cache: dict[str, bool] = {}
-    flags = []
-    for doc, label in zip(words, toxic):
-        for w in doc:
-            if label and w not in cache:
-                cache[w] = any(k in marks for k in keys(w))
-            flags.append(bool(label) and cache[w])
-    return np.array(flags, dtype=np.float64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    around, chance = np.zeros(len(flat), dtype=np.uint64), np.zeros(len(flat))
+    share = np.log(np.bincount(flat, minlength=len(words)) / max(1, len(flat)) + 1e-300)
+    for k in range(-SIDE, SIDE + 1):
+        at = np.arange(len(flat)) + k
+        inside = (at >= 0) & (at < len(flat))
+        inside[inside] = doc[at[inside]] == doc[inside]
+        around = mix64(around + np.where(inside, flat[np.where(inside, at, 0)] + 1, 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if k:
+            chance[inside] += share[flat[at[inside]]]
+    around = np.where(chance < np.log(0.01 / max(1, len(flat))), around >> np.uint64(1), doc.astype(np.uint64) | np.uint64(1 << 63))
+    keys: dict[str, int] = {}
+    of_word = np.array([[keys.setdefault(k, len(keys)) if k else -1 for k in (w, *(w[:j] + "*" if len(w) > j else "" for j in (4, 5, 6)))] for w in words])
+    x, y = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+    for kind in of_word.T:
+        key = kind[flat]
+        own = np.flatnonzero(key >= 0)
+        order = own[np.lexsort((around[own], key[own], doc[own]))]
+        key, place = key[order], around[order]
+        # The smallest hash stands for the document, in all copies the same.
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(doc[order]) != 0)])) if len(order) else order
+        key, place, bad = key[first], place[first], toxic[doc[order[first]]]
+        for counts, side in ((x, bad), (y, ~bad)):
+            k, at = key[side], place[side]
+            order2 = np.lexsort((at, k))
+            k, at = k[order2], at[order2]
+            fresh = np.ones(len(k), dtype=bool)
+            fresh[1:] = (k[1:] != k[:-1]) | (at[1:] != at[:-1])
+            counts += np.bincount(k[fresh], minlength=len(keys))
+    # The last place stands for keys that a word does not have.
+    hot = np.append(_marked(x, y, lengths[toxic].sum() / lengths.sum()), False)
+    return (hot[of_word].any(axis=1)[flat] & toxic[doc]).astype(np.float64)
 
 
 def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 5, parts: int = 10, rate: float = 0.1) -> Model:
@@ -137,7 +193,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 5, part
     ids: dict[str, int] = {}
     flat = np.array([ids.setdefault(w, len(ids)) for doc in words for w in doc])
     features = np.array([_features(w) for w in ids])
-    labels = _token_labels(words, toxic)
+    labels = _token_labels(flat, list(ids), lengths, toxic)
     starts = np.cumsum(lengths) - lengths
     rng = np.random.default_rng(7)
     shape = (FEATURES,), (2, 2), ()

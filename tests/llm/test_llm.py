@@ -106,6 +106,22 @@ def test_toxicity_learns_held_out(spark, tmp_path):
     assert kept.columns == ["doc_id", "text"] and abs(kept.count() - 300) <= 4
 
 
+def test_toxicity_learns_a_long_tail(spark):
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(3_000):
+        w = list(r.choice(WORDS, 20))
+        if i % 10 == 0:
+            # Each in one of forty toxic texts, so none in 4 % of them.
+            w[4] = w[11] = chr(97 + i // 10 % 20) * 3 + "xy"[i // 200 % 2] * 4
+        rows.append((i, " ".join(w), int(i % 10 == 0)))
+    train = [x for x in rows if crc32(str(x[0]).encode()) % 4 != 2]
+    model = toxicity.fit([x[1] for x in train], np.array([x[2] > 0 for x in train]), 0.1)
+    got = toxicity.tag(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), model).collect()
+    held = [(x["score"] >= toxicity.THRESHOLD, rows[x["doc_id"]][2]) for x in got if crc32(str(x["doc_id"]).encode()) % 4 == 2]
+    assert np.mean([p for p, y in held if y]) > 0.9 and np.mean([p for p, y in held if not y]) < 0.01
+
+
 def removed(texts):
     seen = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
     out = []
