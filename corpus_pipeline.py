@@ -24,7 +24,7 @@ def strip_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Texts without runs of lines seen earlier; a text of which no word is left goes."""
     ship_package(spark)
     names = docs.columns
-    packed = docs.select(F.struct("*").alias("_was"), "doc_id", "text")
+    packed = docs.select(F.struct(*[c for c in names if c != "text"]).alias("_was"), "doc_id", "text")
     done = lines.dedup_lines(packed)
     left = done.where((F.col("n_deleted") == 0) | (F.col("n_lines") > F.col("n_deleted")))
     changed = F.col("n_deleted") > 0

@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def numbered(docs: DataFrame, *columns: str, name: str = "_row") -> DataFrame:
     """The named columns with a row number, so that null and repeated ids stay apart.
 
-    The number is a row's place in its input split: the same whenever the same files are
-    read again. ``docs`` must therefore be read from files, as the stages' inputs are.
+    The number is a row's place in its input split, and splits follow the executors that are
+    there when the scan is planned. Who uses the number twice must therefore write it once.
     """
     return docs.select(F.monotonically_increasing_id().alias(name), *columns)
 

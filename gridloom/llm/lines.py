@@ -23,7 +23,7 @@ def _min_at(hashes: Column, start: Column, run: int) -> Column:
 
 
 def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``(_row, starts)``: per row the first lines of its windows of ``run`` lines seen before.
+    """``(_row, starts)``: per row of ``(_row, doc_id, text)`` the first lines of its windows of ``run`` lines seen before.
 
     Lines without a word do not count as lines; others are compared without surrounding
     white space. A window's fingerprint is its smallest line hash. Fingerprint lines that
@@ -38,7 +38,7 @@ def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
     hashes = F.transform(lines, lambda x: F.xxhash64(F.trim(F.regexp_replace(x, r"^[ \t\x0b\f\r]+|[ \t\x0b\f\r]+$", ""))))
     # Written, or the optimiser would push conditions on the windows down to the split text and
     # hash all lines again for every window.
-    base = written(numbered(docs, F.col("doc_id").alias("_id"), hashes.alias("h")), "line-hashes").where(F.size("h") >= run)
+    base = written(docs.select("_row", F.col("doc_id").alias("_id"), hashes.alias("h")), "line-hashes").where(F.size("h") >= run)
     starts = F.sequence(F.lit(0), F.size("h") - run)
     picked = base.select("_row", "_id", "h", F.explode(F.transform(starts, lambda s: F.struct(_min_at(F.col("h"), s, run), s.alias("s")))).alias("w"))
     # One record per fingerprint line, carrying the windows that chose it.
@@ -63,8 +63,8 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """
     own = ("n_lines", "n_deleted")
     rest = [c for c in docs.columns if c not in ("text", *own)]
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*rest, F.lit(0).alias("_")).alias("_rest"), "text")
-    rows = rows.join(repeated_windows(docs, run), "_row", "left").select("_rest", "text", "starts")
+    rows = written(numbered(docs, F.struct(*rest, F.lit(0).alias("_")).alias("_rest"), "text"), "numbered-lines")
+    rows = rows.join(repeated_windows(rows.select("_row", F.col("_rest.doc_id").alias("doc_id"), "text"), run), "_row", "left").select("_rest", "text", "starts")
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

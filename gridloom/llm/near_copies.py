@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_groups, components, flat_bytes, groups, mix64, pieces
+from gridloom.llm.common import by_groups, components, flat_bytes, groups, mix64, numbered, pieces
 from gridloom.session import written
 
 SHINGLE, NUM, DEN = 5, 4, 5  # five words, similarity of at least 4/5
@@ -173,7 +173,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     ["_row", "doc_id", "digest", "n", "sig"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("text").alias("_t"))
+    rows = docs.select("_row", "doc_id", F.col("text").alias("_t"))
     return rows.mapInArrow(run, f"_row long, doc_id {kind}, digest binary, n int, sig binary")
 
 
@@ -232,7 +232,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     [piece["row"], pa.array([len(t) for t in texts], pa.int64()), pa.array([pa.compress(t, codec, asbytes=True) for t in texts], pa.binary())], ["row", "size_raw", "z"]
                 )
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").alias("_t")).where("_t IS NOT NULL")
+    texts = docs.select(F.col("_row").alias("row"), F.col("text").alias("_t")).where("_t IS NOT NULL")
     texts = texts.mapInArrow(squeeze, "row long, size_raw long, z binary")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +278,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     Equal sets are one class of copies from the start, so a text that makes up a third of
     the table is one row in the search for candidates.
     """
+    return _classes(written(numbered(docs, "doc_id", "text"), "numbered-texts"))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """``near_classes`` of ``(_row, doc_id, text)``."""
     described = written(describe(docs), "shingle-sets")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_row").alias("row"), "n", "sig")
     classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("size"))
@@ -305,6 +310,6 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents without those that are not the first of their class; columns as they are."""
-    gone = near_classes(docs).where("_row <> class_row").select(F.col("_row").alias("_near_row"))
-    packed = docs.select(F.monotonically_increasing_id().alias("_near_row"), F.struct("*").alias("_doc"))
-    return packed.join(gone, "_near_row", "left_anti").select("_doc.*")
+    packed = written(numbered(docs, F.struct("*").alias("_doc")), "numbered-documents")
+    found = _classes(packed.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text")))
+    return packed.join(found.where("_row <> class_row").select("_row"), "_row", "left_anti").select("_doc.*")

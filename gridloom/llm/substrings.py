@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import flat_bytes, groups, mix64, pieces
+from gridloom.llm.common import flat_bytes, groups, mix64, numbered, pieces
 from gridloom.session import written
 
 # Strings of LENGTH bytes are compared. Each holds LENGTH - GRAM + 1 grams, of which its smallest
@@ -101,7 +101,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
                     ["_row", "doc_id", "size", "z"],
                 )
 
-    return docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("text").alias("_t")).mapInArrow(run, f"_row long, doc_id {kind}, size long, z binary")
+    return docs.select("_row", "doc_id", F.col("text").alias("_t")).mapInArrow(run, f"_row long, doc_id {kind}, size long, z binary")
 
 
 def _text(z: bytes, size: int) -> bytes:
@@ -185,7 +185,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     rows = piece["_row"].to_numpy()[text]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, context, rows, first * 256 + number)], ["gram", "context", "_row", "at"])
 
-    marked = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text").alias("_t")).mapInArrow(mark, "gram long, context long, _row long, at long")
+    marked = docs.select("_row", F.col("text").alias("_t")).mapInArrow(mark, "gram long, context long, _row long, at long")
     marked = written(marked, "substring-anchors")
     # Written, so that the join reads it from files and can split the records of a hot gram.
     often = written(marked.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram"), "substring-grams")
@@ -254,5 +254,6 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), layout.types)] if out else [pa.array([], t) for t in layout.types], layout.names)
 
     layout = pa.schema([("doc_id", docs.select("doc_id").limit(0).toArrow().schema.field(0).type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    docs = written(numbered(docs, "doc_id", "text"), "numbered-texts")
     rows = _squeezed(docs).join(repeated_spans(docs), "_row", "left")
     return rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

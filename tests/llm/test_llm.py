@@ -173,6 +173,30 @@ def test_lines(spark, tmp_path):
         assert (got[i]["text"], got[i]["n_lines"], got[i]["n_deleted"], got[i]["starts"]) == (want, len(inked), len(gone), "x")
 
 
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path, monkeypatch):
+    texts = ["\n".join(PROSE[k % 12] for k in (i, i + 1, i + 2)) for i in range(24)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "r"))
+    read = lambda: spark.read.parquet(str(tmp_path / "r"))
+    runs = {substrings: lambda: substrings.strip_repeats(read()), lines: lambda: lines.dedup_lines(read()), near_copies: lambda: near_copies.drop_near_copies(read())}
+    name = "spark.sql.files.openCostInBytes"
+    was = spark.conf.get(name)
+    for module, run in runs.items():
+        want = sorted(map(str, run().collect()))
+        first = module.written
+
+        def then_other_splits(df, label):
+            out = first(df, label)
+            # Splits are then cut by the number of cores.
+            spark.conf.set(name, "1")
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(module, "written", then_other_splits)
+            got = sorted(map(str, run().collect()))
+        spark.conf.set(name, was)
+        assert got == want, module.__name__
+
+
 def test_quality(docs):
     for doc, text in {d: t for d, t in everything(docs)}.items():
         row = quality.quality_verdicts(docs.where("doc_id <=> %s" % ("NULL" if doc is None else doc))).first() if doc in (0, 16, 17, 21, 22) else None
