@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import lines, mixing, near_copies, neighbours, ngram_model, packing, pii, quality, substrings, toxicity
+from gridloom.llm import alignment, chat, lines, mixing, near_copies, neighbours, ngram_model, packing, pii, quality, ranked_search, substrings, toxicity
 from gridloom.llm.common import table
 from gridloom.session import ship_package
 
@@ -147,6 +147,64 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), tags=True)
 
 
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+SEARCH = rf"""
+WITH items AS (
+  SELECT item_id, i, unnest(list_distinct(regexp_extract_all(translate(text, {LETTERS}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t
+  FROM (SELECT item_id, text, row_number() OVER () AS i FROM benchmark)
+), words AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, {LETTERS}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents)
+), counts AS (SELECT r, doc_id, t, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT r, sum(tf)::BIGINT AS n FROM counts GROUP BY 1),
+total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+weight AS (
+  SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT t, count(*) AS df FROM counts GROUP BY 1), total
+), pad AS (SELECT r, 50 + ((50 * n * big_n) // big_l) AS m FROM sizes, total),
+scored AS (
+  SELECT item_id, i, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM items JOIN counts USING (t) JOIN weight USING (t) JOIN pad USING (r) GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+@query(SEARCH)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, length(role) + length(text) + length('<|turn|><|says|><|end|>')
+    + len(regexp_extract_all(role || ' ' || text, '<\*(?:\|(?:turn|says|end|image|audio|document|attachment)\|>|/?s>)|\[\*/?INST\]')) AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY 1
+"""
+
+
+@query(CHAT)
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(spark, table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))[0]
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -27,4 +27,4 @@ def test_query_has_rows(spark, name):
 
 def test_one_query_per_operator():
     assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
