@@ -1,17 +1,35 @@
 """Delimited text to grid rows, with the record's position in its file.
 
-Large files are split: lines are numbered inside each file split and the counts of the
-earlier splits are added. Only files with a quoted line break are read as a whole.
+One parser for all files, whatever their size. A file is read in splits, line by line. A line
+maps the two states *outside* and *inside a quoted field* to the state after it; each split is
+passed once for both states it may begin in, and composing the splits' maps tells which one
+holds. A quoted line break or a stray quote therefore changes no other record, and no file is
+ever read by a single task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import name_uuid
 from gridloom.session import written
 
+# Inside a quoted field: anything but a quote, a doubled quote, or a quote that is not followed
+# by a comma or the end (which is text). Possessive, so that matching neither goes back nor
+# recurses, however long a field is.
+_BODY = r'(?:[^"]++|""|"(?![",]|\z))*+'
+_QUOTED = f'"{_BODY}"'
+_OPEN = f'"{_BODY}'
+_FIELD = rf'(?:{_QUOTED}(?=,|\z)|{_OPEN}\z|[^",][^,]*+|)'
+# A line that begins outside or inside a quoted field and ends inside one.
+_LEAVES_OPEN = rf'^(?:(?:{_QUOTED}|[^",][^,]*+|),)*+{_OPEN}\z'
+_STAYS_OPEN = rf'^{_BODY}(?:\z|",(?:(?:{_QUOTED}|[^",][^,]*+|),)*+{_OPEN}\z)'
+
 
 def file_id(path: Column | str) -> Column:
     """Stable id of a file, from its full path: a repeated run finds the same file."""
@@ -31,139 +49,125 @@ def plain_path(uri: Column | str) -> Column:
     )
 
 
-def split_fields(line: Column) -> Column:
-    """Fields of one record held in one line.
+def split_fields(record: Column) -> Column:
+    """Fields of one record, whose quoted fields may hold line breaks.
 
-    A line without quotes is split on commas. Otherwise a field is either quoted (a
-    doubled quote is a quote, a quote not followed by a comma is text) or runs to the
-    next comma.
+    A record without quotes is split on commas. Otherwise a field is either quoted (a
+    doubled quote is a quote, a quote not followed by a comma is text, and one that is never
+    closed runs to the end) or runs to the next comma.
     """
-    plain = F.split(line, ",", -1)
-    raw = F.regexp_extract_all(
-        line, F.lit(r'(?:^|,)("(?:[^"]|""|"(?!,|$))*"(?=,|$)|[^,]*)'), F.lit(1)
-    )
-    quoted = F.transform(
-        raw,
-        lambda f: F.when(
-            (F.length(f) >= 2) & f.startswith('"') & f.endswith('"'),
-            F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"')),
-        ).otherwise(f),
-    )
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
+    plain = F.split(record, ",", -1)
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({_FIELD})"), F.lit(1))
+
+    def value(f: Column) -> Column:
+        inner = F.when(f.rlike(rf"^{_QUOTED}\z"), F.substring(f, F.lit(2), F.length(f) - 2)).otherwise(F.substring(f, F.lit(2), F.length(f)))
+        return F.when(f.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(f)
+
+    return F.when(F.contains(record, F.lit('"')), F.transform(raw, value)).otherwise(plain)
+
+
+# How a line maps (outside, inside): 0 keeps both, 1 always ends outside, 2 always inside, 3
+# swaps them; 4 is added for a blank line, which is no record outside a quoted field.
+def _line_map(line: Column) -> Column:
+    leaves, stays = line.rlike(_LEAVES_OPEN), line.rlike(_STAYS_OPEN)
+    quoted = F.when(leaves, F.when(stays, 2).otherwise(3)).otherwise(F.when(stays, 0).otherwise(1))
+    return (F.when(F.contains(line, F.lit('"')), quoted).otherwise(0) + F.when(line == "", 4).otherwise(0)).cast("int")
+
+
+def states_before(maps: np.ndarray, start: bool) -> np.ndarray:
+    """The state before each line, and after the last, of lines with these maps (True: inside)."""
+    n = len(maps)
+    fixed = np.where((maps == 1) | (maps == 2), np.arange(n), -1)
+    last = np.concatenate([[-1], np.maximum.accumulate(fixed)]) if n else np.array([-1])
+    swaps = np.concatenate([[0], np.cumsum(maps == 3)])
+    base = np.where(last < 0, start, maps[np.maximum(last, 0)] == 2) if n else np.array([start])
+    return base ^ ((swaps - swaps[last + 1]) % 2 == 1)
+
+
+_STATES = "inside_o boolean, inside_i boolean, open_o boolean, open_i boolean, n_o bigint, n_i bigint"
+
+
+def _line_states(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Per line, for a split that begins outside (``_o``) and inside (``_i``): the states before
+    and after it, and how many records of the split have begun.
+
+    Lines of a split come one after the other in one partition; only their maps travel.
+    """
+    split, state, begun = None, [False, True], [0, 0]
+    for keys, maps in batches:
+        keys, maps = keys.to_numpy(), maps.to_numpy()
+        out = {c.split()[0]: np.zeros(len(maps), dtype=np.int64 if c.endswith("bigint") else bool) for c in _STATES.split(", ")}
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
+        for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+            if keys[a] != split:
+                split, state, begun = keys[a], [False, True], [0, 0]
+            for k, name in enumerate("oi"):
+                states = states_before(maps[a:b] & 3, state[k])
+                starts = begun[k] + np.cumsum(~states[:-1] & (maps[a:b] < 4))
+                out[f"inside_{name}"][a:b], out[f"open_{name}"][a:b], out[f"n_{name}"][a:b] = states[:-1], states[1:], starts
+                state[k], begun[k] = bool(states[-1]), int(starts[-1])
+        yield pd.DataFrame(out)
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Non-blank lines with the split they come from; ``_id`` runs without gaps in a split."""
+    """Lines with their file, split, order in the split, and what each does in either state."""
     lines = (
         spark.read.option("lineSep", "\n")
         .text(paths)
         .select(
             plain_path("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("split"),
-            F.regexp_replace("value", "\r$", "").alias("line"),
+            F.regexp_replace("value", "\r\\z", "").alias("line"),
         )
+        .withColumn("_id", F.monotonically_increasing_id())
     )
-    return lines.filter(F.col("line") != "").withColumn("_id", F.monotonically_increasing_id())
+    # Cells must not be cut from a line again for every use of a state, so states are one column.
+    return lines.withColumn("s", F.pandas_udf(_line_states, _STATES)(F.xxhash64("path", "split"), _line_map(F.col("line"))))
 
 
-def _count(c: Column, char: str) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))
+def _split_starts(lines: DataFrame) -> DataFrame:
+    """Per file split the state it begins in and the records begun in earlier splits.
 
-
-def _split_starts(records: DataFrame) -> DataFrame:
-    """Per file split: the first id, the records in earlier splits, and whether any line
-    of the *file* leaves a quote open."""
-    in_file = Window.partitionBy("path")
-    earlier = in_file.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        records.groupBy("path", "split")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), F.max("odd").alias("_odd"))
-        .select(
-            "path",
-            "split",
-            "_first",
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-            F.max("_odd").over(in_file).alias("whole"),
-        )
+    A split's map is again one of four. The state at a split is that after the last earlier
+    split which ends in the same state from both, changed by each swap since.
+    """
+    in_file = Window.partitionBy("path").orderBy("split")
+    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max_by(F.struct("s.open_o", "s.open_i", "s.n_o", "s.n_i"), "_id")
+    maps = lines.groupBy("path", "split").agg(last.alias("e")).select("path", "split", "e.*")
+    fixed = F.col("open_o") == F.col("open_i")
+    swap = (F.col("open_o") & ~F.col("open_i")).cast("int")
+    states = (
+        maps.withColumn("_swaps", F.sum(swap).over(in_file))
+        .withColumn("_last", F.last(F.when(fixed, F.struct("open_o", "_swaps")), ignorenulls=True).over(earlier))
+        .withColumn("_before", F.coalesce(F.sum(swap).over(earlier), F.lit(0)))
+        .withColumn("_odd", (F.col("_before") - F.coalesce("_last._swaps", F.lit(0))) % 2 == 1)
+        .withColumn("inside", F.coalesce("_last.open_o", F.lit(False)) != F.col("_odd"))
     )
+    n = F.when(F.col("inside"), F.col("n_i")).otherwise(F.col("n_o"))
+    return states.withColumn("_n", n).select("path", "split", "inside", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("begun"))
 
 
 def scan_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Grid rows of delimited files. Blank lines do not count as records.
+    """Grid rows of delimited files. Blank lines outside quoted fields do not count as records.
 
-    Ids depend on how the files were split, so the parsed records are written once with
-    their split and id; counting and numbering then agree however often they run.
+    Lines are written once with their split and states, as both depend on how the files were
+    split. A record of one line is parsed where it is read; only lines of records that hold line
+    breaks are brought together, by record. A quoted field that is never closed runs to the
+    end of its file, without the file's last line break; a record has to fit into one row.
     """
-    records = written(
-        _lines(spark, paths).select(
-            "path",
-            "split",
-            "_id",
-            (_count(F.col("line"), '"') % 2 == 1).alias("odd"),
-            split_fields(F.col("line")).alias("cells"),
-        ),
-        "csv-records",
+    lines = written(_lines(spark, paths), "csv-lines")
+    pick = lambda name: F.when(F.col("inside"), F.col(f"s.{name}_i")).otherwise(F.col(f"s.{name}_o"))
+    placed = lines.join(_split_starts(lines), ["path", "split"]).select(
+        "path", "split", "_id", "line", (F.col("begun") + pick("n") - 1).alias("r"), pick("inside").alias("more"), pick("open").alias("goes_on")
     )
-    starts = _split_starts(records)
-    located = records.join(starts, ["path", "split"])
-    rows = located.filter(~F.col("whole")).select(
-        "path", (F.col("_id") - F.col("_first") + F.col("_before")).alias("r"), "cells"
-    )
-    whole = [r["path"] for r in starts.filter("whole").select("path").distinct().toLocalIterator()]
-    if whole:
-        rows = rows.unionByName(_whole_files(spark, whole))
-    return rows.select(
+    one = placed.filter(~F.col("more") & ~F.col("goes_on") & (F.col("line") != "")).select("path", "r", "line")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("split", "_id", "line"))), lambda x: x["line"])
+    many = placed.filter(F.col("more") | F.col("goes_on")).groupBy("path", "r").agg(F.array_join(parts, "\n").alias("line"))
+    return one.unionByName(many).select(
         file_id("path").alias("file_id"),
         base_name("path").alias("source_file"),
         F.lit("").alias("sheet"),
         "r",
-        "cells",
-    )
-
-
-def _header_widths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Number of fields of each file's first record, whose quotes may span lines."""
-    order = Window.partitionBy("path").orderBy("_id")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    head = (
-        _lines(spark, paths)
-        .filter(F.col("split") == 0)
-        .withColumn("_closed", F.sum(_count(F.col("line"), '"')).over(order) % 2 == 0)
-        .withColumn("_done", F.coalesce(F.max("_closed").over(earlier), F.lit(False)))
-        .filter(~F.col("_done"))
-    )
-    text = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("_id", "line"))), lambda s: s["line"]), "\n"
-    )
-    return head.groupBy("path").agg(F.size(split_fields(text)).alias("width"))
-
-
-def _whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files with quoted line breaks, read record by record, one task per file."""
-    widths = _header_widths(spark, paths)
-    names = [f"c{i}" for i in range(widths.agg(F.max("width")).first()[0])]
-    raw = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("unescapedQuoteHandling", "STOP_AT_CLOSING_QUOTE")
-        .csv(paths)
-    )
-    records = written(
-        raw.select(
-            plain_path("_metadata.file_path").alias("path"),
-            F.lit(0).cast("bigint").alias("split"),
-            F.lit(False).alias("odd"),
-            F.array(*[F.coalesce(F.col(n), F.lit("")) for n in names]).alias("cells"),
-        ).withColumn("_id", F.monotonically_increasing_id()),
-        "csv-records",
-    )
-    return (
-        records.join(_split_starts(records), ["path", "split"])
-        .join(widths, "path")
-        .select(
-            "path",
-            (F.col("_id") - F.col("_first")).alias("r"),
-            F.slice("cells", F.lit(1), F.col("width")).alias("cells"),
-        )
+        split_fields(F.col("line")).alias("cells"),
     )

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 import workbook as wb
@@ -7,7 +10,7 @@ from gridloom.operators import grid as g
 from gridloom.operators import schema
 from gridloom.operators.sqlguard import open_table, run_guarded
 from gridloom.sources import catalog, tables
-from gridloom.sources.csv import scan_csv, split_fields
+from gridloom.sources.csv import scan_csv, split_fields, states_before
 from gridloom.sources.listing import list_files, paths_for
 from gridloom.sources.store import KeyedStore
 from gridloom.sources.xlsx import scan_xlsx
@@ -32,6 +35,12 @@ def test_fields_of_a_line(spark):
         '"",""': ["", ""],
         " padded , x": [" padded ", " x"],
         '1,"two"': ["1", "two"],
+        ',"x"': ["", "x"],
+        '"a"",b","c"': ['a",b', "c"],
+        '"open, to the ""end""': ['open, to the "end"'],
+        '1,"': ["1", ""],
+        'x"y,"a"b",""""': ['x"y', 'a"b', '"'],
+        '"line\nbreak","' + "q" * 20000 + '""' * 5000 + '"': ["line\nbreak", "q" * 20000 + '"' * 5000],
     }
     df = spark.createDataFrame([(k,) for k in cases], "line string")
     got = {r.line: r.f for r in df.select("line", split_fields(F.col("line")).alias("f")).collect()}
@@ -65,6 +74,98 @@ def test_large_csv_is_split_and_still_in_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def records_of(text):
+    """The rules, one character after the other, over a whole file."""
+    lines = text.split("\n")
+    lines = [x.removesuffix("\r") for x in (lines[:-1] if lines[-1] == "" else lines)]
+    records, cells, quoted = [], [], None
+    for line in lines:
+        if quoted is None and not line:
+            continue
+        if quoted is None:
+            cells, at, fresh = [], 0, True
+        else:
+            quoted += "\n"
+            at, fresh = 0, False
+        while True:
+            if fresh and not line.startswith('"', at):
+                end = line.find(",", at)
+                cells.append(line[at:] if end < 0 else line[at:end])
+                if end < 0:
+                    break
+                at = end + 1
+                continue
+            if fresh:
+                quoted, at, fresh = "", at + 1, False
+            if at >= len(line):
+                break
+            if line[at] != '"':
+                quoted += line[at]
+                at += 1
+            elif line[at + 1 : at + 2] == '"':
+                quoted += '"'
+                at += 2
+            elif at + 1 == len(line) or line[at + 1] == ",":
+                cells.append(quoted)
+                quoted, at, fresh = None, at + 2, True
+                if at == len(line) + 1:
+                    break
+            else:
+                quoted += '"'
+                at += 1
+        if quoted is None:
+            records.append(cells)
+    if quoted is not None:
+        records.append([*cells, quoted])
+    return records
+
+
+def csv_texts(n, seed):
+    random.seed(seed)
+    bits = ['"', '"', ",", "\n", "\n", "\r\n", "a", "b c", '""', "", '",', ',"', "\r", "é\u2028"]
+    return ["".join(random.choice(bits) for _ in range(random.randint(0, 60))) for _ in range(n)]
+
+
+def expected_cells(texts):
+    return {f"f{i}.csv": list(enumerate(records_of(t))) for i, t in enumerate(texts) if records_of(t)}
+
+
+def test_any_text_has_the_records_of_the_rules(spark, tmp_path):
+    texts = [*csv_texts(300, 1), "", '"', '""', '"\n"', 'a,"b\n\nc"\n\nd', "3,x,extra\n4\n1,5\" pipe\n", '"x\r\ny"\r\n']
+    for i, t in enumerate(texts):
+        (tmp_path / f"f{i}.csv").write_text(t, newline="", encoding="utf-8")
+    assert cells_by_file(scan_csv(spark, [str(tmp_path)])) == expected_cells(texts)
+
+
+@pytest.mark.parametrize("size", [150, 500])
+def test_splits_may_begin_inside_quoted_fields(spark, tmp_path, size):
+    random.seed(size)
+    long = '"' + 'x\n,"" y\n' * 60 + '",z\n'
+    texts = [*csv_texts(6, size), "\n".join(csv_texts(12, size + 1)), "h,k\n" + long * 3 + 'stray 5" pipe,1\n2,"a "b" c"\n' + long]
+    for i, t in enumerate(texts):
+        (tmp_path / f"f{i}.csv").write_text(t, newline="", encoding="utf-8")
+    changed = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        got = cells_by_file(scan_csv(spark, [str(tmp_path)]))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == expected_cells(texts)
+
+
+def test_states_of_lines():
+    maps = np.array([0, 3, 0, 2, 3, 3, 1, 3])
+    for start in (False, True):
+        state, expected = start, []
+        for m in maps:
+            expected.append(state)
+            state = {0: state, 1: False, 2: True, 3: not state}[int(m)]
+        assert states_before(maps, start).tolist() == [*expected, state]
+
+
 def test_listing_and_dispatch(spark, tmp_path):
     for name in ("a.csv", "B.CSV", "c.xlsx", "d.txt", "noext"):
         (tmp_path / name).write_bytes(b"x")
