@@ -22,8 +22,8 @@ SPAN, DENSE = 1 << 16, 4096
 # A pair of ids is written as ``a << SHIFT | b``.
 SHIFT = 24
 # Links that a task gathers before it writes their containers; chunks of text whose tokens it
-# remembers; characters of a text that are looked at together.
-GATHER, REMEMBER, WINDOW = 4_000_000, 400_000, 1 << 20
+# remembers; characters of a text that are looked at together; bytes of texts handled at once.
+GATHER, REMEMBER, WINDOW, TOGETHER = 1_000_000, 150_000, 1 << 20, 1 << 20
 # Where a single space stands between two characters that are no white space, both tokenizers
 # begin a new token with the space, whatever lies around it: neither has a token with a space
 # after another character. So a text is the sequence of its chunks, and equal chunks have equal
@@ -244,7 +244,7 @@ def links(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             # At most 2 ** 14 documents at once, whose numbers stand above the pair codes below.
-            for piece in (p for at in range(0, batch.num_rows, 1 << 14) for p in pieces(batch.slice(at, 1 << 14), "_t")):
+            for piece in (p for at in range(0, batch.num_rows, 1 << 14) for p in pieces(batch.slice(at, 1 << 14), "_t", TOGETHER)):
                 row = piece["_row"].to_numpy()
                 if len(chunks) > REMEMBER:
                     chunks = _Chunks(pair)

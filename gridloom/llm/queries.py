@@ -183,7 +183,7 @@ WITH turns AS (
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), sized AS (
   SELECT *, length(role) + length(text) + length('<|turn|><|says|><|end|>')
-    + len(regexp_extract_all(role || ' ' || text, '<\*(?:\|(?:turn|says|end|image|audio|document|attachment)\|>|/?s>)|\[\*/?INST\]')) AS chars
+    + len(regexp_extract_all(role || ' ' || text, '<\\*(?:\|(?:turn|says|end|image|audio|document|attachment)\|>|/?s>)|\[\\*/?INST\]')) AS chars
   FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
