@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,10 @@ def text_rejection(statement: str) -> str | None:
 
 # Spark offers these inside a SELECT; the token list above does not know them.
 REACHES_OUT = re.compile(r"\b(java_method|reflect|try_reflect)\s*\(|\busing\s*['\"]", re.IGNORECASE)
+# In an analysed plan: leaves that hold the statement's own rows, and expressions that run code or
+# tell of the files.
+OWN_ROWS = {"OneRowRelation", "LocalRelation", "CTERelationRef"}
+OUTSIDE = {"InputFileName", "InputFileBlockStart", "InputFileBlockLength", "CallMethodViaReflection", "TryReflect", "FileSourceMetadataAttribute"}
 
 
 def open_table(spark: SparkSession, path: str) -> SparkSession:
@@ -97,7 +102,9 @@ def _check_relations(session: SparkSession, statement: str) -> None:
 def run_guarded(session: SparkSession, statement: str) -> DataFrame:
     """Run a checked statement in a session from ``open_table``.
 
-    Raises RejectedSQL, or Spark's own error for a statement that does not analyse.
+    The text is looked at first, then the analysed plan, which shows what names, views and
+    functions really stand for. Raises RejectedSQL, or Spark's own error for a statement that
+    does not analyse.
     """
     reason = text_rejection(statement)
     if reason is None and REACHES_OUT.search(statement):
@@ -106,32 +113,81 @@ def run_guarded(session: SparkSession, statement: str) -> DataFrame:
         raise RejectedSQL(reason)
     _check_relations(session, statement)
     result = session.sql(statement)
-    # However the text was read, the analysed plan must not hold a table of the catalog.
-    if "SubqueryAlias spark_catalog." in result._jdf.queryExecution().analyzed().toString():
-        raise RejectedSQL("unknown table")
+    _check_plan(result._jdf.queryExecution().analyzed(), _files(session.table(fixed.TABLE_NAME)._jdf.queryExecution().analyzed()))
     return result
 
 
-def named_once(result: DataFrame) -> DataFrame:
-    """Of columns with equal names the last, in the place of the first."""
-    last = {c: i for i, c in enumerate(result.columns)}
-    if len(last) == len(result.columns):
-        return result
+def _each(seq) -> Iterator:
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _nodes(plan) -> Iterator:
+    """A plan's nodes, with those of its subqueries and common table expressions."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += [*_each(node.children()), *_each(node.subqueries())]
+
+
+def _files(plan) -> set[str]:
+    """The folders that a plan's file scans read."""
+    found = set()
+    for node in _nodes(plan):
+        if _kind(node) == "LogicalRelation":
+            found |= {p.toString() for p in _each(node.relation().location().rootPaths())}
+    return found
+
+
+def _check_plan(plan, files: set[str]) -> None:
+    """Pass an analysed plan that reads nothing but the given files and its own literals.
+
+    Its only view may be ``data``; its leaves may be scans of these files that are no tables of
+    the catalog, literal rows, and uses of common table expressions. Whatever else a name, an
+    ``IDENTIFIER``, a view or a table function was resolved to is refused, as are expressions
+    that run code or tell where the files lie.
+    """
+    for node in _nodes(plan):
+        kind = _kind(node)
+        if kind == "View":
+            name = node.desc().identifier()
+            if name.table() != fixed.TABLE_NAME or name.database().isDefined():
+                raise RejectedSQL(f"unknown table {name.unquotedString()}")
+        elif kind == "LogicalRelation":
+            if node.catalogTable().isDefined() or not _files(node) <= files:
+                raise RejectedSQL("unknown table")
+        elif node.children().isEmpty() and kind not in OWN_ROWS:
+            raise RejectedSQL(f"unknown source of rows {kind}")
+        todo = list(_each(node.expressions()))
+        while todo:
+            expression = todo.pop()
+            if _kind(expression) in OUTSIDE or _kind(expression).endswith("UDF"):
+                raise RejectedSQL("the statement reaches outside the table")
+            todo += _each(expression.children())
+
+
+def _numbered(result: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """A result under numbers for names, and its columns by name; of equal names the last.
+
+    Names that differ in case only are different names, which numbers keep apart.
+    """
     numbered = result.toDF(*[f"_{i}" for i in range(len(result.columns))])
-    return numbered.select(*[F.col(f"_{i}").alias(c) for c, i in last.items()])
+    return numbered, {c: F.col(f"_{i}") for i, c in enumerate(result.columns)}
 
 
 def row_texts(result: DataFrame) -> DataFrame:
     """Every result row as one text line, columns by name; stays distributed."""
-    result = named_once(result)
-    return result.select(_row_text(result).alias("text"))
+    numbered, columns = _numbered(result)
+    return numbered.select(_row_text(numbered, columns).alias("text"))
 
 
-def _row_text(result: DataFrame) -> Column:
-    return F.concat_ws(
-        fixed.PAIR_SEPARATOR,
-        *[value_text(F.col(f"`{c}`"), result.schema[c].dataType) for c in sorted(result.columns)],
-    )
+def _row_text(numbered: DataFrame, columns: dict[str, Column]) -> Column:
+    kinds = dict(zip(columns, (numbered.select(c).schema[0].dataType for c in columns.values())))
+    return F.concat_ws(fixed.PAIR_SEPARATOR, *[value_text(columns[c], kinds[c]) for c in sorted(columns)])
 
 
 def header_texts(result: DataFrame) -> tuple[str, str]:
@@ -142,9 +198,9 @@ def header_texts(result: DataFrame) -> tuple[str, str]:
 
 def shown_rows(result: DataFrame) -> DataFrame:
     """``(row_no, text, json)`` of every result row, numbers in the order of the result."""
-    result = named_once(result)
-    record = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-    return result.select(F.monotonically_increasing_id().alias("row_no"), _row_text(result).alias("text"), record.alias("json"))
+    numbered, columns = _numbered(result)
+    record = F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]), {"ignoreNullFields": "false"})
+    return numbered.select(F.monotonically_increasing_id().alias("row_no"), _row_text(numbered, columns).alias("text"), record.alias("json"))
 
 
 def _lines() -> Column:

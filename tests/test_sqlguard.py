@@ -16,6 +16,12 @@ ACCEPTED = [
     "SELECT id FROM data UNION SELECT v FROM data",
     "SELECT id FROM (SELECT * FROM data) WHERE v > (SELECT avg(v) FROM data)",
     "SELECT * FROM (WITH t AS (SELECT id FROM data) SELECT * FROM t)",
+    "SELECT * FROM IDENTIFIER('data')",
+    "SELECT 1 AS one",
+    "SELECT * FROM (VALUES (1), (2)) AS v(x)",
+    "SELECT explode(array(id, v)) FROM data",
+    "SELECT d.id, x FROM data d, LATERAL (SELECT d.id + 1 AS x)",
+    "SELECT * FROM data PIVOT (count(id) FOR kind IN ('a', 'b'))",
 ]
 REJECTED = {
     "": "empty query",
@@ -40,6 +46,17 @@ REACHING = [
     "SELECT reflect('java.lang.System', 'getenv')",
     "SELECT TRANSFORM(id) USING 'cat' FROM data",
     "SELECT id FROM data; SELECT 2",
+    "SELECT * FROM IDENTIFIER('global_temp.payroll')",
+    "SELECT id FROM data WHERE id IN (SELECT id FROM IDENTIFIER('global_temp.' || 'payroll'))",
+    "SELECT (SELECT max(id) FROM IDENTIFIER('global_temp.literal')) FROM data",
+    "SELECT * FROM (WITH t AS (SELECT * FROM IDENTIFIER('global_temp.payroll')) SELECT * FROM t)",
+    "SELECT * FROM global_temp.payroll",
+    "SELECT * FROM range(3)",
+    "SELECT d.* FROM data d, LATERAL (SELECT * FROM range(2)) r",
+    "SELECT input_file_name() FROM data",
+    "SELECT id FROM data ORDER BY input_file_block_start()",
+    "SELECT id, _metadata.file_path FROM data",
+    "SELECT id FROM data WHERE exists(SELECT 1 FROM data b WHERE input_file_name() > 'a')",
 ]
 
 
@@ -49,6 +66,8 @@ def session(spark, tmp_path_factory):
     spark.createDataFrame([(i, float(i), "ab"[i % 2]) for i in range(10)], "id bigint, v double, kind string").write.parquet(path)
     spark.range(3).createOrReplaceTempView("secrets")
     spark.range(3).createOrReplaceTempView("other_table")
+    spark.createDataFrame([(1,)], "id int").createOrReplaceGlobalTempView("payroll")
+    spark.sql("SELECT 1 AS id").createOrReplaceGlobalTempView("literal")
     return path
 
 
@@ -72,7 +91,7 @@ def test_accepted_statements_run(spark, session):
 def test_nothing_but_the_table_is_reachable(spark, session, statement):
     child = sqlguard.open_table(spark, session)
     with pytest.raises((sqlguard.RejectedSQL, PySparkException)):
-        sqlguard.run_guarded(child, statement).collect()
+        sqlguard.run_guarded(child, statement)  # refused before anything is read
 
 
 def test_catalog_tables_are_not_reachable(spark, session):
@@ -122,6 +141,22 @@ def test_of_equal_column_names_the_last_counts(spark, session):
     assert [tuple(r)[1:] for r in sqlguard.shown_rows(twice).collect()] == [("4 | 1", '{"x":4,"y":1}')]
 
 
+def test_names_may_differ_in_case_only(spark, session):
+    both = sqlguard.run_guarded(sqlguard.open_table(spark, session), "SELECT id AS a, id + 1 AS A, kind FROM data WHERE id = 3")
+    assert [tuple(r)[1:] for r in sqlguard.shown_rows(both).collect()] == [("4 | 3 | b", '{"a":3,"A":4,"kind":"b"}')]
+    assert sqlguard.prompt_table(both).first()[0] == "A | a | kind\n------------\n4 | 3 | b"
+    assert sqlguard.row_texts(both).first()[0] == "4 | 3 | b"
+
+
+def test_another_table_of_files_is_refused(spark, session, tmp_path):
+    """The scan of other files, even under the name of the table."""
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    child = sqlguard.open_table(spark, session)
+    plan = spark.read.parquet(str(tmp_path / "other"))._jdf.queryExecution().analyzed()
+    with pytest.raises(sqlguard.RejectedSQL):
+        sqlguard._check_plan(plan, sqlguard._files(child.table("data")._jdf.queryExecution().analyzed()))
+
+
 def test_rendered_doubles(spark):
     cases = {
         0.0: "0", 1.0: "1", -2.5: "-2.5", 123456.0: "123456", 999999.5: "999999.5", 1e6: "1e+06", 1234567.0: "1.234567e+06",
