@@ -29,32 +29,38 @@ def completions(
     complete: Complete | None,
     system: str = "",
     tolerate_errors: bool = False,
+    error: str | None = None,
 ) -> DataFrame:
     """Add ``out``: the trimmed reply to each ``prompt``; no model means empty replies.
 
     Up to four calls of a task run at once. The function is marked non-deterministic so
     the optimizer never duplicates the calls. Rows keep their place; NULL prompts are
-    not sent.
+    not sent. A failed call fails the job, or with ``tolerate_errors`` has an empty reply, or
+    with ``error`` a NULL reply and its reason in the column of that name.
     """
     if complete is None:
-        return df.withColumn(out, F.lit(""))
+        done = df.withColumn(out, F.lit(""))
+        return done if error is None else done.withColumn(error, F.lit(None).cast("string"))
 
-    def one(text: str | None) -> str | None:
+    def one(text: str | None) -> tuple[str | None, str | None]:
         if text is None:
-            return None
+            return None, None
         try:
-            return complete(system, text).strip()
-        except Exception:
+            return complete(system, text).strip(), None
+        except Exception as e:
+            if error is not None:
+                return None, f"{type(e).__name__}: {e}"
             if tolerate_errors:
-                return ""
+                return "", None
             raise
 
-    @F.pandas_udf("string")
-    def reply(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("reply string, error string")
+    def reply(texts: pd.Series) -> pd.DataFrame:
         with ThreadPoolExecutor(fixed.MODEL_CALLS_AT_ONCE) as pool:
-            return pd.Series(list(pool.map(one, texts)), dtype=object)
+            return pd.DataFrame(list(pool.map(one, texts)), columns=["reply", "error"], dtype=object)
 
-    return df.withColumn(out, reply.asNondeterministic()(F.col(prompt)))
+    called = df.withColumn("_called", reply.asNondeterministic()(F.col(prompt))).withColumn(out, F.col("_called.reply"))
+    return (called if error is None else called.withColumn(error, F.col("_called.error"))).drop("_called")
 
 
 def embeddings(text: Column | str, embed: Embed) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
-
+import threading
+import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -15,98 +20,132 @@ from gridloom.session import fresh_path
 
 ATTEMPTS_SCHEMA = (
     "query_id string, table_rank int, table_key string, sql string, status string, "
-    "n_rows bigint, detail string"
+    "n_rows bigint, detail string, attempt string"
 )
-RESULT_ROWS = "query_id string, table_rank int, head string, row_no bigint, text string, json string"
+RESULT_ROWS = "query_id string, table_rank int, head string, row_no bigint, text string, json string, attempt string"
 # Statements that ran are recorded, with or without rows.
 EXECUTED = ("rows", "empty")
+# Statements that run at once, seconds that one may take, sessions kept open, and statements
+# whose outcome the driver holds before it writes them down.
+AT_ONCE, TIME_LIMIT, OPEN_TABLES, BLOCK = 8, 600.0, 256, 512
 
 
-@dataclass(frozen=True)
-class Attempt:
-    query_id: str
-    table_rank: int
-    table_key: str
-    sql: str | None
-    status: str  # no_schema, skipped, rejected, failed, empty, rows
-    n_rows: int | None = None
-    detail: str | None = None
-    rows_path: str | None = None  # where the rows of the result are
-
-    def row(self) -> tuple:
-        return (
-            self.query_id,
-            self.table_rank,
-            self.table_key,
-            self.sql,
-            self.status,
-            self.n_rows,
-            self.detail,
-        )
-
-
-def attempt(spark: SparkSession, candidate: Row, path_of: Callable[[str], str]) -> Attempt:
-    """Try one candidate statement ``(query_id, table_rank, table_key, sql)`` on its table.
+class Statements:
+    """Runs candidate statements, each on its table, and keeps what became of them in files.
 
-    It runs once: its rows are written where it found them, and only their number comes back.
+    A bounded number of statements runs at once, each as a job group of its own in a pool of its
+    own (fair if the application schedules so), cancelled when it exceeds its time. A table
+    has one session, whichever statement comes first. An outcome concerns its question only.
+    The driver holds one block of outcomes; rows of results never pass it.
     """
-    base = (candidate["query_id"], candidate["table_rank"], candidate["table_key"], candidate["sql"])
-    statement = candidate["sql"] or ""
-    if statement.lower() == fixed.IRRELEVANT_REPLY:
-        return Attempt(*base, status="skipped")
-    try:
-        result = run_guarded(open_table(spark, path_of(candidate["table_key"])), statement)
-        path = fresh_path(spark, "result-rows")
-        named = [F.lit(base[0]).alias("query_id"), F.lit(base[1]).cast("int").alias("table_rank"), F.lit("\n".join(header_texts(result))).alias("head")]
-        shown_rows(result).select(*named, "row_no", "text", "json").write.parquet(path)
-        n = spark.read.schema(RESULT_ROWS).parquet(path).count()
-        return Attempt(*base, status="rows" if n else "empty", n_rows=n, rows_path=path)
-    except RejectedSQL as e:
-        return Attempt(*base, status="rejected", detail=str(e))
-    except PySparkException as e:
-        return Attempt(*base, status="failed", detail=e.getCondition() or type(e).__name__)
-
-
-def first_rows(
-    spark: SparkSession, candidates: Iterable[Row], path_of: Callable[[str], str]
-) -> list[Attempt]:
-    """Candidates of one question in order, up to and including the first with rows.
-
-    Each attempt is a Spark job over a whole table; only statements pass the driver.
-    """
-    tried = []
+
+    def __init__(self, spark: SparkSession, path_of: Callable[[str], str], at_once: int = AT_ONCE, time_limit: float = TIME_LIMIT):
+        self.spark, self.path_of, self.at_once, self.time_limit = spark, path_of, at_once, time_limit
+        self.root = fresh_path(spark, "statements")
+        self._sessions: OrderedDict[str, SparkSession] = OrderedDict()
+        self._lock = threading.Lock()
+        self._any = False
+
+    def _session(self, key: str) -> SparkSession:
+        with self._lock:
+            if key not in self._sessions:
+                self._sessions[key] = open_table(self.spark, self.path_of(key))
+                if len(self._sessions) > OPEN_TABLES:
+                    self._sessions.popitem(last=False)
+            self._sessions.move_to_end(key)
+            return self._sessions[key]
+
+    def attempt(self, candidate: Row) -> tuple:
+        """Try one ``(query_id, table_rank, table_key, sql[, error])``; the outcome as a row.
+
+        It runs once: its rows are written where it found them, and only their number comes back.
+        """
+        name = uuid.uuid4().hex
+        base = (candidate["query_id"], candidate["table_rank"], candidate["table_key"], candidate["sql"])
+        outcome = lambda status, n=None, detail=None: (*base, status, n, detail, name)
+        failure = candidate["error"] if "error" in candidate else None
+        if failure is not None:
+            return outcome("not_generated", detail=failure)
+        statement = candidate["sql"] or ""
+        if statement.lower() == fixed.IRRELEVANT_REPLY:
+            return outcome("skipped")
+        context, late = self.spark.sparkContext, threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context._jsc.sc().cancelJobGroupAndFutureJobs(name)
+
+        timer = threading.Timer(self.time_limit, stop)
+        timer.daemon = True
+        try:
+            context.setJobGroup(name, f"statement of {base[0]} on {base[2]}", True)
+            context.setLocalProperty("spark.scheduler.pool", name)
+            timer.start()
+            result = run_guarded(self._session(base[2]), statement)
+            path = f"{self.root}/rows/attempt={name}"
+            named = [F.lit(base[0]).alias("query_id"), F.lit(base[1]).cast("int").alias("table_rank"), F.lit("\n".join(header_texts(result))).alias("head")]
+            shown_rows(result).select(*named, "row_no", "text", "json").write.parquet(path)
+            n = self.spark.read.parquet(path).count()
+            return outcome("rows" if n else "empty", n)
+        except RejectedSQL as e:
+            return outcome("rejected", detail=str(e))
+        except (PySparkException, Py4JError) as e:
+            condition = e.getCondition() if isinstance(e, PySparkException) else None
+            return outcome("failed", detail="time limit" if late.is_set() else condition or type(e).__name__)
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.scheduler.pool", None)
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    def run(self, candidates: Iterable[Row]) -> None:
+        """Try candidates of different questions, several at once."""
+        left = iter(candidates)
+        with ThreadPoolExecutor(self.at_once) as pool:
+            while block := list(islice(left, BLOCK)):
+                outcomes = list(pool.map(self.attempt, block))
+                self.spark.createDataFrame(outcomes, ATTEMPTS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/attempts")
+                self._any = True
+
+    def rounds(self, candidates: DataFrame, deepest: int, prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Round n tries the n-th candidate of each question that has no rows yet.
+
+        ``prepare`` turns the candidates of a round into statements (asks for them), so nothing is
+        prepared that a walk stopping at the first result would not need.
+        """
+        for rank in range(1, deepest + 1):
+            now = candidates.filter(F.col("table_rank") == rank)
+            if self._any:
+                now = now.join(self.attempts().filter("status = 'rows'").select("query_id"), "query_id", "left_anti")
+            self.run((prepare(now) if prepare else now).toLocalIterator())
+
+    def attempts(self) -> DataFrame:
+        if not self._any:
+            return self.spark.createDataFrame([], ATTEMPTS_SCHEMA)
+        return self.spark.read.schema(ATTEMPTS_SCHEMA).parquet(f"{self.root}/attempts")
+
+    def rows(self) -> DataFrame:
+        """Rows of the results of statements that ran, in one scan; what a failed one left is not read."""
+        ran = self.attempts().filter(F.col("status").isin(*EXECUTED)).select("attempt")
+        if ran.isEmpty():
+            return self.spark.createDataFrame([], RESULT_ROWS)
+        return self.spark.read.schema(RESULT_ROWS).parquet(f"{self.root}/rows").join(ran, "attempt", "left_semi")
+
+    def log(self) -> DataFrame:
+        """Every attempt, with the rows of its result as one JSON array where it ran."""
+        records = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "json"))), lambda r: r["json"])
+        texts = self.rows().groupBy("attempt").agg(records.alias("_r"))
+        texts = texts.select("attempt", F.array_join("_r", ",").alias("_text"))
+        shown = F.when(F.col("status").isin(*EXECUTED), F.concat(F.lit("["), F.coalesce("_text", F.lit("")), F.lit("]")))
+        return self.attempts().join(texts, "attempt", "left").withColumn("rows_json", shown).drop("_text")
+
+
+def first_rows(statements: Statements, candidates: Iterable[Row]) -> Iterator[tuple]:
+    """Candidates of one question in order, up to and including the first with rows."""
     for candidate in candidates:
-        tried.append(attempt(spark, candidate, path_of))
-        if tried[-1].status == "rows":
+        outcome = statements.attempt(candidate)
+        yield outcome
+        if outcome[4] == "rows":
             break
-    return tried
-
-
-def result_rows(spark: SparkSession, attempts: Iterable[Attempt]) -> DataFrame:
-    """The rows of all results, in one scan."""
-    paths = [a.rows_path for a in attempts if a.rows_path]
-    return spark.read.schema(RESULT_ROWS).parquet(*paths) if paths else spark.createDataFrame([], RESULT_ROWS)
-
-
-def attempt_log(spark: SparkSession, attempts: Iterable[Attempt]) -> DataFrame:
-    """Every attempt, with the rows of its result as one JSON array where it ran."""
-    attempts = list(attempts)
-    records = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "json"))), lambda r: r["json"])
-    texts = result_rows(spark, attempts).groupBy("query_id", "table_rank").agg(records.alias("_r"))
-    texts = texts.select("query_id", "table_rank", F.array_join("_r", ",").alias("_text"))
-    log = spark.createDataFrame([a.row() for a in attempts], ATTEMPTS_SCHEMA)
-    shown = F.when(F.col("status").isin(*EXECUTED), F.concat(F.lit("["), F.coalesce("_text", F.lit("")), F.lit("]")))
-    return log.join(texts, ["query_id", "table_rank"], "left").withColumn("rows_json", shown).drop("_text")
-
-
-def winners(attempts: DataFrame) -> DataFrame:
-    """Per question the first attempt with rows."""
-    return (
-        attempts.filter(F.col("n_rows") > 0)
-        .groupBy("query_id")
-        .agg(F.min_by(F.struct("table_rank", "table_key", "sql", "n_rows"), "table_rank").alias("w"))
-        .select("query_id", "w.*")
-    )
 
 
 def answer_routes(

@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Statements of several questions share the executors instead of waiting for one another.
+    "spark.scheduler.mode": "FAIR",
     # HotSpot does not compile methods above this size; without the limit a long chain of
     # expressions fused into one method runs interpreted.
     "spark.sql.codegen.hugeMethodLimit": "8000",

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from gridloom import fixed
 from gridloom.suite import inputs
-from gridloom.suite.queries import ATTEMPT_REPLIES, DIMS, DOCUMENT_SCHEMA, FETCH, SQL_STATEMENTS, TOP_K
+from gridloom.suite.queries import ANSWER_KINDS, ATTEMPT_REPLIES, DIMS, DOCUMENT_SCHEMA, FETCH, GROUPED, NOTHING, SQL_STATEMENTS, TOP_K
 
 SPACE = "[\\s\\x0B\\x{85}\\p{Z}]"
 
@@ -421,6 +421,34 @@ def _retrieval_oracles() -> dict[str, str]:
     }
 
 
+def _answers(instructions: str) -> str:
+    """Answers of the scripted model, by a question's number modulo 6."""
+    ran = f"CASE kind WHEN 3 THEN {_quote(NOTHING)} ELSE {_quote(GROUPED)} END"
+    return (
+        f"WITH {HITS}, marked AS (SELECT query_id, query_id % {ANSWER_KINDS} AS kind, question || ' #' || query_id % {ANSWER_KINDS} || '#' AS q FROM asked), "
+        "found AS (SELECT * FROM diverse WHERE query_id % 10 <> 0), "
+        "open AS (SELECT query_id FROM found WHERE place = 1 AND table_key <> ''), "
+        "firsts AS (SELECT * FROM found WHERE summary <> '' QUALIFY row_number() OVER (PARTITION BY query_id, table_key ORDER BY place) = 1), "
+        "about AS (SELECT query_id, string_agg('[' || source_file || CASE WHEN sheet = '' THEN '' ELSE '/' || sheet END || ']: ' || summary, chr(10) ORDER BY place) AS a FROM firsts GROUP BY ALL), "
+        "context AS (SELECT query_id, string_agg('[' || place || '] ' || text, chr(10) ORDER BY place) AS t FROM found WHERE place <= 5 GROUP BY ALL), "
+        "prompts AS (SELECT query_id, length(CASE WHEN a IS NULL THEN '' ELSE 'Table descriptions:' || chr(10) || a || chr(10) || chr(10) END || 'Question: ' || q "
+        f"|| chr(10) || chr(10) || 'Context (table rows):' || chr(10) || t || {_text(chr(10) + chr(10) + instructions)}) AS size FROM context JOIN marked USING (query_id) LEFT JOIN about USING (query_id)), "
+        "langs AS (SELECT source AS table_key, lang, count(*) AS n FROM documents GROUP BY ALL), "
+        "shown AS (SELECT table_key, 'from rows: lang | n' || chr(10) || '--------' || chr(10) || string_agg(coalesce(lang, '<nil>') || ' | ' || n, chr(10) ORDER BY lang) AS t, count(*) AS n FROM langs GROUP BY 1), "
+        "listed AS (SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY place) AS s FROM found GROUP BY 1), "
+        "tried AS (SELECT query_id, table_rank, kind, table_key, CASE kind WHEN 3 THEN 0 ELSE n END AS n, shown.t, "
+        f"table_rank || '/' || table_key || '/' || source_file || '/' || sheet || '/0/' || CASE kind WHEN 3 THEN 0 ELSE n END || '/' || {ran} AS line "
+        "FROM candidates JOIN marked USING (query_id) JOIN open USING (query_id) JOIN shown USING (table_key) WHERE kind = 3 OR (kind IN (1, 4) AND table_rank = 1)), "
+        "lines AS (SELECT query_id, string_agg(line, ';' ORDER BY table_rank) AS l FROM tried GROUP BY 1), "
+        "won AS (SELECT query_id, t FROM tried WHERE kind = 1) "
+        f"SELECT m.query_id, CASE WHEN size IS NULL THEN {_quote(fixed.NO_HITS_ANSWER)} WHEN won.t IS NOT NULL THEN won.t WHEN kind = 5 THEN '' ELSE 'from text: ' || size END AS answer, "
+        "CASE WHEN size IS NULL THEN 'none' WHEN won.t IS NOT NULL THEN 'sql' ELSE 'text' END AS route, "
+        "CASE WHEN size IS NOT NULL AND kind = 5 THEN 'RuntimeError: no text' ELSE '' END AS error, "
+        "coalesce(s, '') AS sources, coalesce(l, '') AS attempts FROM marked m LEFT JOIN prompts USING (query_id) LEFT JOIN won USING (query_id) "
+        "LEFT JOIN listed USING (query_id) LEFT JOIN lines USING (query_id)"
+    )
+
+
 def _statement_oracles() -> dict[str, str]:
     low = f"lower({_trim('sql')})"
     tokens = " ".join(
@@ -431,7 +459,7 @@ def _statement_oracles() -> dict[str, str]:
         for n, key, text in ATTEMPT_REPLIES
     )
     lines = "\n".join(_column_line(*c) for c in DOCUMENT_SCHEMA)
-    from gridloom.operators.prompts import CONTEXT_INSTRUCTIONS, SQL_INSTRUCTIONS
+    from gridloom.operators.prompts import CONTEXT_INSTRUCTIONS, RESULT_INSTRUCTIONS, SQL_INSTRUCTIONS
 
     return {
         "validate_sql": f"SELECT p_partkey, sql, reason = '' AS accepted, reason FROM (SELECT *, CASE WHEN {low} = '' THEN 'empty query' "
@@ -457,6 +485,14 @@ def _statement_oracles() -> dict[str, str]:
         "poor AS (SELECT DISTINCT source FROM labels JOIN documents USING (doc_id) WHERE quality = 0 AND lang = 'de') "
         "SELECT item_id AS query_id, CASE WHEN top_key IS NULL THEN 'none' WHEN top_key <> '' AND best.table_key IN (SELECT source FROM poor) "
         "THEN 'sql' ELSE 'text' END AS route FROM questions LEFT JOIN top ON top.query_id = item_id LEFT JOIN best ON best.query_id = item_id",
+        "answers": _answers(CONTEXT_INSTRUCTIONS),
+        "result_prompts": f"WITH data AS ({_wide('customer')}), rows AS (SELECT segment AS query_id, nation, count(*) AS n, max(acct_bal) AS top FROM data GROUP BY ALL), "
+        f"texts AS (SELECT query_id, string_agg(n || ' | ' || coalesce(CAST(nation AS VARCHAR), '<nil>') || ' | ' || coalesce({_small_number('top')}, '<nil>'), chr(10) ORDER BY nation NULLS LAST) AS t FROM rows GROUP BY 1) "
+        "SELECT query_id, CASE WHEN query_id < 'F' THEN 'Table description:' || chr(10) || 'Customers' || chr(10) || chr(10) ELSE '' END || 'Question: How is ' || query_id || '?' || "
+        "chr(10) || chr(10) || 'SQL query executed:' || chr(10) || replace('SELECT nation, count(*) AS n, max(acct_bal) AS top FROM data WHERE segment = ''{q}'' GROUP BY nation ORDER BY nation NULLS LAST', '{q}', query_id) || "
+        f"chr(10) || chr(10) || 'Results:' || chr(10) || 'n | nation | top' || chr(10) || '{'-' * 16}' || chr(10) || t || {_text(chr(10) + chr(10) + RESULT_INSTRUCTIONS)} AS prompt FROM texts",
+        "no_hits": f"SELECT item_id AS query_id, {_quote(fixed.NO_HITS_ANSWER)} AS answer, 0 AS n_sources, 0 AS n_attempts FROM benchmark WHERE item_id % 10 = 0 "
+        f"UNION ALL (WITH {HITS} SELECT query_id, {_quote(fixed.NO_HITS_ANSWER)}, 0, 0 FROM asked WHERE query_id % 10 <> 0 AND query_id NOT IN (SELECT query_id FROM hits))",
         "sql_prompts": f"WITH {HITS}, shown AS (SELECT query_id, table_key, string_agg('  ' || text || chr(10), '' ORDER BY nth) AS s FROM sampled GROUP BY ALL), "
         f"made AS (SELECT c.query_id, table_rank, c.table_key, {_text('Table name: data' + chr(10) + 'Schema:' + chr(10) + lines + chr(10))} "
         "|| coalesce(chr(10) || 'Sample data rows:' || chr(10) || s, '') || chr(10) || 'Question: ' || question || "

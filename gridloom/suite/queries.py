@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -14,6 +15,7 @@ from gridloom.functions.text import term_bucket, fnv1a
 from gridloom.operators import chunks as ck
 from gridloom.operators import grid as g
 from gridloom.operators import hooks, prompts, retrieval, routing, runlog, schema, sqlguard, typed, vectors
+from gridloom.plans.answer import answer_hits
 from gridloom.plans.ingest import Store
 from gridloom.session import fresh_path, prepare, written
 from gridloom.sources import catalog
@@ -441,15 +443,14 @@ ATTEMPT_REPLIES = [
 def sql_attempts(spark, sf_dir):
     """Statements run table by table until one returns rows; one question per segment."""
     root = stored_tables(spark, sf_dir)
-    segments = table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
-    tried = []
-    for row in segments.toLocalIterator():
-        q = row[0]
-        candidates = [
-            Row(query_id=q, table_rank=n, table_key=key, sql=text.replace("{q}", q)) for n, key, text in ATTEMPT_REPLIES
-        ]
-        tried += routing.first_rows(spark, candidates, lambda key: table_path(root, key))
-    return routing.attempt_log(spark, tried).select(
+    tries = spark.createDataFrame([Row(table_rank=n, table_key=key, text=text) for n, key, text in ATTEMPT_REPLIES], "table_rank int, table_key string, text string")
+    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("query_id")).distinct()
+    # Each segment with each of the six replies.
+    candidates = segments.withColumn("table_rank", F.explode(F.sequence(F.lit(1), F.lit(len(ATTEMPT_REPLIES))))).join(tries, "table_rank")
+    candidates = candidates.select("query_id", "table_rank", "table_key", F.replace("text", F.lit("{q}"), F.col("query_id")).alias("sql"))
+    statements = routing.Statements(spark, lambda key: table_path(root, key))
+    statements.rounds(written(candidates, "candidates"), len(ATTEMPT_REPLIES))
+    return statements.log().select(
         "query_id", "table_rank", "table_key", "sql", "status", F.coalesce("rows_json", F.lit("")).alias("rows_json")
     )
 
@@ -506,6 +507,76 @@ def sql_prompts(spark, sf_dir):
     return made.select("query_id", "table_rank", "table_key", F.sha2("prompt", 256).alias("digest"), F.length("prompt").alias("length"))
 
 
+# A question says, by its number modulo 6, how the model behaves.
+ANSWER_KINDS = 6
+GROUPED = "SELECT lang, count(*) AS n FROM data GROUP BY lang ORDER BY lang"
+NOTHING = "SELECT doc_id FROM data WHERE n_chars < 0"
+
+
+def scripted_reply(system: str, prompt: str) -> str:
+    """A model whose replies and failures depend on the prompt alone."""
+    kind = int(re.search(r"#(\d)#", prompt).group(1))
+    if prompt.startswith("Table name: "):
+        if kind == 2:
+            raise RuntimeError("no statement")
+        return {0: "SKIP", 3: NOTHING, 5: "DROP TABLE data"}.get(kind, f"```sql\n{GROUPED};\n```")
+    if "SQL query executed:" in prompt:
+        if kind == 4:
+            raise RuntimeError("no reply")
+        return "from rows: " + prompt.split("Results:\n")[1].split("\n\n")[0]
+    if kind == 5:
+        raise RuntimeError("no text")
+    return f"from text: {len(prompt)}"
+
+
+def _marked_questions(spark, sf_dir):
+    mark = F.concat(F.lit(" #"), (F.col("query_id") % ANSWER_KINDS).cast("string"), F.lit("#"))
+    return _questions(spark, sf_dir).select("query_id", F.concat("question", mark).alias("question"), F.lit(TOP_K).alias("top_k"))
+
+
+@query
+def answers(spark, sf_dir):
+    """Questions over the documents of each source as tables, with a model that fails for some."""
+    root = fresh_path(spark, "sources")
+    docs = table(spark, sf_dir, "documents")
+    docs.select("doc_id", "text", "lang", "n_chars", "source").write.partitionBy("source").parquet(root)
+    described = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(o).alias("original_name"), F.lit(t).alias("type")) for n, o, t in DOCUMENT_SCHEMA])
+    hits = _document_hits(spark, sf_dir).where(F.col("query_id") % 10 != 0)
+    name = F.col("query_id").cast("string")
+    hits = hits.withColumns({"query_id": name, "schema": described, "table_index": F.lit(0), "row_index": F.col("doc_id")})
+    asked = _marked_questions(spark, sf_dir).withColumn("query_id", name)
+    done = answer_hits(spark, asked, hits, scripted_reply, lambda key: f"{root}/source={key}")
+    attempts = F.transform("sql_attempts", lambda a: F.concat_ws("/", a["table_rank"], a["table_key"], a["source_file"], a["sheet"], a["table_index"], a["n_rows"], a["sql"]))
+    return done.select(
+        F.col("query_id").cast("long").alias("query_id"), F.coalesce("answer", F.lit("")).alias("answer"), "route", F.coalesce("error", F.lit("")).alias("error"),
+        F.array_join(F.transform("sources", lambda s: s["row_index"].cast("string")), ",").alias("sources"), F.array_join(attempts, ";").alias("attempts"),
+    )
+
+
+@query
+def result_prompts(spark, sf_dir):
+    """One prompt per segment, showing the customers' numbers by nation."""
+    root = stored_tables(spark, sf_dir)
+    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("query_id")).distinct()
+    statement = "SELECT nation, count(*) AS n, max(acct_bal) AS top FROM data WHERE segment = '{q}' GROUP BY nation ORDER BY nation NULLS LAST"
+    candidates = segments.select("query_id", F.lit(1).alias("table_rank"), F.lit("customer").alias("table_key"), F.replace(F.lit(statement), F.lit("{q}"), F.col("query_id")).alias("sql"))
+    statements = routing.Statements(spark, lambda key: table_path(root, key))
+    statements.rounds(candidates, 1)
+    about = statements.attempts().select("query_id", "sql", F.when(F.col("query_id") < "F", F.lit("Customers")).otherwise(F.lit("")).alias("summary"))
+    results = sqlguard.prompt_tables(statements.rows(), "query_id").join(about, "query_id")
+    return prompts.result_prompts(results, segments.select("query_id", F.concat(F.lit("How is "), "query_id", F.lit("?")).alias("question")))
+
+
+@query
+def no_hits(spark, sf_dir):
+    """Questions of which nothing is found, asked of an index of all documents, among others."""
+    asked = _questions(spark, sf_dir).withColumn("top_k", F.lit(TOP_K))
+    found = _document_hits(spark, sf_dir).where(F.col("query_id") % 10 != 0)
+    hits = found.withColumns({"table_index": F.lit(0), "row_index": F.col("doc_id")})
+    done = answer_hits(spark, asked, hits, None, str)
+    return done.where("route = 'none'").select("query_id", "answer", F.size("sources").alias("n_sources"), F.size("sql_attempts").alias("n_attempts"))
+
+
 @query
 def chunk_prompts(spark, sf_dir):
     diverse = retrieval.diversify(_document_hits(spark, sf_dir), TOP_K)

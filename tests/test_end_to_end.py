@@ -125,6 +125,32 @@ def test_answers(spark, loaded):
     assert {r.route for r in plain.values()} == {"text"} and plain["q1"].answer.count("\n") == 2
 
 
+def test_a_failed_call_concerns_its_question_only(spark, loaded):
+    store, _, _ = loaded
+
+    def failing(system, prompt):
+        if "Table name: data" in prompt and "statement fails" in prompt:
+            raise RuntimeError("no statement")
+        if "SQL query executed:" in prompt and "reply fails" in prompt:
+            raise RuntimeError("no reply")
+        if "Context (table rows):" in prompt and "text fails" in prompt:
+            raise RuntimeError("no text")
+        return MODEL(system, prompt)
+
+    questions = spark.createDataFrame(
+        [("fine", "average amount by region", 5), ("a", "average region statement fails", 5), ("b", "average amount by region reply fails", 5), ("c", "region explode text fails", 5)],
+        "query_id string, question string, top_k int",
+    )
+    got = {r.query_id: r for r in answer(spark, store, questions, EMBED, failing).collect()}
+    assert got["fine"].route == "sql" and got["fine"].error is None
+    assert (got["a"].route, got["a"].answer, got["a"].sql_attempts) == ("text", "from text", [])
+    assert (got["b"].route, got["b"].answer) == ("text", "from text")
+    (tried,) = got["b"].sql_attempts
+    assert (tried.source_file, tried.sheet, tried.table_index, tried.n_rows) == ("sales.csv", "", 0, 2)
+    assert (got["c"].route, got["c"].answer, got["c"].error) == ("text", None, "RuntimeError: no text")
+    assert len(got["c"].sources) == 5
+
+
 def test_search_ranks_matching_rows_first(spark, loaded):
     store, _, _ = loaded
     asked = spark.createDataFrame([("q", "City Oslo Budget", 2)], "query_id string, question string, top_k int")

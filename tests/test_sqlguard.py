@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import Row
@@ -168,24 +170,46 @@ def test_rendered_doubles(spark):
     assert got == cases
 
 
-def test_attempts_stop_at_the_first_rows(spark, session):
-    def candidates(*statements):
-        return [Row(query_id="q", table_rank=i, table_key="t", sql=s) for i, s in enumerate(statements, 1)]
+def candidates(*statements, q="q"):
+    return [Row(query_id=q, table_rank=i, table_key="t", sql=s) for i, s in enumerate(statements, 1)]
 
-    tried = routing.first_rows(
-        spark,
-        candidates("skip", "DROP x", "SELECT nope FROM data", "SELECT id FROM data WHERE id > 99", "SELECT max(id) AS m FROM data", "SELECT 1 AS x"),
-        lambda key: session,
-    )
-    assert [t.status for t in tried] == ["skipped", "rejected", "failed", "empty", "rows"]
-    assert tried[-1].n_rows == 1
-    none = routing.first_rows(spark, candidates("SELECT id FROM data WHERE id > 99"), lambda key: session)
-    log = routing.attempt_log(spark, tried)
-    assert [r.rows_json for r in log.orderBy("table_rank").collect()] == [None, None, None, "[]", '[{"m":9}]']
-    log = routing.attempt_log(spark, tried[:1] + tried[2:] + none)
-    assert [(r.table_rank, r.sql) for r in routing.winners(log).collect()] == [(5, "SELECT max(id) AS m FROM data")]
-    assert log.filter(F.col("status").isin(*routing.EXECUTED)).count() == 3
-    assert routing.attempt_log(spark, []).count() == 0
+
+def test_attempts_stop_at_the_first_rows(spark, session):
+    statements = routing.Statements(spark, lambda key: session)
+    tried = candidates("skip", "DROP x", "SELECT nope FROM data", "SELECT id FROM data WHERE id > 99", "SELECT max(id) AS m FROM data", "SELECT 1 AS x")
+    assert [t[4] for t in routing.first_rows(statements, tried)] == ["skipped", "rejected", "failed", "empty", "rows"]
+    statements = routing.Statements(spark, lambda key: session)
+    other = candidates("SELECT id FROM data WHERE id > 99", q="r")
+    statements.rounds(spark.createDataFrame([*tried, *other]), 6)
+    log = statements.log().orderBy("query_id", "table_rank").collect()
+    assert [(r.query_id, r.status, r.n_rows) for r in log] == [
+        ("q", "skipped", None), ("q", "rejected", None), ("q", "failed", None), ("q", "empty", 0), ("q", "rows", 1), ("r", "empty", 0),
+    ]
+    assert [r.rows_json for r in log] == [None, None, None, "[]", '[{"m":9}]', "[]"]
+    assert [(r.query_id, r.text) for r in statements.rows().collect()] == [("q", "9")]
+    none = routing.Statements(spark, lambda key: session)
+    assert none.log().count() == 0 and none.rows().count() == 0
+
+
+def test_statements_run_at_once_and_end_in_time(spark, session):
+    slow = "SELECT count(*) AS n FROM data a, data b, data c, data d, data e, data f, data g, data h, data i WHERE a.id + b.id + c.id + d.id + e.id + f.id + g.id + h.id + i.id = -1"
+    statements = routing.Statements(spark, lambda key: session, at_once=4, time_limit=8.0)
+    mixed = [Row(query_id=f"q{i}", table_rank=1, table_key="t", sql=s) for i, s in enumerate([slow, "SELECT 1 AS x", slow, "SELECT id FROM data", "nonsense", "SELECT 2 AS y"])]
+    started = time.monotonic()
+    statements.run(mixed)
+    took = time.monotonic() - started
+    got = {r.query_id: (r.status, r.detail, r.n_rows) for r in statements.attempts().collect()}
+    late = ("failed", "time limit", None)
+    assert got == {"q0": late, "q1": ("rows", None, 1), "q2": late, "q3": ("rows", None, 10), "q4": ("rejected", "only SELECT queries are allowed", None), "q5": ("rows", None, 1)}
+    assert took < 60
+    assert {r.query_id for r in statements.rows().collect()} == {"q1", "q3", "q5"}
+
+
+def test_a_statement_that_was_not_generated_is_told_apart(spark, session):
+    statements = routing.Statements(spark, lambda key: session)
+    rows = [Row(query_id="a", table_rank=1, table_key="t", sql=None, error="Boom: x"), Row(query_id="b", table_rank=1, table_key="t", sql="", error=None)]
+    statements.run(rows)
+    assert {(r.query_id, r.status, r.detail) for r in statements.attempts().collect()} == {("a", "not_generated", "Boom: x"), ("b", "rejected", "empty query")}
 
 
 def test_alias_named_like_a_catalog_table_opens_nothing(spark, tmp_path):
