@@ -24,6 +24,8 @@ SHIFT = 24
 # Links that a task gathers before it writes their containers; chunks of text whose tokens it
 # remembers; characters of a text that are looked at together; bytes of texts handled at once.
 GATHER, REMEMBER, WINDOW, TOGETHER = 1_000_000, 150_000, 1 << 20, 1 << 20
+# What a Python worker has loaded and learnt stays for its next tasks.
+_LOADED: dict[tuple[bytes, bytes], "_Chunks"] = {}
 # Where a single space stands between two characters that are no white space, both tokenizers
 # begin a new token with the space, whatever lies around it: neither has a token with a space
 # after another character. So a text is the sequence of its chunks, and equal chunks have equal
@@ -90,7 +92,23 @@ class _Chunks(dict):
         self.pair, self.new = pair, []
         none = np.zeros(0, np.int64)
         self.ok, self.n_a, self.n_b, self.n_groups, self.codes, self.sizes = np.zeros(0, bool), none, none, none, none, none
-        self.starts, self.text = none, []
+        self.starts, self.used, self.text = none, none, []
+
+    def use(self, numbers: np.ndarray) -> None:
+        self.used[: len(self)] += np.bincount(numbers, minlength=len(self))
+
+    def forget(self, keep: int) -> None:
+        """Go on with the most used chunks only; numbers change."""
+        best = np.sort(np.argsort(-self.used, kind="stable")[:keep])
+        names = list(self)
+        self.codes = self.codes[_spread(self.starts[best], self.sizes[best])]
+        for name in ("ok", "n_a", "n_b", "n_groups", "sizes"):
+            setattr(self, name, getattr(self, name)[best])
+        self.used = self.used[best] // 2
+        self.text = [self.text[i] for i in best.tolist()]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.clear()
+        self.update((names[i], n) for n, i in enumerate(best.tolist()))
 
     def __missing__(self, chunk: str) -> int:
         self[chunk] = n = len(self)
@@ -126,6 +144,7 @@ class _Chunks(dict):
         for name, values in more.items():
             setattr(self, name, np.concatenate([getattr(self, name), values]))
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.used = np.concatenate([self.used, np.zeros(len(chunks), np.int64)])
         # Ids in the order in which they are told: of each group those of A, then those of B.
         a_group, b_group = np.searchsorted(shared, a_end), np.searchsorted(shared, b_end)
         a_before, b_before = np.searchsorted(a_group, np.arange(len(shared) + 1)), np.searchsorted(b_group, np.arange(len(shared) + 1))
@@ -160,13 +179,13 @@ def _chunk_numbers(text: str, chunks: _Chunks) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _containers(codes: np.ndarray, rows: np.ndarray, planes: np.ndarray) -> Iterator[dict]:
-    """Containers, as columns, of distinct (code, plane, row) of one span of rows, sorted in this order."""
+def _containers(codes: np.ndarray, places: np.ndarray, planes: np.ndarray) -> Iterator[dict]:
+    """Containers, as columns, of distinct (code, plane, place in a span), sorted in this order."""
     if not len(codes):
         return
     cut = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (planes[1:] != planes[:-1])]))
     card = np.diff(np.concatenate([cut, [len(codes)]]))
-    place = (rows % SPAN).astype("<u2")
+    place = places.astype("<u2")
     for dense in (False, True):
         mine = (card > DENSE) == dense
         if not mine.any():
@@ -221,25 +240,27 @@ def links(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
         return pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _Pair(*sent.value)
-        chunks = _Chunks(pair)
+        files = sent.value
+        if files not in _LOADED:
+            _LOADED.clear()
+            _LOADED[files] = _Chunks(_Pair(*files))
+        chunks = _LOADED[files]
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         load, span = 0, -1
 
         def flush(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
             nonlocal load
-            code, row, times = (np.concatenate(x) for x in zip(*held))
+            code, place, times = (np.concatenate(x) for x in zip(*held))
             held.clear()
             load = 0
-            of = int(row[0]) // SPAN
-            order = np.argsort((code << 16) | (row % SPAN))
-            code, row, times = code[order], row[order], times[order]
+            order = np.argsort((code << 16) | place)
+            code, place, times = code[order], place[order], times[order]
             for plane in range(int(times.max()).bit_length()):
                 here = (times >> plane) & 1 == 1
-                for c in _containers(code[here], row[here], np.full(int(here.sum()), plane)):
+                for c in _containers(code[here], place[here], np.full(int(here.sum()), plane)):
                     for at in range(0, len(c["card"]), 100_000):
                         part = {k: v[at : at + 100_000] for k, v in c.items()}
-                        yield rows(len(part["card"]), id_type, {**part, "span": np.full(len(part["card"]), of)})
+                        yield rows(len(part["card"]), id_type, {**part, "span": np.full(len(part["card"]), span)})
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
@@ -247,12 +268,13 @@ def links(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
             for piece in (p for at in range(0, batch.num_rows, 1 << 14) for p in pieces(batch.slice(at, 1 << 14), "_t", TOGETHER)):
                 row = piece["_row"].to_numpy()
                 if len(chunks) > REMEMBER:
-                    chunks = _Chunks(pair)
+                    chunks.forget(REMEMBER // 2)
                 numbers = [_chunk_numbers(text or "", chunks) for text in piece["_t"].to_pylist()]
                 chunks.learn()
                 # A text with a chunk that does not come back has no tokens at all.
                 numbers = [x if chunks.ok[x].all() else x[:0] for x in numbers]
                 n, flat = np.array([len(x) for x in numbers]), np.concatenate(numbers)
+                chunks.use(flat)
                 of = np.repeat(np.arange(len(n)), n)
                 total = lambda name: np.bincount(of, getattr(chunks, name)[flat], len(n)).astype(np.int64)
                 counts = {"n_a": total("n_a"), "n_b": total("n_b"), "n_groups": total("n_groups"), "n_links": total("sizes")}
@@ -268,7 +290,7 @@ def links(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
                             yield from flush(id_type)
                         span = number
                     here = row[of] // SPAN == number
-                    held.append((code[here], row[of[here]], times[here]))
+                    held.append((code[here], (row[of[here]] % SPAN).astype(np.uint16), times[here].astype(np.int32)))
                     load += int(here.sum())
                 yield rows(piece.num_rows, id_type, {"_row": row, "doc_id": piece["doc_id"], **counts, "groups_sha256": digests})
         if held:
