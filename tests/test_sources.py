@@ -12,6 +12,7 @@ from gridloom.operators.sqlguard import open_table, run_guarded
 from gridloom.sources import catalog, tables
 from gridloom.sources.csv import scan_csv, split_fields, states_before
 from gridloom.sources.listing import list_files, paths_for
+from gridloom.sources import store as store_module
 from gridloom.sources.store import KeyedStore
 from gridloom.sources.xlsx import scan_xlsx
 
@@ -273,6 +274,67 @@ def test_store_upsert_delete(spark, tmp_path, rows_of):
     assert rows_of(store.read(spark)) == once
 
 
+def folders(path):
+    return sorted(p.name for p in path.iterdir() if p.name.startswith("seg-"))
+
+
+def test_a_batch_is_one_small_segment(spark, tmp_path, rows_of):
+    root = tmp_path / "s"
+    store = KeyedStore(str(root), "chunk_id", ITEMS, 4).create(spark)
+    store.upsert(spark.range(5000).selectExpr("concat('c', id) chunk_id", "'f' file_id", "id n"))
+    before = {p: p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+    store.upsert(spark.createDataFrame([("c7", "f", -7)], ITEMS))
+    (new,) = set(folders(root)) - {p.parent.name for p in before}
+    assert len(list((root / new).glob("*.parquet"))) == 1 and {p: p.stat().st_mtime_ns for p in before} == before
+    got = dict(store.read(spark).select("chunk_id", "n").collect())
+    assert len(got) == 5000 and got["c7"] == -7 and got["c8"] == 8
+    # The base moves through no exchange and a condition reaches its scan.
+    text = store.read(spark).filter("n = 8")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in text and "EqualTo(n,8)" in text
+
+
+def test_a_change_that_ended_half_way_never_began(spark, tmp_path, rows_of):
+    root = tmp_path / "s"
+    store = KeyedStore(str(root), "chunk_id", ITEMS, 2).create(spark)
+    rows = [(f"c{i}", "f", i) for i in range(20)]
+    store.upsert(spark.createDataFrame(rows, ITEMS))
+    store.upsert(spark.createDataFrame([("c1", "g", 100)], ITEMS))
+    (root / folders(root)[-1] / "_SUCCESS").unlink()
+    assert rows_of(store.read(spark)) == sorted(rows)
+    store.upsert(spark.createDataFrame([("c1", "g", 100)], ITEMS))
+    expected = {r for r in rows if r[0] != "c1"} | {("c1", "g", 100)}
+    assert set(rows_of(store.read(spark))) == expected
+    # So it is with a compaction, whose segment is left aside and made anew.
+    store.compact(spark)
+    assert set(rows_of(store.read(spark))) == expected and store.segments(spark)[1] == []
+    (root / [f for f in folders(root) if f.startswith("seg-000000000000-000000000003")][0] / "_SUCCESS").unlink()
+    assert set(rows_of(store.read(spark))) == expected
+    store.compact(spark)
+    assert set(rows_of(store.read(spark))) == expected
+
+
+def test_many_changes_equal_a_dictionary(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "SEGMENTS", 3)
+    root = tmp_path / "s"
+    store, now = KeyedStore(str(root), "chunk_id", ITEMS, 2).create(spark), {}
+    random.seed(4)
+    for step in range(14):
+        if step % 4 == 3:
+            least = random.randint(0, 60)
+            store.delete(spark, F.col("n") >= least)
+            now = {k: v for k, v in now.items() if v < least}
+        else:
+            batch = {f"c{random.randint(0, 30)}": random.randint(0, 100) for _ in range(random.choice([1, 4, 200]))}
+            store.upsert(spark.createDataFrame([(k, "f", v) for k, v in batch.items()], ITEMS))
+            now |= batch
+        assert dict(store.read(spark).select("chunk_id", "n").collect()) == now
+    # Covered segments go with the next compaction; a reader's files outlive one.
+    reader = store.read(spark)
+    store.compact(spark)
+    assert dict(reader.select("chunk_id", "n").collect()) == now == dict(store.read(spark).select("chunk_id", "n").collect())
+    assert len(folders(root)) < 10
+
+
 def test_catalog_json_skips_unreadable(spark, tmp_path):
     folder = tmp_path / "c"
     folder.mkdir()
