@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import flat_bytes, mix64, pieces, remainder
@@ -17,9 +18,12 @@ from gridloom.session import written
 # Frequent words whose exact counts are sent to every task: at most TOP, each up to TOP_BYTES
 # long. Counts of all others are joined.
 TOP, TOP_BYTES = 200_000, 48
-# Filter: bits per training token (a token adds at most one pair, and fewer than half of them
-# are new), never more than MAX_BYTES, which is the bound of what is broadcast.
-BITS_PER_TOKEN, MAX_BYTES, PROBES, BLOCK = 5, 256 << 20, 4, 512
+# Filter: bits per training token, whatever their number, in slices for so many tokens each. It
+# is broadcast up to BROADCAST bytes; beyond that the n-grams of texts are sent to its slices.
+BITS_PER_TOKEN, SLICE_TOKENS, PROBES, BLOCK = 5, 500_000, 4, 512
+BROADCAST = 256 << 20
+# Texts that ask a slice together (2 ** CHUNK_BITS rows).
+CHUNK_BITS = 8
 # Weight of the pair estimate against the word estimate.
 PAIRS = 0.2
 _START, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -74,23 +78,51 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").alias("_t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _positions(h: np.ndarray, level: int, blocks: int) -> list[np.ndarray]:
-    """Bits of an n-gram at a level: its block from its high bits, the places in it from a remix."""
-    base = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)) * np.uint64(BLOCK)
-    g = mix64(h ^ (np.full(1, level, dtype=np.uint64) * _LEVEL))
-    return [base + ((g >> np.uint64(9 * k)) & np.uint64(BLOCK - 1)) for k in range(PROBES)]
+class Filter:
+    """Layout of the filter: ``slices`` of ``per_slice`` blocks, the levels an n-gram is held at."""
+
+    def __init__(self, tokens: int):
+        self.slices = max(16, 2 ** math.ceil(math.log2(max(1, tokens) / SLICE_TOKENS + 1)))
+        self.per_slice = max(1, tokens * BITS_PER_TOKEN // BLOCK // self.slices + 1)
+        self.slice_bytes = self.per_slice * BLOCK // 8
+
+    def slice_of(self, h: np.ndarray) -> np.ndarray:
+        """From the high bits: hashes in order are in the order of their slices."""
+        return (h >> np.uint64(32)) * np.uint64(self.slices) >> np.uint64(32)
+
+    def places(self, h: np.ndarray, level: int) -> list[np.ndarray]:
+        """Bits of an n-gram in its slice: the block from its low bits, the places in it from a remix."""
+        base = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(self.per_slice) >> np.uint64(32)) * np.uint64(BLOCK)
+        g = mix64(h ^ (np.full(1, level, dtype=np.uint64) * _LEVEL))
+        return [base + ((g >> np.uint64(9 * k)) & np.uint64(BLOCK - 1)) for k in range(PROBES)]
+
+    def levels(self, h: np.ndarray, bits: np.ndarray, start: np.ndarray | int) -> np.ndarray:
+        """The last level at which all probes hit; ``start`` is where each one's slice begins in ``bits``, in bytes."""
+        level = np.zeros(len(h), dtype=np.int64)
+        left, start = np.arange(len(h)), np.broadcast_to(np.asarray(start, dtype=np.int64), len(h))
+        for q in range(1, 64):
+            hit = np.ones(len(left), dtype=bool)
+            for at in self.places(h[left], q):
+                hit &= (bits[start[left] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
+            left = left[hit]
+            if not len(left):
+                break
+            level[left] = q
+        return level
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """Counts as levels tell them: 0, 1, and the middle of a power of two on."""
+    return np.where(level > 0, np.where(level == 1, 1.0, 2.0 ** (level - 0.5)), 0.0)
 
 
-def build_filter(docs: DataFrame, tokens: int) -> tuple[bytes, int]:
-    """The filter's bits and number of blocks.
+def build_filter(docs: DataFrame, layout: Filter) -> DataFrame:
+    """``(slice, bits)`` of the filter, each slice once.
 
     Words and pairs with count c are held at the levels 1 to 1 + floor(log2 c). Each task
-    counts its own hashes; they meet by slice of the filter, which a block never crosses, and
-    the number of slices follows the number of tokens, so a group's size does not.
+    counts its own hashes; they meet by slice of the filter, and the number of slices follows
+    the number of tokens, so a group's size does not.
     """
-    slices = int(min(8192, max(16, 2 ** int(np.ceil(np.log2(max(1, tokens) / 500_000 + 1))))))
-    per_slice = max(1, int(min(tokens * BITS_PER_TOKEN, MAX_BYTES * 8) // BLOCK // slices + 1))
-    blocks = per_slice * slices
 
     def merged(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(h)
@@ -103,7 +135,7 @@ def build_filter(docs: DataFrame, tokens: int) -> tuple[bytes, int]:
 
         def out() -> pa.RecordBatch:
             h, c = merged(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            of = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)) // np.uint64(per_slice)
+            of = layout.slice_of(h)
             cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(h)]])
             c = np.minimum(c, 2**32 - 1).astype(np.uint32)
             once = [h[a:b][c[a:b] == 1].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
@@ -123,49 +155,85 @@ def build_filter(docs: DataFrame, tokens: int) -> tuple[bytes, int]:
             yield out()
 
     def fill(group: pa.Table) -> pa.Table:
-        bits = np.zeros(per_slice * BLOCK, dtype=bool)
+        bits = np.zeros(layout.per_slice * BLOCK, dtype=bool)
         join = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), dtype=kind)
         once, more = join("once", np.uint64), join("more", np.uint64)
         h, c = merged(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), join("counts", np.uint32).astype(np.int64)]))
         number = group["slice"][0].as_py()
         levels = np.frexp(c.astype(np.float64))[1]
         for level in range(1, int(levels.max()) + 1):
-            for at in _positions(h[levels >= level], level, blocks):
-                bits[(at - np.uint64(number * per_slice * BLOCK)).astype(np.int64)] = True
+            for at in layout.places(h[levels >= level], level):
+                bits[at.astype(np.int64)] = True
         return pa.table({"slice": pa.array([number], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     counted = docs.select(F.col("text").alias("_t")).mapInArrow(count, "slice int, once binary, more binary, counts binary")
-    out = bytearray(blocks * BLOCK // 8)
-    step = per_slice * BLOCK // 8
-    for row in counted.groupBy("slice").applyInArrow(fill, "slice int, bits binary").toLocalIterator():
-        out[row["slice"] * step : (row["slice"] + 1) * step] = row["bits"]
-    return bytes(out), blocks
-
-
-def quantised(h: np.ndarray, bits: np.ndarray, blocks: int) -> np.ndarray:
-    """Counts as the filter tells them: the middle of the last level at which all probes hit."""
-    level = np.zeros(len(h), dtype=np.int64)
-    left = np.arange(len(h))
-    for q in range(1, 40):
-        hit = np.ones(len(left), dtype=bool)
-        for at in _positions(h[left], q, blocks):
-            hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
-        left = left[hit]
-        if not len(left):
-            break
-        level[left] = q
-    return np.where(level > 0, np.where(level == 1, 1.0, 2.0 ** (level - 0.5)), 0.0)
+    return counted.groupBy("slice").applyInArrow(fill, "slice int, bits binary")
+
+
+def _broadcast_levels(spark: SparkSession, filled: DataFrame, layout: Filter):
+    """Levels from the whole filter, which every task has."""
+    out = bytearray(layout.slices * layout.slice_bytes)
+    for row in filled.toLocalIterator():
+        out[row["slice"] * layout.slice_bytes : (row["slice"] + 1) * layout.slice_bytes] = row["bits"]
+    shared = spark.sparkContext.broadcast(bytes(out))
+
+    def levels(h: np.ndarray) -> np.ndarray:
+        bits = np.frombuffer(shared.value, dtype=np.uint8)
+        return layout.levels(h, bits, layout.slice_of(h).astype(np.int64) * layout.slice_bytes)
+
+    return levels
 
 
-def score_texts(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
+def _hashes(piece: pa.RecordBatch) -> np.ndarray:
+    """The distinct n-grams of some texts, in order."""
+    token, pair = _grams(*_tokens(piece))
+    return np.unique(np.concatenate([mix64(token), pair]))
+
+
+def _asked_levels(texts: DataFrame, filled: DataFrame, layout: Filter) -> DataFrame:
+    """``(_chunk, slice, levels)``: the levels of the distinct n-grams of each chunk of texts, by slice.
+
+    Chunks send their hashes to the slices that hold them; the levels come back in their order,
+    a byte each. A slice is asked chunk by chunk, so no group grows with the texts: slices that
+    are asked often are split by the skew join.
+    """
+
+    def ask(group: pa.Table) -> pa.Table:
+        h = _hashes(group.combine_chunks().to_batches()[0])
+        of = layout.slice_of(h).astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
+        parts = [h[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(h)])]
+        chunk = group["_chunk"][0].as_py()
+        return pa.table({"_chunk": pa.array([chunk] * len(cuts), pa.int64()), "slice": pa.array(of[cuts].astype(np.int32)), "hashes": pa.array(parts, pa.binary())})
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for hashes, bits in zip(batch["hashes"], batch["bits"]):
+                h = np.frombuffer(hashes.as_buffer(), np.uint64)
+                # A slice in which nothing is held has no row.
+                level = layout.levels(h, np.frombuffer(bits.as_buffer(), np.uint8), 0) if bits.is_valid else np.zeros(len(h))
+                found.append(level.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["_chunk"], batch["slice"], pa.array(found, pa.binary())], ["_chunk", "slice", "levels"])
+
+    asked = texts.select("_chunk", "_t").groupBy("_chunk").applyInArrow(ask, "_chunk long, slice int, hashes binary")
+    return asked.join(filled, "slice", "left").select("_chunk", "slice", "hashes", "bits").mapInArrow(look, "_chunk long, slice int, levels binary")
+
+
+def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int | None = None) -> DataFrame:
     """One row per document: counts of its tokens, the unigram base and the model's log10 probability.
 
     Learns from rows whose ``crc32(doc_id) mod fold`` is not ``held``. The base needs exact
     counts: those of the most frequent words are in every task, those of other words are
     joined by word after each text has counted its own. The model is a pair model with
     ``P(w|h) = PAIRS * c(h,w) / c(h) + (1 - PAIRS) * P(w)`` and ``P(w) = (c(w)+1)/(N+V+1)``, all
-    counts read from the filter. A null text is empty: one token, the end. A null doc_id
-    counts as the empty id; repeated rows score alike; other columns are not looked at.
+    counts read from the filter, whose bits grow with the training tokens, so that its error
+    rate does not. Up to ``broadcast`` bytes (``BROADCAST``) every task gets the filter; a larger
+    one stays in its slices and is asked there, with the same scores.
+
+    A null text is empty: one token, the end. A null doc_id counts as the empty id; repeated rows
+    score alike; a text of any length is one row of its task; an empty table gives no rows;
+    other columns are not looked at.
     """
     spark = docs.sparkSession
     mark = remainder("doc_id", fold)
@@ -174,46 +242,59 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     texts = training.count()
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = words + texts, kinds + (1 if texts else 0)
-    top_rows = counts.where(F.octet_length("word") <= TOP_BYTES).orderBy(F.desc("c"), "word").limit(TOP).collect()
-    top = spark.sparkContext.broadcast({bytes(r[0]): r[1] for r in top_rows})
-    bits, blocks = build_filter(training, n)
-    shared = spark.sparkContext.broadcast(bits)
+    top_rows = counts.where(F.octet_length("word") <= TOP_BYTES).orderBy(F.desc("c"), "word").limit(TOP).toArrow()
+    top = spark.sparkContext.broadcast(dict(zip(top_rows["word"].to_pylist(), top_rows["c"].to_pylist())))
+    del top_rows
+    layout = Filter(n)
+    filled = written(build_filter(training, layout), "filter-slices")
     total = float(n + v + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = top.value, np.frombuffer(shared.value, dtype=np.uint8)
-        for batch in batches:
-            for piece in pieces(batch, "_t"):
-                words, flat, lengths = _tokens(piece)
-                token, pair = _grams(words, flat, lengths)
-                rows, ends = len(lengths), np.cumsum(lengths + 1)
-                starts = ends - lengths - 1
-                one = quantised(mix64(token), bits, blocks)
-                two = quantised(pair, bits, blocks)
-                before = np.empty_like(one)
-                before[1:], before[starts] = one[:-1], float(max(1, texts))
-                p = PAIRS * np.minimum(two, before) / np.maximum(before, 1.0) + (1 - PAIRS) * (one + 1) / total
-                score = np.add.reduceat(np.log10(p), starts) if rows else p
-                c = np.array([known.get(w, 0) for w in words], dtype=np.int64)
-                doc = np.repeat(np.arange(rows), lengths)
-                here = c[flat] > 0
-                base = np.bincount(doc[here], weights=np.log10((c[flat[here]] + 1) / total), minlength=rows) + np.log10((texts + 1) / total)
-                seen = np.bincount(doc[here], minlength=rows) + (1 if texts else 0)
-                # Words that are not in every task: counted per text, to be joined.
-                code, times = np.unique(doc[~here] * max(1, len(words)) + flat[~here], return_counts=True)
-                of, which = code // max(1, len(words)), code % max(1, len(words))
-                bounds = np.searchsorted(of, np.arange(rows + 1))
-                tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(which)), pa.array(times.astype(np.int32))], ["word", "m"])
-                rest = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), tail)
-                yield pa.RecordBatch.from_arrays(
-                    [piece["_row"], piece["doc_id"], pa.array(lengths + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score), rest],
-                    ["_row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"],
-                )
+    def score(piece: pa.RecordBatch, levels: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+        known = top.value
+        words, flat, lengths = _tokens(piece)
+        token, pair = _grams(words, flat, lengths)
+        rows, ends = len(lengths), np.cumsum(lengths + 1)
+        starts = ends - lengths - 1
+        one = middle(levels(mix64(token)))
+        two = middle(levels(pair))
+        before = np.empty_like(one)
+        before[1:], before[starts] = one[:-1], float(max(1, texts))
+        p = PAIRS * np.minimum(two, before) / np.maximum(before, 1.0) + (1 - PAIRS) * (one + 1) / total
+        score = np.add.reduceat(np.log10(p), starts) if rows else p
+        c = np.array([known.get(w, 0) for w in words], dtype=np.int64)
+        doc = np.repeat(np.arange(rows), lengths)
+        here = c[flat] > 0
+        base = np.bincount(doc[here], weights=np.log10((c[flat[here]] + 1) / total), minlength=rows) + np.log10((texts + 1) / total)
+        seen = np.bincount(doc[here], minlength=rows) + (1 if texts else 0)
+        # Words that are not in every task: counted per text, to be joined.
+        code, times = np.unique(doc[~here] * max(1, len(words)) + flat[~here], return_counts=True)
+        of, which = code // max(1, len(words)), code % max(1, len(words))
+        bounds = np.searchsorted(of, np.arange(rows + 1))
+        tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(which)), pa.array(times.astype(np.int32))], ["word", "m"])
+        rest = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), tail)
+        return pa.RecordBatch.from_arrays(
+            [piece["_row"], piece["doc_id"], pa.array(lengths + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score), rest],
+            ["_row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"],
+        )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("text").alias("_t")).mapInArrow(
-        run, f"_row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,m:int>>"
-    )
+    schema = f"_row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,m:int>>"
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("text").alias("_t"))
+    if layout.slices * layout.slice_bytes <= (BROADCAST if broadcast is None else broadcast):
+        levels = _broadcast_levels(spark, filled, layout)
+        scored = rows.mapInArrow(lambda batches: (score(p, levels) for batch in batches for p in pieces(batch, "_t")), schema)
+    else:
+        chunks = written(rows.withColumn("_chunk", F.shiftright("_row", CHUNK_BITS)), "numbered-texts")
+        replies = written(_asked_levels(chunks, filled, layout), "filter-replies")
+
+        def with_replies(texts: pa.Table, replies: pa.Table) -> pa.Table:
+            piece = texts.combine_chunks().to_batches()[0]
+            h, order = _hashes(piece), np.argsort(replies["slice"].to_numpy())
+            found = replies["levels"].to_pylist()
+            level = np.frombuffer(b"".join([found[i] for i in order]), np.uint8).astype(np.int64)
+            return pa.Table.from_batches([score(piece, lambda x: level[np.searchsorted(h, x)])])
+
+        scored = chunks.groupBy("_chunk").cogroup(replies.groupBy("_chunk")).applyInArrow(with_replies, schema)
     scored = written(scored, "scored-texts")
     log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(total))
     tail = scored.select("_row", F.explode("rest").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.m").alias("m"))

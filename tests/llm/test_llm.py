@@ -277,13 +277,50 @@ def test_language_model_joins_rare_words(docs, monkeypatch):
 
 
 def test_filter_never_loses_a_count():
-    h = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits = np.zeros(64 * 512, dtype=bool)
+    layout = ngram_model.Filter(3000)
+    h = np.sort(np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    start = layout.slice_of(h).astype(np.int64) * layout.slice_bytes
+    assert (np.diff(start) >= 0).all() and start.max() < layout.slices * layout.slice_bytes
+    bits = np.zeros(layout.slices * layout.slice_bytes * 8, dtype=bool)
     for level in (1, 2, 3):
-        for at in ngram_model._positions(h[: 2000 // level], level, 64):
-            bits[at.astype(np.int64)] = True
-    packed = np.packbits(bits, bitorder="little")
-    assert (ngram_model.quantised(h, packed, 64) >= 1).all()
+        some = slice(None, 2000 // level)
+        for at in layout.places(h[some], level):
+            bits[start[some] * 8 + at.astype(np.int64)] = True
+    level = layout.levels(h, np.packbits(bits, bitorder="little"), start)
+    assert (level >= 1).all() and (level[:666] >= 3).all()
+
+
+def test_filter_grows_with_the_tokens():
+    for tokens in (0, 10, 10**6, 10**10, 10**14):
+        layout = ngram_model.Filter(tokens)
+        held = layout.slices * layout.slice_bytes * 8
+        assert tokens * ngram_model.BITS_PER_TOKEN <= held <= 4 * tokens * ngram_model.BITS_PER_TOKEN + 16 * 512 * 2
+        assert layout.slice_bytes < 1 << 20
+
+
+def test_language_model_scores_are_those_of_quantised_counts(docs, monkeypatch):
+    """With so many bits that no probe hits by chance, the score follows from counts alone."""
+    monkeypatch.setattr(ngram_model, "BITS_PER_TOKEN", 4000)
+    rows = everything(docs)
+    fold = lambda d: crc32(str("" if d is None else d).encode()) % 7
+    texts = [(d, [*(w.lower() if w.isascii() else w for w in re.findall(r"[^ \t\n\x0b\x0c\r]+", t or "")), None]) for d, t in rows]
+    train = [w for d, w in texts if fold(d) != 2]
+    one, two = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(["^", *w], w))
+    size, q = sum(one.values()) + len(one) + 1, lambda c: 0.0 if not c else 1.0 if c == 1 else 2 ** (math.floor(math.log2(c)) + 0.5)
+    want = Counter()
+    for d, w in texts:
+        score = 0.0
+        for h, x in zip(["^", *w], w):
+            held = float(len(train)) if h == "^" else q(one[h])
+            score += math.log10(ngram_model.PAIRS * min(q(two[h, x]), held) / max(held, 1.0) + (1 - ngram_model.PAIRS) * (q(one[x]) + 1) / size)
+        want[d, round(score, 6)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in ngram_model.score_texts(docs).collect()) == want
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(docs):
+    values = lambda df: Counter(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert values(ngram_model.score_texts(docs)) == values(ngram_model.score_texts(docs, broadcast=0))
+    assert ngram_model.score_texts(docs.where("doc_id < -5"), broadcast=0).count() == 0
 
 
 def test_neighbours(spark):
