@@ -52,13 +52,20 @@ WITH all_lines AS (
   SELECT doc_id, i, regexp_replace(line, '^[ \t\x0b\x0c\r]+|[ \t\x0b\x0c\r]+$', '', 'g') AS line,
          row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
   FROM all_lines WHERE regexp_matches(line, '[^ \t\x0a\x0b\x0c\r]')
-), windows AS (
-  SELECT a.doc_id, a.p, a.line AS x, b.line AS y, c.line AS z
-  FROM inked a JOIN inked b ON b.doc_id = a.doc_id AND b.p = a.p + 1 JOIN inked c ON c.doc_id = a.doc_id AND c.p = a.p + 2
+), sized AS (
+  SELECT *, len(regexp_split_to_array(line, '[ \t\x0b\x0c\r]+')) AS w,
+         lead(line) OVER o AS line2, lead(line, 2) OVER o AS line3
+  FROM inked WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), counted AS (
+  SELECT *, lead(w) OVER o AS w2 FROM sized WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (
+  SELECT doc_id, p, 1 AS n, line AS run FROM counted WHERE w >= 8
+  UNION ALL SELECT doc_id, p, 2, line || chr(10) || line2 FROM counted WHERE line2 IS NOT NULL AND w + w2 >= 8
+  UNION ALL SELECT doc_id, p, 3, line || chr(10) || line2 || chr(10) || line3 FROM counted WHERE line3 IS NOT NULL
 ), later AS (
-  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, p) AS r FROM windows) WHERE r > 1
+  SELECT doc_id, p, n FROM (SELECT doc_id, p, n, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, p) AS r FROM runs) WHERE r > 1
 ), gone AS (
-  SELECT DISTINCT i.doc_id, i.i FROM inked i JOIN later l ON l.doc_id = i.doc_id AND i.p BETWEEN l.p AND l.p + 2
+  SELECT DISTINCT i.doc_id, i.i FROM inked i JOIN later l ON l.doc_id = i.doc_id AND i.p BETWEEN l.p AND l.p + l.n - 1
 ), kept AS (
   SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.i) AS text
   FROM all_lines a ANTI JOIN gone g ON g.doc_id = a.doc_id AND g.i = a.i GROUP BY a.doc_id

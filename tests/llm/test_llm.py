@@ -155,22 +155,31 @@ def test_substrings_shared_passage_with_different_surroundings(spark, tmp_path):
 
 
 def test_lines(spark, tmp_path):
+    """Longest shared runs, found by extending each pair of equal lines to both sides."""
     r = np.random.default_rng(4)
-    texts = ["\n".join(r.choice(["a", " a", "b", "c", "", "\t", "d e"], int(r.integers(0, 14)))) for _ in range(60)] + [None, ""]
+    kinds = ["a", " a", "b", "c", "", "\t", "d e", "f g h i", "j k l m n o p", "q r s t u v w x", "1 2 3 4 5 6 7 8 9 10 11"]
+    texts = ["\n".join(r.choice(kinds, int(r.integers(0, 14)))) for _ in range(70)] + [None, "", "q  r s t u v w x\r", "1 2 3 4 5 6 7 8 9 10 11\na", "1 2 3 4 5 6 7 8 9 10 11\n\na\nz"]
     spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_lines long, starts string").coalesce(1).write.parquet(str(tmp_path / "l"))
     got = {x["doc_id"]: x for x in lines.dedup_lines(spark.read.parquet(str(tmp_path / "l"))).collect()}
-    seen = set()
+    inked = [[k for k, x in enumerate((t or "").split("\n")) if x.strip()] for t in texts]
+    said = [[(t or "").split("\n")[k].strip() for k in ks] for t, ks in zip(texts, inked)]
     for i, t in enumerate(texts):
-        all_lines = (t or "").split("\n")
-        inked = [k for k, x in enumerate(all_lines) if x.strip()]
         gone = set()
-        for p in range(len(inked) - 2):
-            key = tuple(all_lines[k].strip() for k in inked[p : p + 3])
-            if key in seen:
-                gone.update(inked[p : p + 3])
-            seen.add(key)
-        want = "\n".join(x for k, x in enumerate(all_lines) if k not in gone) if t is not None else None
-        assert (got[i]["text"], got[i]["n_lines"], got[i]["n_deleted"], got[i]["starts"]) == (want, len(inked), len(gone), "x")
+        for earlier in range(i + 1):
+            for p in range(len(said[i])):
+                for q in range(len(said[earlier]) if earlier < i else p):
+                    if said[i][p] != said[earlier][q]:
+                        continue
+                    a = b = 0
+                    while min(p, q) - a > 0 and said[i][p - a - 1] == said[earlier][q - a - 1]:
+                        a += 1
+                    while p + b + 1 < len(said[i]) and q + b + 1 < len(said[earlier]) and said[i][p + b + 1] == said[earlier][q + b + 1]:
+                        b += 1
+                    if a + b + 1 >= 3 or sum(len(x.split()) for x in said[i][p - a : p + b + 1]) >= 8:
+                        gone.update(range(p - a, p + b + 1))
+        drop = {inked[i][k] for k in gone}
+        want = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop) if t is not None else None
+        assert (got[i]["text"], got[i]["n_lines"], got[i]["n_deleted"], got[i]["starts"]) == (want, len(inked[i]), len(gone), "x")
 
 
 def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path, monkeypatch):
