@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ SPAN, DENSE = 1 << 16, 4096
 SHIFT = 24
 # Links that a task gathers before it writes their containers; chunks of text whose tokens it
 # remembers; characters of a text that are looked at together; bytes of texts handled at once.
-GATHER, REMEMBER, WINDOW, TOGETHER = 1_000_000, 150_000, 1 << 20, 1 << 20
+GATHER, REMEMBER, WINDOW, TOGETHER = 500_000, 60_000, 1 << 20, 1 << 18
 # What a Python worker has loaded and learnt stays for its next tasks.
 _LOADED: dict[tuple[bytes, bytes], "_Chunks"] = {}
 # Where a single space stands between two characters that are no white space, both tokenizers
@@ -50,7 +49,7 @@ class _Pair:
         self.a = Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=b)
-        values, extra = _byte_values(), {t["id"]: t["content"].encode() for t in json.loads(a)["added_tokens"]}
+        values, extra = _byte_values(), {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
         names = self.a.get_vocab(with_added_tokens=False)
         size = max([*names.values(), *extra]) + 1
         self.a_bytes = [b""] * size
