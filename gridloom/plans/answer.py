@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import fixed
-from gridloom.operators import hooks, retrieval
+from gridloom.operators import hooks, replies, retrieval
 from gridloom.operators.prompts import chunk_prompts, result_prompts, sql_prompts
 from gridloom.operators.routing import EXECUTED, Statements, answer_routes
 from gridloom.operators.sqlguard import clean_sql, prompt_tables
@@ -19,13 +19,13 @@ from gridloom.session import written
 
 
 def search(
-    spark: SparkSession, store: Store, questions: DataFrame, embed: hooks.Embed
+    spark: SparkSession, store: Store, questions: DataFrame, embed: hooks.Embed, calls: replies.CallStore | None = None
 ) -> DataFrame:
     """Hybrid hits of ``questions(query_id, question, top_k)`` with payload.
 
     Each question gets ``top_k`` * 5 fused hits from branches of twice that length.
     """
-    asked = written(questions.withColumn("dense", hooks.embeddings("question", embed)), "questions")
+    asked = written(replies.embeddings(calls, questions, "question", "dense", embed), "questions")
     longest = asked.agg(F.max("top_k")).first()[0]
     if longest is None:
         longest = fixed.DEFAULT_TOP_K
@@ -51,12 +51,13 @@ def answer(
     questions: DataFrame,
     embed: hooks.Embed,
     complete: hooks.Complete | None = None,
+    calls: replies.CallStore | None = None,
 ) -> DataFrame:
     """``(query_id, answer, route, sources, sql_attempts, error)`` of every question.
 
     ``questions(query_id string, question string, top_k int)``; a missing or non-positive
     ``top_k`` means 10. The result is as in ``answer_hits``, and the run is added to the query log
-    (time split evenly).
+    (time split evenly). With ``calls`` the model is asked nothing that it has replied to before.
     """
     started = time.monotonic()
     top_k = F.col("top_k") if "top_k" in questions.columns else F.lit(None).cast("int")
@@ -65,7 +66,7 @@ def answer(
         "question",
         F.when(top_k > 0, top_k).otherwise(F.lit(fixed.DEFAULT_TOP_K)).cast("int").alias("top_k"),
     )
-    result = answer_hits(spark, asked, search(spark, store, asked, embed), complete, store.table_path)
+    result = answer_hits(spark, asked, search(spark, store, asked, embed, calls), complete, store.table_path, calls)
     per_question = int((time.monotonic() - started) * 1000 / max(1, result.count()))
     result.select("query_id", "route", F.lit(per_question).cast("bigint").alias("duration_ms")).write.mode(
         "append"
@@ -79,6 +80,7 @@ def answer_hits(
     found: DataFrame,
     complete: hooks.Complete | None,
     path_of: Callable[[str], str],
+    calls: replies.CallStore | None = None,
 ) -> DataFrame:
     """Answers of ``asked(query_id, question, top_k)`` from their hits with payload.
 
@@ -99,7 +101,7 @@ def answer_hits(
 
     statements = Statements(spark, path_of)
     candidates = retrieval.table_candidates(hits)
-    replies = spark.createDataFrame([], "query_id string, reply string")
+    from_rows = spark.createDataFrame([], "query_id string, reply string")
     if complete is not None:
         keyed = diverse.filter((F.col("place") == 1) & (F.col("table_key") != "")).select("query_id")
         usable = candidates.join(keyed, "query_id", "left_semi").filter(F.size("schema") > 0)
@@ -109,7 +111,7 @@ def answer_hits(
         )
 
         def ask(now: DataFrame) -> DataFrame:
-            told = hooks.completions(now, "prompt", "reply", complete, error="error")
+            told = replies.completions(calls, now, "prompt", "reply", complete, error="error")
             return written(told.select("query_id", "table_rank", "table_key", clean_sql("reply").alias("sql"), "error"), "sql-statements")
 
         statements.rounds(prompts, prompts.agg(F.max("table_rank")).first()[0] or 0, ask)
@@ -119,8 +121,8 @@ def answer_hits(
         )
         results = prompt_tables(statements.rows().join(won.select("attempt"), "attempt", "left_semi"), "query_id")
         told = result_prompts(results.join(chosen, "query_id"), asked.select("query_id", "question"))
-        replies = written(hooks.completions(told, "prompt", "reply", complete, error="error").select("query_id", "reply"), "sql-replies")
-    good = replies.filter(F.col("reply").isNotNull())
+        from_rows = written(replies.completions(calls, told, "prompt", "reply", complete, error="error").select("query_id", "reply"), "sql-replies")
+    good = from_rows.filter(F.col("reply").isNotNull())
     log = statements.log()
     # The route is that of the answer: rows whose reply failed do not count.
     won_tables = log.filter(F.col("n_rows") > 0).join(good, "query_id", "left_semi").select("query_id", "table_key")
@@ -131,7 +133,7 @@ def answer_hits(
         texts = retrieval.raw_answers(open_questions).select("query_id", F.col("answer").alias("text_reply"), F.lit(None).cast("string").alias("error"))
     else:
         asked_text = chunk_prompts(open_questions, asked.select("query_id", "question"))
-        texts = hooks.completions(asked_text, "prompt", "text_reply", complete, error="error").select("query_id", "text_reply", "error")
+        texts = replies.completions(calls, asked_text, "prompt", "text_reply", complete, error="error").select("query_id", "text_reply", "error")
 
     listed = retrieval.sources(diverse).groupBy("query_id").agg(
         F.array_sort(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import chunks as ck
-from gridloom.operators import hooks
+from gridloom.operators import hooks, replies
 from gridloom.operators.grid import find_tables, first_row_tables
 from gridloom.operators.runlog import INGEST_LOG
 from gridloom.operators.schema import COLUMN_STRUCT, describe_tables
@@ -84,14 +84,14 @@ class Ingested:
     rejected: DataFrame
 
 
-def index_rows(chunks: DataFrame, embed: hooks.Embed) -> DataFrame:
+def index_rows(chunks: DataFrame, embed: hooks.Embed, calls: replies.CallStore | None = None) -> DataFrame:
     """Chunks with dense and sparse vectors, ready for the index.
 
     Files of one name share chunk ids; one row per id goes on, so that the terms of one text
     are never counted together with those of another.
     """
     once = chunks.groupBy("chunk_id").agg(F.max(F.struct(*chunks.columns)).alias("_row")).select("_row.*")
-    dense = once.withColumn("dense", hooks.embeddings("text", embed))
+    dense = replies.embeddings(calls, once, "text", "dense", embed)
     return with_sparse(dense, "chunk_id").withColumn("ingested_at", F.current_timestamp()).select(
         *_INDEX_COLUMNS
     )
@@ -124,16 +124,19 @@ def ingest(
     embed: hooks.Embed,
     complete: hooks.Complete | None = None,
     lenient_prefix: bool = False,
+    calls: replies.CallStore | None = None,
 ) -> Ingested:
     """Find, name, type, store, chunk, embed and index the tables of all files of a folder.
 
     A failed summary stays empty; a failed question prompt fails the run. Everything is
     keyed by file, sheet and row, so running again replaces instead of adding.
-    ``lenient_prefix`` reads leading numbers of texts in number columns.
+    ``lenient_prefix`` reads leading numbers of texts in number columns. With ``calls`` a repeated
+    run asks the models nothing again.
     """
     started = time.monotonic()
     store.create(spark)
-    files = list_files(spark, path)
+    # Written, so that all uses see the same listing.
+    files = written(list_files(spark, path), "files")
     tables, rows, rejected = read_grids(spark, files)
     tables, rows = written(tables, "tables"), written(rows, "rows")
 
@@ -141,7 +144,7 @@ def ingest(
         tables = tables.withColumn("summary", F.lit(""))
     else:
         asked = ck.summary_prompts(rows, tables)
-        told = hooks.completions(asked, "prompt", "summary", complete, hooks.SUMMARY_SYSTEM, tolerate_errors=True)
+        told = replies.completions(calls, asked, "prompt", "summary", complete, hooks.SUMMARY_SYSTEM, tolerate_errors=True)
         tables = tables.join(told.drop("prompt"), "table_key")
     described = written(describe_tables(tables, rows), "described")
 
@@ -151,11 +154,11 @@ def ingest(
         described = described.withColumn("hyde", F.lit(""))
     else:
         asked = ck.question_prompts(rows, described)
-        told = hooks.completions(asked, "prompt", "hyde", complete, hooks.QUESTION_SYSTEM)
+        told = replies.completions(calls, asked, "prompt", "hyde", complete, hooks.QUESTION_SYSTEM)
         described = written(described.join(told.drop("prompt"), "table_key"), "described")
 
     chunks = ck.row_chunks(rows, described)
-    indexed = written(index_rows(chunks, embed), "index-rows")
+    indexed = written(index_rows(chunks, embed, calls), "index-rows")
     store.index.upsert(indexed)
 
     counts = indexed.groupBy("table_key").agg(F.count(F.lit(1)).alias("n_chunks"))

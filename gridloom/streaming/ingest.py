@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.operators.chunks import chunk_id
 from gridloom.operators.hooks import Complete, Embed
+from gridloom.operators.replies import CallStore
 from gridloom.operators.schema import COLUMN_STRUCT
 from gridloom.plans.ingest import Store, index_rows, ingest
 
@@ -23,6 +24,7 @@ def watch_files(
     embed: Embed,
     complete: Complete | None = None,
     available_now: bool = True,
+    calls: CallStore | None = None,
 ) -> StreamingQuery:
     """Ingest every new CSV or workbook of a folder once.
 
@@ -35,7 +37,7 @@ def watch_files(
     def handle(batch: DataFrame, _: int) -> None:
         paths = [r["path"] for r in batch.toLocalIterator()]
         if paths:
-            ingest(batch.sparkSession, paths, store, embed, complete)
+            ingest(batch.sparkSession, paths, store, embed, complete, calls=calls)
 
     writer = names.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -58,12 +60,15 @@ def chunk_stream(rows: DataFrame) -> DataFrame:
     )
 
 
-def index_stream(rows: DataFrame, store: Store, checkpoint: str, embed: Embed) -> StreamingQuery:
-    """Upsert a stream of text rows into the index, all that is available now."""
+def index_stream(rows: DataFrame, store: Store, checkpoint: str, embed: Embed, calls: CallStore | None = None) -> StreamingQuery:
+    """Upsert a stream of text rows into the index, all that is available now.
+
+    With ``calls`` a replayed batch embeds nothing again.
+    """
     store.create(rows.sparkSession)
 
     def handle(batch: DataFrame, _: int) -> None:
-        store.index.upsert(index_rows(batch, embed))
+        store.index.upsert(index_rows(batch, embed, calls))
 
     return (
         chunk_stream(rows)

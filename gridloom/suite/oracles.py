@@ -486,6 +486,8 @@ def _statement_oracles() -> dict[str, str]:
         "SELECT item_id AS query_id, CASE WHEN top_key IS NULL THEN 'none' WHEN top_key <> '' AND best.table_key IN (SELECT source FROM poor) "
         "THEN 'sql' ELSE 'text' END AS route FROM questions LEFT JOIN top ON top.query_id = item_id LEFT JOIN best ON best.query_id = item_id",
         "answers": _answers(CONTEXT_INSTRUCTIONS),
+        "completions": "SELECT p_partkey, CASE WHEN contains(p_type, 'COPPER') THEN '' ELSE 'About: ' || lower('Part ' || p_type) || ', ' || length('Part ' || p_type) || ' letters' END AS reply, "
+        "CASE WHEN contains(p_type, 'COPPER') THEN 'RuntimeError: no reply to Part ' || p_type ELSE '' END AS error FROM part",
         "result_prompts": f"WITH data AS ({_wide('customer')}), rows AS (SELECT segment AS query_id, nation, count(*) AS n, max(acct_bal) AS top FROM data GROUP BY ALL), "
         f"texts AS (SELECT query_id, string_agg(n || ' | ' || coalesce(CAST(nation AS VARCHAR), '<nil>') || ' | ' || coalesce({_small_number('top')}, '<nil>'), chr(10) ORDER BY nation NULLS LAST) AS t FROM rows GROUP BY 1) "
         "SELECT query_id, CASE WHEN query_id < 'F' THEN 'Table description:' || chr(10) || 'Customers' || chr(10) || chr(10) ELSE '' END || 'Question: How is ' || query_id || '?' || "

@@ -15,6 +15,7 @@ from gridloom.functions.text import term_bucket, fnv1a
 from gridloom.operators import chunks as ck
 from gridloom.operators import grid as g
 from gridloom.operators import hooks, prompts, retrieval, routing, runlog, schema, sqlguard, typed, vectors
+from gridloom.operators.replies import CallStore
 from gridloom.plans.answer import answer_hits
 from gridloom.plans.ingest import Store
 from gridloom.session import fresh_path, prepare, written
@@ -529,6 +530,27 @@ def scripted_reply(system: str, prompt: str) -> str:
     return f"from text: {len(prompt)}"
 
 
+def described_part(system: str, prompt: str) -> str:
+    """A model that cannot describe copper."""
+    if "COPPER" in prompt:
+        raise RuntimeError("no reply to " + prompt)
+    return f" {system} {prompt.lower()}, {len(prompt)} letters "
+
+
+@query
+def completions(spark, sf_dir):
+    """Kinds of parts described by a model, in two runs of which the second finds all replies kept."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Part "), "p_type").alias("prompt"))
+    calls = CallStore(fresh_path(spark, "calls"), "describer")
+    calls.completions(parts.where(~F.contains("prompt", F.lit("COPPER"))), "prompt", "reply", described_part, "About:")
+
+    def silent(system: str, prompt: str) -> str:
+        raise RuntimeError("asked again: " + prompt if "COPPER" not in prompt else "no reply to " + prompt)
+
+    done = calls.completions(parts, "prompt", "reply", silent, "About:", error="error")
+    return done.select("p_partkey", F.coalesce("reply", F.lit("")).alias("reply"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 def _marked_questions(spark, sf_dir):
     mark = F.concat(F.lit(" #"), (F.col("query_id") % ANSWER_KINDS).cast("string"), F.lit("#"))
     return _questions(spark, sf_dir).select("query_id", F.concat("question", mark).alias("question"), F.lit(TOP_K).alias("top_k"))
