@@ -277,3 +277,16 @@ select p_partkey, case p_partkey % 9
     else chr(10) || q || ';;' end as reply
 from (select p_partkey, 'SELECT ' || replace(p_name, ' ', '_') || ' FROM data' as q from {part}) t
 """
+
+
+# Documents as records of delimited files, a thousand to a file: quoted texts with their line
+# breaks, a ragged record, stray quotes, and blank lines after a record.
+CSV_RECORDS = """
+select part, doc_id, part || ',' || cast(doc_id as string) || ',' || case doc_id % 4
+  when 1 then quoted || ',extra,'
+  when 2 then 'x" y "z ,"a "b" c"'
+  when 3 then quoted || chr(10) || chr(10)
+  else quoted end as value
+from (select source || '-' || cast(doc_id div 1000 as string) as part, doc_id,
+  '"' || replace(replace(coalesce(text, ''), chr(13), ''), '"', '""') || '"' as quoted from {documents})
+"""

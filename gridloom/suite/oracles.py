@@ -366,7 +366,22 @@ def _chunk_oracles() -> dict[str, str]:
     named = ", ".join(f"({i}, {_quote(h)})" for i, h in enumerate(header))
     listed = " | ".join(header)
     sheet_title = "'Table: customers.xlsx / ' || replace(table_key, 'customer-', 'Sheet ')"
+    chunk = _uuid(chr(39).join(["table_key || ", ".csv||0|", " || row_index"]))
     return {
+        "csv_rows": "WITH d AS (SELECT source || '-' || CAST(doc_id // 1000 AS VARCHAR) AS part, doc_id, replace(coalesce(text, ''), chr(13), '') AS t FROM documents), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id) - 1 AS r FROM d), "
+        "c AS (SELECT part, r, CASE doc_id % 4 WHEN 1 THEN [part, CAST(doc_id AS VARCHAR), t, 'extra', ''] "
+        "WHEN 2 THEN [part, CAST(doc_id AS VARCHAR), 'x\" y \"z ', 'a \"b\" c'] ELSE [part, CAST(doc_id AS VARCHAR), t] END AS cells FROM r) "
+        "SELECT part, r, CAST(col - 1 AS INTEGER) AS col, length(cells[col]) AS size, md5(cells[col]) AS digest FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS col FROM c) u",
+        "listed_files": "SELECT '.csv' AS extension, 'csv' AS reader, '' AS reason, count(DISTINCT c_mktsegment) AS n_files FROM customer "
+        "UNION ALL SELECT '.json', '', 'unsupported file type: .json', count(DISTINCT p_type) FROM part "
+        "UNION ALL SELECT '.txt', '', 'unsupported file type: .txt', count(DISTINCT c_nationkey) FROM customer",
+        "ingest_files": f"WITH {_cells('customer')}, texts AS (SELECT row_index, string_agg('customer v' || col_index || ': ' || v, ' | ' ORDER BY col_index) AS text FROM cells WHERE v <> '' GROUP BY ALL), "
+        "total AS (SELECT count(*) AS n_chunks FROM texts) "
+        f"SELECT text, 'Some customers' AS summary, {inputs.WIDTH} AS n_columns, {DIMS} AS dims, count(*) AS n, 5 AS n_files, 5 AS n_tables, n_chunks FROM texts, total GROUP BY ALL",
+        "index_payload": f"{_texts()}, {_types()}, columns AS (SELECT table_key, string_agg(name || '/' || original_name || '/' || type, ';' ORDER BY col_index) AS columns FROM types JOIN headers USING (table_key, col_index) GROUP BY 1) "
+        f"SELECT {chunk} AS chunk_id, table_key, 'file-' || table_key AS file_id, table_key || '.csv' AS source_file, '' AS sheet, 0 AS table_index, row_index, text, "
+        "'asked of ' || table_key AS hyde, 'about ' || table_key AS summary, columns FROM texts JOIN columns USING (table_key)",
         "row_chunks": f"{_texts()} SELECT table_key, row_index, text, {inputs.WIDTH} AS n_columns FROM texts",
         "chunk_ids": f"{_texts()} SELECT table_key, row_index, {_uuid(chr(39).join(['table_key || ', '.csv||0|', ' || row_index']))} AS chunk_id FROM texts",
         "hyde_prompts": f"WITH {_cells('customer', **sheets)}, {_types()}, names(col_index, h) AS (VALUES {named}), "

@@ -17,10 +17,11 @@ from gridloom.operators import grid as g
 from gridloom.operators import hooks, prompts, retrieval, routing, runlog, schema, sqlguard, typed, vectors
 from gridloom.operators.replies import CallStore
 from gridloom.plans.answer import answer_hits
-from gridloom.plans.ingest import Store
+from gridloom.plans.ingest import Store, ingest
 from gridloom.session import fresh_path, prepare, written
 from gridloom.sources import catalog
 from gridloom.sources.csv import scan_csv
+from gridloom.sources.listing import list_files
 from gridloom.sources.store import KeyedStore
 from gridloom.sources.tables import table_path, write_tables
 from gridloom.streaming.ingest import TEXT_ROWS, index_stream
@@ -736,6 +737,62 @@ def csv_ingest(spark, sf_dir):
     )
 
 
+@query
+def csv_rows(spark, sf_dir):
+    """Every cell and position of files whose texts hold line breaks, stray quotes and blank lines."""
+    folder = fresh_path(spark, "delimited")
+    records = spark.sql(inputs.CSV_RECORDS, documents=table(spark, sf_dir, "documents"))
+    one_file = records.repartition("part").sortWithinPartitions("part", "doc_id")
+    one_file.select("part", "value").write.partitionBy("part").text(folder)
+    cells = scan_csv(spark, [folder]).select("r", "cells", F.posexplode("cells").alias("col", "value"))
+    return cells.select(F.col("cells")[0].alias("part"), "r", "col", F.length("value").alias("size"), F.md5("value").alias("digest"))
+
+
+@query
+def listed_files(spark, sf_dir):
+    """Customers by segment, parts by type and nations, in files of different kinds below one folder."""
+    folder = fresh_path(spark, "files")
+    customers, parts = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    customers.repartition("c_mktsegment").write.partitionBy("c_mktsegment").csv(f"{folder}/customers")
+    parts.select("p_partkey", "p_type").repartition("p_type").write.partitionBy("p_type").json(f"{folder}/parts")
+    customers.select(F.col("c_name").alias("value"), "c_nationkey").repartition("c_nationkey").write.partitionBy("c_nationkey").text(f"{folder}/names")
+    files = list_files(spark, folder).where("extension in ('.csv', '.json', '.txt')")
+    return files.groupBy("extension", F.coalesce("reader", F.lit("")).alias("reader"), F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def _described_sheet(system: str, prompt: str) -> str:
+    return "Some customers" if system == hooks.SUMMARY_SYSTEM else f"{prompt.count(chr(10))} lines"
+
+
+@query
+def ingest_files(spark, sf_dir):
+    """Customers as five delimited files, ingested; the index rows with what they carry."""
+    folder = fresh_path(spark, "delimited")
+    rows = inputs.text_rows(spark, sf_dir, "customer")
+    fields = [F.col("values")[i].alias(f"customer v{i}") for i in range(inputs.WIDTH)]
+    # Names of files differ, as chunk ids are made from them.
+    writer = rows.select(*fields).repartition(5).write.option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    store = Store(fresh_path(spark, "store"), index_buckets=4, catalog_buckets=2)
+    ingest(spark, folder, store, hooks.hashed_embedding(DIMS), _described_sheet)
+    chunks = catalog.list_files(spark, store.catalog).agg(F.count(F.lit(1)).alias("n_files"), F.sum("tables_found").alias("n_tables"), F.sum("chunks_count").alias("n_chunks"))
+    index = store.index.read(spark).groupBy("text", "summary", F.size("schema").alias("n_columns"), F.size("dense").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
+    return index.join(chunks, F.lit(True))
+
+
+@query
+def index_payload(spark, sf_dir):
+    """All payload fields of the rows of the text tables, stored and read back by key."""
+    described, rows = _described(spark, sf_dir)
+    described = described.withColumns({"summary": F.concat(F.lit("about "), "table_key"), "hyde": F.concat(F.lit("asked of "), "table_key")})
+    payload = "chunk_id string, table_key string, file_id string, source_file string, sheet string, table_index int, row_index bigint, text string, hyde string, summary string, columns string"
+    store = KeyedStore(fresh_path(spark, "index"), "chunk_id", payload, 8).create(spark)
+    chunks = ck.row_chunks(rows, described)
+    store.upsert(chunks.withColumn("columns", F.array_join(F.transform("schema", lambda c: F.concat_ws("/", c["name"], c["original_name"], c["type"])), ";")).drop("schema"))
+    hits = chunks.select("chunk_id").distinct()
+    return retrieval.attach_payload(hits, store.read(spark))
+
+
 @query
 def streaming_ingest(spark, sf_dir):
     """Documents as a stream of texts, upserted into an index by id."""
