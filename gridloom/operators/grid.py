@@ -215,21 +215,16 @@ def extract_tables(
     width = F.col("max_col") - F.col("min_col") + 1
     got = F.slice("cells", F.col("min_col") + 1, width)
     padded = F.concat(got, F.array_repeat(F.lit(""), width - F.size(got)))
+    values = F.transform(padded, lambda v: F.coalesce(v, F.lit("")))
     cut = (
-        banded.select(*BAND, "source_file", "r", "cells", block("r", bits).alias("_blk"))
+        banded.select(*BAND, "r", "cells", block("r", bits).alias("_blk"))
         .join(bounds, [*BAND, "_blk"])
-        .filter(F.col("r") >= F.col("min_row"))
-        .select(
-            "table_key",
-            "source_file",
-            (F.col("r") - F.col("min_row") - 1).alias("row_index"),
-            F.transform(padded, lambda v: F.coalesce(v, F.lit(""))).alias("values"),
-        )
-    )
-    headers = cut.filter(F.col("row_index") == -1).select(
-        "table_key", "source_file", F.col("values").alias("headers")
+        .filter(F.col("r") > F.col("min_row"))
+        .select("table_key", (F.col("r") - F.col("min_row") - 1).alias("row_index"), values.alias("values"))
     )
-    tables = named.join(headers, "table_key").select(
+    # The header is one sheet row of each table, met by its position.
+    top = banded.select(*SHEET, F.col("r").alias("min_row"), "source_file", "cells")
+    tables = named.join(top, [*SHEET, "min_row"]).withColumn("headers", values).select(
         "table_key",
         "file_id",
         "source_file",
@@ -242,7 +237,7 @@ def extract_tables(
         F.col("max_row").alias("end_row"),
         F.col("max_col").alias("end_col"),
     )
-    return tables, cut.filter(F.col("row_index") >= 0).select("table_key", "row_index", "values")
+    return tables, cut
 
 
 def find_tables(
@@ -250,12 +245,12 @@ def find_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """Grid to ``(tables, rows)``: bands, islands, title rows, extraction.
 
-    The labelled rows feed three steps, so they are written once: each step then reads
-    the columns it needs instead of repeating the scan and its shuffle.
+    The labelled rows feed three steps and the bounds two each, so they are written once: each
+    step then reads the columns it needs instead of repeating all shuffles before it.
     """
     banded = written(band_rows(grid, bits), "banded-rows")
-    islands = skip_title_rows(table_islands(banded, bits), banded, merges, bits)
-    return extract_tables(islands, banded, bits)
+    islands = written(table_islands(banded, bits), "islands")
+    return extract_tables(written(skip_title_rows(islands, banded, merges, bits), "table-bounds"), banded, bits)
 
 
 def first_row_tables(grid: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.blocks import attach_tables, block
 from gridloom.operators.typed import storage_schema, wide_rows
 from gridloom.session import fresh_path
 
+# Schemas written at once.
+JOBS_AT_ONCE = 8
+
 
 def table_path(root: str, table_key: str) -> str:
     return f"{root}/table_key={table_key}"
@@ -41,7 +47,8 @@ def write_tables(
         "table_key string, row_index bigint, values array<string>, signature string"
     ).parquet(stage)
     kinds = signed.groupBy("signature").agg(F.first("columns").alias("columns"))
-    for kind in kinds.toLocalIterator():
+
+    def write_kind(kind: Row) -> None:
         same = staged.filter(F.col("signature") == kind["signature"])
         (
             wide_rows(same, kind["columns"], "table_key", lenient_prefix=lenient_prefix)
@@ -51,7 +58,8 @@ def write_tables(
             .partitionBy("table_key")
             .parquet(root)
         )
-    for empty in signed.filter(F.col("row_count") == 0).toLocalIterator():
+
+    def write_empty(empty: Row) -> None:
         (
             spark.createDataFrame([], storage_schema(empty["columns"]))
             .coalesce(1)
@@ -59,6 +67,13 @@ def write_tables(
             .option("compression", "snappy")
             .parquet(table_path(root, empty["table_key"]))
         )
+
+    # Jobs of different schemas share the executors; a few are under way at any time.
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        for write, chosen in ((write_kind, kinds), (write_empty, signed.filter(F.col("row_count") == 0))):
+            left = chosen.toLocalIterator()
+            while some := list(islice(left, 16 * JOBS_AT_ONCE)):
+                list(pool.map(write, some))
     return described.select("table_key", F.concat(F.lit(f"{root}/table_key="), "table_key").alias("path"))
 
 

@@ -216,7 +216,7 @@ def table_islands(spark, sf_dir):
 @query
 def title_rows_skipped(spark, sf_dir):
     banded, merges = _banded(spark, sf_dir)
-    return g.skip_title_rows(g.table_islands(banded), banded, merges).select(
+    return g.skip_title_rows(written(g.table_islands(banded), "islands"), banded, merges).select(
         "file_id", "sheet", "table_index", F.col("min_row").alias("header_row"), "titles"
     )
 

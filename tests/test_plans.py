@@ -36,6 +36,13 @@ def test_grid_steps_join_by_equality(spark, no_broadcast):
         assert no_pairs(plan(df))
 
 
+def test_extraction_needs_few_exchanges(spark, no_broadcast):
+    from gridloom.suite.queries import all_queries
+
+    text = plan(all_queries()["table_extract"](spark, SF))
+    assert text.count("Exchange hashpartitioning") < 10 and text.count("Window") == 0
+
+
 def test_sheet_rows_are_never_partitioned_by_sheet_alone(spark):
     grid, _ = inputs.order_grid(spark, SF)
     text = plan(g.band_rows(grid))
