@@ -66,3 +66,21 @@ DISALLOWED_SQL = (
     "httpfs", "s3://", "http://", "https://",
     "/*", "*/",
 )
+
+# Labels of the prompts, in the order in which each prompt shows them.
+TABLE_LABEL = "Table: "
+TOTAL_ROWS_LABEL = "\nTotal rows: "
+COLUMNS_LABEL = "\nColumns: "
+ORIGINAL_COLUMNS_LABEL = "\nColumns (original names): "
+SAMPLE_LABEL = "\n\nSample data:\n"
+SCHEMA_LABEL = "Table name: data\nSchema:\n"
+COLUMN_BULLET = "  - "
+ORIGINAL_NAME_OPEN = '  [original: "'
+ORIGINAL_NAME_CLOSE = '"]  ('
+SAMPLE_ROWS_LABEL = "\nSample data rows:\n"
+DESCRIPTIONS_LABEL = "Table descriptions:\n"
+DESCRIPTION_LABEL = "Table description:\n"
+QUESTION_LABEL = "Question: "
+CONTEXT_LABEL = "\n\nContext (table rows):\n"
+STATEMENT_LABEL = "\n\nSQL query executed:\n"
+RESULTS_LABEL = "\n\nResults:\n"

@@ -116,11 +116,11 @@ def question_prompts(rows: DataFrame, described: DataFrame) -> DataFrame:
     return described.join(sample, "table_key", "left").select(
         "table_key",
         F.concat(
-            F.lit("Table: "),
+            F.lit(fixed.TABLE_LABEL),
             table_label("source_file", "sheet", " / "),
-            F.lit("\nColumns: "),
+            F.lit(fixed.COLUMNS_LABEL),
             column_list,
-            F.lit("\n\nSample data:\n"),
+            F.lit(fixed.SAMPLE_LABEL),
             _closed_lines(_no_lines()),
         ).alias("prompt"),
     )
@@ -138,13 +138,13 @@ def summary_prompts(rows: DataFrame, tables: DataFrame) -> DataFrame:
     return tables.join(sample, "table_key", "left").select(
         "table_key",
         F.concat(
-            F.lit("Table: "),
+            F.lit(fixed.TABLE_LABEL),
             table_label("source_file", "sheet", " / "),
-            F.lit("\nTotal rows: "),
+            F.lit(fixed.TOTAL_ROWS_LABEL),
             F.col("row_count").cast("string"),
-            F.lit("\nColumns (original names): "),
+            F.lit(fixed.ORIGINAL_COLUMNS_LABEL),
             F.array_join("headers", ", "),
-            F.lit("\n\nSample data:\n"),
+            F.lit(fixed.SAMPLE_LABEL),
             F.array_join("headers", fixed.PAIR_SEPARATOR),
             F.lit("\n"),
             _closed_lines(_no_lines()),

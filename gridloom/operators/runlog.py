@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INGEST_LOG = "run_id string, files bigint, tables bigint, chunks bigint, duration_ms bigint"
-QUERY_LOG = "query_id string, route string, duration_ms bigint"
 
 
 def ingest_metrics(log: DataFrame) -> DataFrame:

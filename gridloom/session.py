@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,7 +89,30 @@ def work_root(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A folder name under the work root that nothing else uses."""
-    return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables written inside this scope when it ends.
+
+    Frames that the scope's functions returned read those tables: use them, or write them
+    somewhere else, before the scope ends. Without a scope the tables stay.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -92,7 +92,3 @@ def file_schema(records: DataFrame) -> DataFrame:
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     """Records kept as JSON lines elsewhere; unreadable ones are skipped."""
     return spark.read.schema(CATALOG_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-
-
-def write_json_records(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)

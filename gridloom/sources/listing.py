@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-READERS = {".csv": "csv", ".xlsx": "xlsx"}
-
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files under folders or globs: ``(path, extension, reader, reason)``.

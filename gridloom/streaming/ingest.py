@@ -11,6 +11,7 @@ from gridloom.operators.hooks import Complete, Embed
 from gridloom.operators.replies import CallStore
 from gridloom.operators.schema import COLUMN_STRUCT
 from gridloom.plans.ingest import Store, index_rows, ingest
+from gridloom.session import scratch
 
 # One text per record; the record's place is its row.
 TEXT_ROWS = "source_file string, sheet string, table_index int, row_index bigint, text string"
@@ -37,7 +38,8 @@ def watch_files(
     def handle(batch: DataFrame, _: int) -> None:
         paths = [r["path"] for r in batch.toLocalIterator()]
         if paths:
-            ingest(batch.sparkSession, paths, store, embed, complete, calls=calls)
+            with scratch(batch.sparkSession):
+                ingest(batch.sparkSession, paths, store, embed, complete, calls=calls)
 
     writer = names.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -68,7 +70,8 @@ def index_stream(rows: DataFrame, store: Store, checkpoint: str, embed: Embed, c
     store.create(rows.sparkSession)
 
     def handle(batch: DataFrame, _: int) -> None:
-        store.index.upsert(index_rows(batch, embed, calls))
+        with scratch(batch.sparkSession):
+            store.index.upsert(index_rows(batch, embed, calls))
 
     return (
         chunk_stream(rows)

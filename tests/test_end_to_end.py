@@ -165,6 +165,23 @@ def test_no_hits(spark, tmp_path):
     assert got.answer == "No relevant data found." and got.route == "none" and got.sources == []
 
 
+def test_a_scope_removes_what_was_written_in_it(spark, tmp_path):
+    import os
+
+    from gridloom.session import scratch, work_root
+
+    folder = work_root(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scratch(spark):
+        store = Store(str(tmp_path / "store"), 2, 2)
+        path = files(tmp_path / "in")
+        ingest(spark, path, store, EMBED)
+        asked = spark.createDataFrame([("q", "City Oslo")], "query_id string, question string")
+        assert answer(spark, store, asked, EMBED).first().route == "text"
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before and store.index.read(spark).count() == 9
+
+
 def test_repeat_then_delete(spark, tmp_path):
     store = Store(str(tmp_path / "store"), 4, 2)
     path = files(tmp_path / "in")
