@@ -22,7 +22,7 @@ SPAN, DENSE = 1 << 16, 4096
 SHIFT = 24
 # Links that a task gathers before it writes their containers; chunks of text whose tokens it
 # remembers; characters of a text that are looked at together; bytes of texts handled at once.
-GATHER, REMEMBER, WINDOW, TOGETHER = 500_000, 60_000, 1 << 20, 1 << 18
+GATHER, REMEMBER, WINDOW, TOGETHER = 1_000_000, 150_000, 1 << 20, 1 << 19
 # What a Python worker has loaded and learnt stays for its next tasks.
 _LOADED: dict[tuple[bytes, bytes], "_Chunks"] = {}
 # Where a single space stands between two characters that are no white space, both tokenizers
@@ -43,6 +43,8 @@ class _Pair:
     """Both tokenizers, from the contents of their files, and the bytes of their tokens."""
 
     def __init__(self, a: bytes, b: bytes):
+        # A task has one core; threads of the tokenizer would only hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -217,6 +219,17 @@ def _members(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return places, of
 
 
+def _slices(batch: pa.RecordBatch, members: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """A batch of containers in slices of about so many members."""
+    ends = np.cumsum(batch["card"].to_numpy().astype(np.int64))
+    start = 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + members, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 POSTING = "code long, span long, plane int, card int, dense boolean, bits binary"
 DOCUMENT = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
@@ -335,16 +348,15 @@ def merged_bitmaps(postings: DataFrame) -> DataFrame:
                 )
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = pa.Table.from_batches([batch])
-            part = part if held is None else pa.concat_tables([held, part])
-            code, span = part["code"].to_numpy(), part["span"].to_numpy()
-            # The last pair and span may go on in the next batch.
-            last = int(np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (span[1:] != span[:-1])]))[-1])
-            if last:
-                yield from done(part.slice(0, last).combine_chunks())
-            held = part.slice(last)
+            for piece in _slices(batch):
+                part = pa.Table.from_batches([piece])
+                part = part if held is None else pa.concat_tables([held, part])
+                code, span = part["code"].to_numpy(), part["span"].to_numpy()
+                # The last pair and span may go on in the next piece.
+                last = int(np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (span[1:] != span[:-1])]))[-1])
+                if last:
+                    yield from done(part.slice(0, last).combine_chunks())
+                held = part.slice(last)
         if held is not None:
             yield from done(held.combine_chunks())
 
@@ -371,8 +383,8 @@ def posting_scores(merged: DataFrame, counts: DataFrame) -> DataFrame:
             at = np.flatnonzero(total)
             return pa.RecordBatch.from_arrays([pa.array(span * SPAN + at), pa.array(best[at]), pa.array(total[at])], ["_row", "n_best", "count_sum"])
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
+        for piece in (p for batch in batches for p in _slices(batch)):
+            table = pa.Table.from_batches([piece])
             spans = table["span"].to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(spans[1:] != spans[:-1]) + 1, [len(spans)]])
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
