@@ -10,38 +10,40 @@ from gridloom.llm.common import WORD
 from gridloom.session import written
 
 BUCKETS, BUDGET = 16, 16_384
-# Lengths are exact up to GRAIN and rounded up to 1/GRAIN of their power of two beyond, so the
-# histogram has at most GRAIN bins per power of two whatever the corpus.
-GRAIN = 64
 SHARD = 4_096
 
 
-def bin_edge(length: Column) -> Column:
-    """The smallest histogram edge that is at least the length."""
-    step = F.when(length <= GRAIN, 1.0).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 6))
-    return (F.ceil(length / step) * step).cast("long")
-
-
 def best_boundaries(edges: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
     """At most ``buckets`` edges that minimise the padding of all lengths to the next one.
 
-    ``padding(i, j) = edge[j] * documents(i..j) - tokens(i..j)``; dynamic programming over
-    the last bin of a bucket, one vector operation per bin and number of buckets.
+    ``padding(i, j) = edge[j] * documents(i..j) - tokens(i..j)``; dynamic programming over the
+    edge before a bucket. As the best such edge never falls when ``j`` grows, the middle of a
+    range of ``j`` bounds the search of both its halves, so a bucket costs ``n log n``; all
+    ranges of a depth are searched together.
     """
     n = len(edges)
-    if not n:
-        return []
-    docs, tokens = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64), np.concatenate([[0], np.cumsum(sums)]).astype(np.float64)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    choices = []
-    for _ in range(min(buckets, n)):
-        nxt, choice = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
-        nxt[0] = 0.0
-        for j in range(1, n + 1):
-            cost = best[:j] + edges[j - 1] * (docs[j] - docs[:j]) - (tokens[j] - tokens[:j])
-            choice[j] = int(np.argmin(cost))
-            nxt[j] = cost[choice[j]]
+    docs, tokens = (np.concatenate([[0], np.cumsum(x)]).astype(np.float64) for x in (counts, sums))
+    ends = np.concatenate([[0], edges]).astype(np.float64)
+    best = ends * docs - tokens
+    choices = [np.zeros(n + 1, dtype=np.int64)]
+    for bucket in range(1, min(buckets, n)):
+        nxt, choice = np.zeros(n + 1), np.zeros(n + 1, dtype=np.int64)
+        low, high = np.array([bucket + 1]), np.array([n])
+        first, last = np.array([bucket]), np.array([n - 1])
+        while len(low):
+            middle = (low + high) // 2
+            size = np.minimum(last, middle - 1) - first + 1
+            begin = np.cumsum(size) - size
+            of = np.repeat(np.arange(len(size)), size)
+            before = np.arange(size.sum()) - begin[of] + first[of]
+            cost = best[before] + ends[middle][of] * (docs[middle][of] - docs[before]) - (tokens[middle][of] - tokens[before])
+            nxt[middle] = np.minimum.reduceat(cost, begin)
+            least = np.flatnonzero(cost == nxt[middle][of])
+            choice[middle] = found = before[least[np.searchsorted(of[least], np.arange(len(size)))]]
+            low, high = np.concatenate([low, middle + 1]), np.concatenate([middle - 1, high])
+            first, last = np.concatenate([first, found]), np.concatenate([found, last])
+            some = low <= high
+            low, high, first, last = low[some], high[some], first[some], last[some]
         best = nxt
         choices.append(choice)
     bounds, j = [], n
@@ -55,8 +57,9 @@ def best_boundaries(edges: np.ndarray, counts: np.ndarray, sums: np.ndarray, buc
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, seed: str = "pack") -> DataFrame:
     """Columns of ``docs`` with n_tokens, bucket, boundary, batch and slot (replacing any so named).
 
-    ``length`` defaults to the words of ``text``. The histogram of lengths, a bounded number
-    of rows, goes to the driver for the boundaries. Inside a bucket documents are numbered
+    ``length`` defaults to the words of ``text``. The histogram of exact lengths, one row for
+    each that occurs and so at most as many as the longest text has words, goes to the driver
+    for the boundaries. Inside a bucket documents are numbered
     in the order of a hash: by shards of about ``SHARD`` rows, whose offsets come from their
     counts, so that no bucket is sorted in one task. A batch holds ``budget // boundary``
     documents, at least one. A null or empty text has length 0; a text longer than the
@@ -69,15 +72,14 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
         length = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
     hashed = F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in ("doc_id",) if c in docs.columns], *([F.when(F.col("doc_id").isNull(), F.col("text"))] if {"doc_id", "text"} <= set(docs.columns) else []))
     rows = docs.select(F.struct("*").alias("_doc"), F.coalesce(length, F.lit(0)).cast("long").alias("_n"), hashed.alias("_h"))
-    rows = rows.withColumn("_edge", bin_edge(F.col("_n")))
-    histogram = rows.groupBy("_edge").agg(F.count(F.lit(1)).alias("c"), F.sum("_n").alias("s")).orderBy("_edge").collect()
-    edges, counts, sums = (np.array([r[k] for r in histogram], dtype=np.int64) for k in range(3))
-    bounds = best_boundaries(edges, counts, sums, buckets)
+    histogram = rows.groupBy("_n").agg(F.count(F.lit(1)).alias("c")).orderBy("_n").collect()
+    edges, counts = (np.array([r[k] for r in histogram], dtype=np.int64) for k in range(2))
+    bounds = best_boundaries(edges, counts, edges * counts, buckets)
     number, shards = F.lit(0), F.lit(1)
     for b, bound in enumerate(bounds):
         inside = int(counts[(edges <= bound) & (edges > (bounds[b - 1] if b else -1))].sum())
-        number = F.when(F.col("_edge") > (bounds[b - 1] if b else -1), b).otherwise(number)
-        shards = F.when(F.col("_edge") > (bounds[b - 1] if b else -1), max(1, -(-inside // SHARD))).otherwise(shards)
+        number = F.when(F.col("_n") > (bounds[b - 1] if b else -1), b).otherwise(number)
+        shards = F.when(F.col("_n") > (bounds[b - 1] if b else -1), max(1, -(-inside // SHARD))).otherwise(shards)
     boundary = F.get(F.array(*[F.lit(x).cast("long") for x in bounds or [0]]), F.col("_b"))
     # Never null, or the join below would test both for null on the unread text, bucket by bucket.
     rows = rows.withColumns({"_b": number, "_s": F.coalesce(F.pmod(F.col("_h"), shards.cast("long")).cast("int"), F.lit(0))})

@@ -18,7 +18,9 @@ from gridloom.llm.common import mix64, pieces, remainder
 # Bounds of the labelled sample that the model is fitted on: toxic and clean texts, and code
 # points of a text that is taken into it.
 SAMPLE, SAMPLE_CHARS = (1_300, 3_300), 12_000
-FEATURES, CHAIN, THRESHOLD = 1 << 17, 64, 0.3
+FEATURES, THRESHOLD = 1 << 17, 0.3
+# Words of a document whose messages are passed in one block.
+BLOCK = 64
 TOKEN = re.compile(r"[^\W\d_]+")
 # A word is taken for toxic if it stands RATIO times as often in toxic texts as in clean ones, and
 # not by chance: the expected share of chance finds among such words is FALSE.
@@ -49,7 +51,7 @@ class Model:
 
 
 class _Emissions(dict):
-    """Emission scores of words, each worked out once; forgotten when too many are held."""
+    """Emission scores of words as they are written, each worked out once; forgotten when too many are held."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
@@ -58,42 +60,68 @@ class _Emissions(dict):
     def __missing__(self, word: str) -> float:
         if len(self) > 300_000:
             self.clear()
-        self[word] = score = self.model.emission(word)
+        self[word] = score = self.model.emission(word.lower())
         return score
 
 
-def _ratios(e: np.ndarray, real: np.ndarray, moves: np.ndarray, begin: float) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward messages as toxic-to-clean ratios; chains are columns."""
-    (t00, t01), (t10, t11) = np.exp(moves)
-    a, b = np.empty_like(e), np.ones_like(e)
-    a[0] = e[0] * np.exp(begin)
-    for t in range(1, len(e)):
-        a[t] = np.clip(e[t] * (t01 + a[t - 1] * t11) / (t00 + a[t - 1] * t10), 1e-30, 1e30)
-    for t in range(len(e) - 2, -1, -1):
-        x = e[t + 1] * b[t + 1]
-        b[t] = np.where(real[t + 1], np.clip((t10 + t11 * x) / (t00 + t01 * x), 1e-30, 1e30), 1.0)
-    return a, b
+def _limited(ratio: np.ndarray) -> np.ndarray:
+    return np.clip(ratio, 1e-30, 1e30)
+
 
+def messages(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray, begin: float, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of words as toxic-to-clean ratios; a document is one chain.
 
-def _chains(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lay each document's words out in chains of CHAIN places; where each word went."""
-    padded = -(-lengths // CHAIN) * CHAIN
-    shift = np.repeat(np.cumsum(padded) - padded - (np.cumsum(lengths) - lengths), lengths)
-    place = np.arange(len(values)) + shift
-    return place, np.array([padded.sum() // CHAIN])
+    ``e`` are the words' emission ratios, document after document. A document is laid out in
+    blocks of ``block`` places, which are columns. The product of a block's transfer matrices
+    says what a message becomes on its way through the block, so messages first step from block
+    to block and then, in all blocks at once, from word to word.
+    """
+    (t00, t01), (t10, t11) = np.exp(moves)
+    blocks = -(-lengths // block)
+    n = int(blocks.sum())
+    opening = np.cumsum(blocks) - blocks
+    place = np.arange(len(e)) + np.repeat(opening * block - (np.cumsum(lengths) - lengths), lengths)
+    grid, real = np.ones(n * block), np.zeros(n * block, dtype=bool)
+    grid[place], real[place] = e, True
+    grid, real = grid.reshape(n, block).T.copy(), real.reshape(n, block).T.copy()
+    opens = np.zeros(n, dtype=bool)
+    opens[opening[lengths > 0]] = True
+    a_in, b_out = np.full(n, np.exp(begin)), np.ones(n)
+    if (blocks > 1).any():
+        p = np.where(opens, [[np.ones(n), np.zeros(n)], [np.zeros(n), grid[0]]], [[np.full(n, t00), t01 * grid[0]], [np.full(n, t10), t11 * grid[0]]])
+        for k in range(1, block):
+            step = np.stack([p[:, 0] * t00 + p[:, 1] * t10, (p[:, 0] * t01 + p[:, 1] * t11) * grid[k]], axis=1)
+            p = np.where(real[k], step, p)
+            p /= p.max(axis=(0, 1))
+        order = np.argsort(-blocks, kind="stable")
+        active = [opening[order[:count]] + j for j in range(int(blocks.max())) if (count := np.searchsorted(-blocks[order], -j))]
+        a = np.full(len(blocks), np.exp(begin))
+        for at in active:
+            a = a[: len(at)]
+            a_in[at] = a
+            a = _limited((p[0, 1, at] + a * p[1, 1, at]) / (p[0, 0, at] + a * p[1, 0, at]))
+        b = np.ones(0)
+        for at in reversed(active):
+            b = np.concatenate([b, np.ones(len(at) - len(b))])
+            b_out[at] = b
+            b = _limited((p[1, 0, at] + p[1, 1, at] * b) / (p[0, 0, at] + p[0, 1, at] * b))
+    a, b = np.empty_like(grid), np.ones_like(grid)
+    a[0] = np.where(opens, grid[0] * a_in, _limited(grid[0] * (t01 + a_in * t11) / (t00 + a_in * t10)))
+    for k in range(1, block):
+        a[k] = _limited(grid[k] * (t01 + a[k - 1] * t11) / (t00 + a[k - 1] * t10))
+    b[block - 1] = b_out
+    for k in range(block - 2, -1, -1):
+        x = grid[k + 1] * b[k + 1]
+        b[k] = np.where(real[k + 1], _limited((t10 + t11 * x) / (t00 + t01 * x)), 1.0)
+    return a.T.reshape(-1)[place], b.T.reshape(-1)[place]
 
 
 def marginals(model: Model, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Probability of being toxic, per word, by forward-backward over each chain."""
+    """Probability of being toxic, per word, by forward-backward over each whole document."""
     if not len(emissions):
         return np.zeros(0)
-    place, chains = _chains(emissions, lengths)
-    e, real = np.zeros(chains[0] * CHAIN), np.zeros(chains[0] * CHAIN, dtype=bool)
-    e[place], real[place] = emissions, True
-    e, real = np.exp(np.clip(e, -30, 30)).reshape(-1, CHAIN).T.copy(), real.reshape(-1, CHAIN).T.copy()
-    a, b = _ratios(e, real, model.moves, model.begin)
-    odds = a * b
-    return (odds / (1 + odds)).T.reshape(-1)[place]
+    a, b = messages(np.exp(np.clip(emissions, -30, 30)), lengths, model.moves, model.begin)
+    return a * b / (1 + a * b)
 
 
 def aggregates(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -185,7 +213,7 @@ def _token_labels(flat: np.ndarray, words: list[str], lengths: np.ndarray, toxic
 def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 5, parts: int = 10, rate: float = 0.1) -> Model:
     """Fit the field by Adam on the conditional likelihood, then the document calibration."""
     model = Model(np.zeros(FEATURES), np.zeros((2, 2)), -2.0, np.array([-20.0, 0.0, 0.0]), prior)
-    words = [TOKEN.findall((t or "").lower()) for t in texts]
+    words = [[w.lower() for w in TOKEN.findall(t or "")] for t in texts]
     lengths = np.array([len(w) for w in words])
     if not toxic.any() or toxic.all() or not lengths.sum():
         model.calibration[0] = 20.0 if len(toxic) and toxic.all() else -20.0
@@ -207,28 +235,22 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 5, part
             at = np.concatenate([np.arange(starts[d], starts[d] + lengths[d]) for d in docs])
             own, y = flat[at], labels[at]
             used, back = np.unique(own, return_inverse=True)
-            place, chains = _chains(own, lengths[docs])
-            size = chains[0] * CHAIN
-            e, real, truth = np.zeros(size), np.zeros(size, dtype=bool), np.zeros(size)
-            e[place], real[place], truth[place] = model.weights[features[used]].sum(axis=1)[back], True, y
-            lay = lambda x: x.reshape(-1, CHAIN).T.copy()
-            ex, real2, truth2 = lay(np.exp(np.clip(e, -30, 30))), lay(real), lay(truth)
-            a, b = _ratios(ex, real2, model.moves, model.begin)
-            p = a * b / (1 + a * b)
-            error = (p - truth2) * real2
+            ex = np.exp(np.clip(model.weights[features[used]].sum(axis=1)[back], -30, 30))
+            a, b = messages(ex, lengths[docs], model.moves, model.begin)
+            error = a * b / (1 + a * b) - y
             n = len(at)
-            per_word = np.bincount(back, weights=error.T.reshape(-1)[place], minlength=len(used))
+            per_word = np.bincount(back, weights=error, minlength=len(used))
             grad = np.bincount(features[used].reshape(-1), weights=np.repeat(per_word, N_FEATURES), minlength=FEATURES)
-            move = np.exp(model.moves)
-            joint = np.empty((2, 2))
-            left, right = np.stack([np.ones_like(a[:-1]), a[:-1]]), np.stack([np.ones_like(a[1:]), ex[1:] * b[1:]])
-            cell = left[:, None] * move[:, :, None, None] * right[None]
-            cell /= cell.sum(axis=(0, 1))
-            pair = real2[1:]
-            joint = (cell * pair).sum(axis=(2, 3))
-            y0, y1 = truth2[:-1][pair], truth2[1:][pair]
+            ends = np.cumsum(lengths[docs])
+            pair = np.ones(n, dtype=bool)
+            pair[ends - 1] = False
+            pair = np.flatnonzero(pair)
+            left, right = np.stack([np.ones(len(pair)), a[pair]]), np.stack([np.ones(len(pair)), ex[pair + 1] * b[pair + 1]])
+            cell = left[:, None] * np.exp(model.moves)[:, :, None] * right[None]
+            joint = (cell / cell.sum(axis=(0, 1))).sum(axis=2)
+            y0, y1 = y[pair], y[pair + 1]
             found = np.array([[((1 - y0) * (1 - y1)).sum(), ((1 - y0) * y1).sum()], [(y0 * (1 - y1)).sum(), (y0 * y1).sum()]])
-            grads = [grad / n * 100 + 1e-5 * model.weights, (joint - found) / n, np.array(error[0].sum() / chains[0])]
+            grads = [grad / n * 100 + 1e-5 * model.weights, (joint - found) / n, np.array(error[ends - lengths[docs]].sum() / len(docs))]
             step += 1
             params = [model.weights, model.moves, np.array(model.begin)]
             for k, g in enumerate(grads):
@@ -273,8 +295,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
 def tag(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """``key``, score, n_toxic_tokens and the offending spans as ``start:end`` in code points.
 
-    Row by row, no shuffle: whole texts are cut into words, words into chains of CHAIN, and the
-    marginals of a document's words give its score. A null, empty or wordless text has the
+    Row by row, no shuffle: a text is cut into words, all of them are one chain, and the
+    marginals of its words give its score. A null, empty or wordless text has the
     score of a text without suspicion; repeated rows score alike.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -286,7 +308,7 @@ def tag(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, "_t", 2 << 20):
                 texts = [t or "" for t in piece["_t"].to_pylist()]
-                words = [TOKEN.findall(t.lower()) for t in texts]
+                words = [TOKEN.findall(t) for t in texts]
                 lengths = np.array([len(w) for w in words], dtype=np.int64)
                 flat = np.fromiter((emissions[w] for doc in words for w in doc), dtype=np.float64, count=int(lengths.sum()))
                 p = marginals(model, flat, lengths)
@@ -297,10 +319,7 @@ def tag(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                 spans: list[str] = [""] * len(texts)
                 for d in np.flatnonzero(number):
                     flags = hot[start[d] : start[d + 1]]
-                    # Lower case may be longer than the text; offsets are those of the text.
-                    found = [m.span() for m in TOKEN.finditer(texts[d])]
-                    if len(found) == len(flags):
-                        spans[d] = ",".join(f"{a}:{b}" for (a, b), f in zip(found, flags) if f)
+                    spans[d] = ",".join(f"{m.start()}:{m.end()}" for m, f in zip(TOKEN.finditer(texts[d]), flags) if f)
                 yield pa.RecordBatch.from_arrays(
                     [piece["_k"], pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))), pa.array(number.astype(np.int64)), pa.array(spans, pa.string())],
                     ["_k", "score", "n_toxic_tokens", "toxic_spans"],

@@ -122,6 +122,41 @@ def test_toxicity_learns_a_long_tail(spark):
     assert np.mean([p for p, y in held if y]) > 0.9 and np.mean([p for p, y in held if not y]) < 0.01
 
 
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_marginals_are_those_of_all_labellings(block):
+    r = np.random.default_rng(8)
+    lengths, moves, begin = np.array([5, 0, 9, 1, 3, 7]), r.normal(size=(2, 2)), -0.7
+    e = np.exp(r.normal(size=lengths.sum()) * 2)
+    a, b = toxicity.messages(e, lengths, moves, begin, block)
+    want = []
+    for end, n in zip(np.cumsum(lengths), lengths):
+        own, total, toxic = e[end - n : end], 0.0, np.zeros(n)
+        for y in itertools.product((0, 1), repeat=int(n)):
+            weight = math.exp(sum(moves[i][j] for i, j in zip(y, y[1:])) + begin * sum(y[:1])) * float(np.prod(own ** np.array(y)))
+            total += weight
+            toxic += weight * np.array(y)
+        want += list(toxic / total)
+    assert np.allclose(a * b / (1 + a * b), want)
+
+
+def test_messages_pass_over_blocks():
+    r = np.random.default_rng(5)
+    lengths = np.array([70_000, 3, 130])
+    e, moves = np.exp(r.normal(size=lengths.sum()) * 12), r.normal(size=(2, 2))
+    for x, y in zip(toxicity.messages(e, lengths, moves, -1.0), toxicity.messages(e, lengths, moves, -1.0, 70_000)):
+        assert np.allclose(x, y)
+
+
+def test_offsets_where_lower_case_is_longer(spark):
+    rows = [(i, "\u0130stanbul so vile a word" if i % 3 == 0 else "so calm a word in \u0130stanbul", int(i % 3 == 0)) for i in range(300)]
+    rows = [(i, t + " " + " ".join(np.random.default_rng(i).choice(WORDS, 20)), y) for i, t, y in rows]
+    model = toxicity.fit([t for _, t, _ in rows], np.array([y > 0 for _, _, y in rows]), 0.3)
+    for x in toxicity.tag(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), model).collect():
+        text = rows[x["doc_id"]][1]
+        found = [text[int(a) : int(b)] for a, b in (s.split(":") for s in x["toxic_spans"].split(",") if s)]
+        assert len(found) == x["n_toxic_tokens"] and ("vile" in found) == (x["doc_id"] % 3 == 0)
+
+
 def removed(texts):
     seen = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
     out = []
@@ -235,6 +270,21 @@ def test_boundaries_are_optimal():
         assert cost(packing.best_boundaries(edges, counts, edges * counts, k)) == best
 
 
+def test_boundaries_of_many_lengths():
+    """Against the same recurrence, searched in full."""
+    r = np.random.default_rng(11)
+    for n in (1, 2, 17, 150):
+        edges, counts = np.sort(r.choice(5_000, n, replace=False)), r.integers(1, 50, n)
+        best = [0.0] + [math.inf] * n
+        pad = [[int((counts[i:j] * (edges[j - 1] - edges[i:j])).sum()) for j in range(n + 1)] if i < n else None for i in range(n + 1)]
+        for k in (1, 2, 3, 4, 5, 6):
+            best = [0.0] + [min(best[i] + pad[i][j] for i in range(j)) for j in range(1, n + 1)]
+            bounds = np.array(packing.best_boundaries(edges, counts, edges * counts, k))
+            assert len(bounds) == min(k, n) and bounds[-1] == edges[-1]
+            assert (counts * (bounds[np.searchsorted(bounds, edges)] - edges)).sum() == best[n]
+    assert packing.best_boundaries(*(np.zeros(0, dtype=np.int64),) * 3, 4) == []
+
+
 def test_packing(docs, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 4)
     got = packing.pack(docs, budget=256).collect()
