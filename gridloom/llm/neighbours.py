@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from gridloom.session import written
 # vectors, up to MAX_PARTS partitions (beyond, they grow). How many partitions a query looks
 # into is measured: as few as find TARGET of the neighbours of vectors kept out of training.
 SAMPLE, SIZE, MAX_PARTS, TARGET = 8_192, 600, 1_024, 0.96
-CHUNK = 2_048
+# Different vectors of a partition, and queries sent to it, that meet in one group.
+CHUNK, QUERIES = 2_048, 4_096
 
 
 @dataclass
@@ -141,26 +143,31 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TA
 
     Returns query_id, rank, vec_id, score (the double-precision inner product of the original
     vectors), ties to the smaller vec_id. Null and zero vectors, those with null or
-    non-finite components, of another length than most, or without an id take no part.
+    non-finite components, or without an id take no part; vectors of several lengths are each
+    answered among those of their own length; an empty table gives an empty result, and columns
+    other than vec_id and embedding are not looked at.
 
     Equal vectors are one candidate that carries its ``k + 1`` smallest ids, and equal queries
     are one query, so a vector that makes up a third of the table costs no more than another.
     The router is learned on a bounded hash sample and sent to all tasks; every vector is put
     into its likeliest partition, every query into as many of its likeliest as were measured to
-    find ``target`` of the neighbours, and they meet by (partition, chunk of its vectors). The
-    less structure the vectors have, the more partitions that takes. A repeated vec_id is one candidate per different vector.
+    find ``target`` of the neighbours, and they meet by (partition, chunk of its vectors, block
+    of its queries). The less structure the vectors have, the more partitions that takes. A
+    repeated vec_id is one candidate per different vector.
     """
     spark = vectors.sparkSession
     value = F.transform("embedding", lambda v: v.cast("double"))
     good = vectors.select("vec_id", value.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = good.where(F.forall("v", finite)).where(F.exists("v", lambda x: x != 0)).withColumn("h", F.xxhash64("v"))
-    first = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if first is None:
-        return spark.createDataFrame([], schema)
-    dims = first[0]
-    good = good.where(F.size("v") == dims)
+    lengths = good.groupBy(F.size("v").alias("d")).agg(F.bool_or(F.col("vec_id") % every == 0).alias("asked")).where("asked").orderBy("d")
+    found = [_among(good.where(F.size("v") == r[0]), r[0], k, every, target, size) for r in lengths.collect()]
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _among(good: DataFrame, dims: int, k: int, every: int, target: float, size: int) -> DataFrame:
+    """``nearest`` of usable ``(vec_id, v, h)`` whose vectors have ``dims`` components."""
+    spark = good.sparkSession
     ranked = good.distinct().withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     distinct = written(ranked.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     number = distinct.count()
@@ -193,11 +200,19 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TA
     count = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in chunks.items() for x in kv]), F.col("part")), F.lit(0))
     candidates = placed.select("part", F.pmod(F.col("h"), count.cast("long")).cast("int").alias("chunk"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("q"), "v", "ids")
     asking = good.where(F.col("vec_id") % every == 0).select("vec_id", "h", "v").distinct()
+    # How many queries a partition is asked by: at most MAX_PARTS rows.
     queries = asking.groupBy("h", "v").agg(F.count(F.lit(1)).alias("n")).select(F.col("h"), F.col("v"), F.array(F.col("n")).alias("ids"))
     routed = queries.mapInArrow(place(probes), f"{kind}, parts array<int>").select("h", "v", F.explode("parts").alias("part"))
+    asked_by = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
+    blocks = {r[0]: r[1] for r in asked_by.collect()}
+    among = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("part")), F.lit(0)) if blocks else F.lit(0)
+    routed = routed.withColumn("block", F.pmod(F.col("h"), among.cast("long")).cast("int"))
+    # A chunk meets every block of the queries; what nobody asks for stays where it is.
+    candidates = candidates.withColumn("blocks", among).where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    candidates = candidates.select("part", "chunk", "block", "side", "q", "v", "ids")
     routed = routed.withColumn("chunk", F.explode(F.sequence(F.lit(0), count - 1))) if chunks else routed.withColumn("chunk", F.lit(0))
-    routed = routed.select("part", "chunk", F.lit(1).alias("side"), F.col("h").alias("q"), "v", F.array().cast("array<long>").alias("ids"))
-    meeting = candidates.union(routed).repartition("part", "chunk").sortWithinPartitions("part", "chunk", "side")
+    routed = routed.select("part", "chunk", "block", F.lit(1).alias("side"), F.col("h").alias("q"), "v", F.array().cast("array<long>").alias("ids"))
+    meeting = candidates.union(routed).repartition("part", "chunk", "block").sortWithinPartitions("part", "chunk", "block", "side")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(group: pa.Table) -> tuple[np.ndarray, ...] | None:
@@ -230,7 +245,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TA
         # What a task has found for a query is merged before it is sent on.
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
-        for group in groups(batches, ["part", "chunk"]):
+        for group in groups(batches, ["part", "chunk", "block"]):
             found = one(group)
             if found is None:
                 continue

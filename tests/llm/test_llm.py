@@ -382,16 +382,23 @@ def test_scores_do_not_depend_on_what_is_broadcast(docs):
     assert ngram_model.score_texts(docs.where("doc_id < -5"), broadcast=0).count() == 0
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("block", [4_096, 8])
+def test_neighbours(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "QUERIES", block)
     r = np.random.default_rng(2)
     centres = r.normal(size=(12, 16)) * 3
     x = (centres[r.integers(0, 12, 3000)] + r.normal(size=(3000, 16))).astype(np.float32)
     x[100:900] = x[100]
     rows = [(i, [float(v) for v in y]) for i, y in enumerate(x)]
     bad = [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [None] * 16), (None, rows[0][1])]
+    # Of another length: answered among themselves; repeated rows are one candidate.
+    short = [(6000, [1.0, 2.0, 0.0]), (6001, [0.0, 1.0, 1.0]), (6020, [3.0, 0.0, 1.0]), (6001, [0.0, 1.0, 1.0]), (6021, [9.0] * 4)]
+    rows = [(*x, 0, 1.0) for x in rows + short]
+    bad = [(*x, 0, 1.0) for x in bad]
     got = {}
-    for q in neighbours.nearest(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>"), size=200).collect():
+    for q in neighbours.nearest(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, rank int, h double"), size=200).collect():
         got.setdefault(q["query_id"], []).append((q["rank"], q["vec_id"], q["score"]))
+    assert sorted(got.pop(6000)) == [(1, 6020, 3.0), (2, 6001, 2.0)] and sorted(got.pop(6020)) == [(1, 6000, 3.0), (2, 6001, 1.0)]
     x = x.astype(float)
     hits = 0
     for i in range(0, 3000, 20):
