@@ -65,7 +65,11 @@ def term_bucket(c: Column | str) -> Column:
     Never NULL for the optimizer either: a join on it would otherwise add a not-null
     filter that hashes every occurrence of a term below the counting.
     """
-    return F.coalesce((fnv1a(c) % fixed.SPARSE_BUCKETS).cast("int"), F.lit(0))
+    return hash_bucket(fnv1a(c))
+
+
+def hash_bucket(hashed: Column | str) -> Column:
+    return F.coalesce((_col(hashed) % fixed.SPARSE_BUCKETS).cast("int"), F.lit(0))
 
 
 def name_uuid(c: Column | str) -> Column:

@@ -20,6 +20,8 @@ from gridloom import fixed
 SCORE_DIGITS = 6
 # Questions held by one task at a time, and rows scored at once; more questions mean more passes.
 QUERY_BLOCK, SLICE = 8192, 1024
+# Pairs of a row and a question, or of their equal terms, that a task looks at together.
+PAIRS = 4_000_000
 
 
 def _best(df: DataFrame, limit: int | Column, id_col: str = "chunk_id") -> DataFrame:
@@ -140,54 +142,78 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, limit: int, id_col: str =
 
 
 def _sparse_in_task(ids: np.ndarray, terms: np.ndarray, of: np.ndarray, tf: np.ndarray, sizes: np.ndarray, limit: int, id_col: str, layout: pa.Schema):
-    """Batches of stored vectors to this task's best rows per question; terms are sorted."""
+    """Batches of rows' vectors to this task's best rows per question; terms are sorted.
+
+    ``sizes`` is the questions' number of terms at each of ``terms``. Scores are rounded as integers,
+    halves up.
+    """
+
+    def scored(stored: pa.Array, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row times questions plus question) with equal terms, and their scores."""
+        flat = stored.flatten()
+        idx, times, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("idx", "tf", "n_terms"))
+        row = np.repeat(np.arange(len(stored)), lengths) * len(ids)
+        lo, n = np.searchsorted(terms, idx), np.searchsorted(terms, idx, "right")
+        n -= lo
+        met = np.flatnonzero(n)
+        row, lo, n, times, size = row[met], lo[met], n[met], times[met], size[met]
+        ends = np.cumsum(n)
+        dot, most = np.zeros(len(stored) * len(ids), dtype=np.int64), np.zeros(len(stored) * len(ids), dtype=np.int64)
+        cuts = np.unique([0, *(np.searchsorted(ends, np.arange(PAIRS, int(ends[-1]) if len(ends) else 0, PAIRS)) + 1), len(n)])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            k = n[a:b]
+            at = np.repeat(lo[a:b] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            pair = np.repeat(row[a:b], k) + of[at]
+            np.add.at(dot, pair, np.repeat(times[a:b], k) * tf[at])
+            np.maximum.at(most, pair, np.repeat(size[a:b], k) * sizes[at])
+        pair = np.flatnonzero(dot)
+        unit = 10**SCORE_DIGITS
+        return pair, (2 * unit * dot[pair] + most[pair]) // (2 * most[pair]) / unit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(len(ids), limit)
+        step = max(1, min(SLICE, PAIRS // max(1, len(ids))))
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                stored = part["sparse"]
-                row = np.repeat(np.arange(part.num_rows), np.asarray(pc.fill_null(pc.list_value_length(stored), 0)))
-                flat = stored.flatten()
-                idx, times = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("idx", "tf"))
-                lo, n = np.searchsorted(terms, idx), np.searchsorted(terms, idx, "right")
-                n -= lo
-                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pair = np.repeat(row, n) * len(ids) + of[at]
-                pair, inverse = np.unique(pair, return_inverse=True)
-                dot = np.bincount(inverse, weights=np.repeat(times, n) * tf[at], minlength=len(pair))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                pair, score = scored(part["sparse"], np.asarray(pc.fill_null(pc.list_value_length(part["sparse"]), 0)))
                 row, question = pair // len(ids), pair % len(ids)
-                size = part["n_terms"].to_numpy(zero_copy_only=False)[row] * sizes[question]
-                score = np.floor(dot / size * 10**SCORE_DIGITS + 0.5) / 10**SCORE_DIGITS
-                best.add(question, score, part[id_col].to_numpy(zero_copy_only=False)[row])
+                named = np.asarray(part[id_col].is_valid())[row]
+                best.add(question[named], score[named], part[id_col].drop_null().to_numpy(zero_copy_only=False)[(np.cumsum(np.asarray(part[id_col].is_valid())) - 1)[row[named]]])
+                if not named.all():
+                    # Numpy's keys cannot be null.
+                    lost = pd.DataFrame({"query_id": ids[question[~named]], id_col: None, "score": score[~named]})
+                    yield pa.RecordBatch.from_pandas(lost, schema=layout, preserve_index=False)
         for pdf in best.frame(ids, id_col):
             yield pa.RecordBatch.from_pandas(pdf, schema=layout, preserve_index=False)
 
     return run
 
 
+def _sparse_passes(rows: DataFrame, query_postings: DataFrame, limit: int, id_col: str) -> DataFrame:
+    """Best of ``rows(id, sparse)``, each with all its ``(idx, tf, n_terms)``, a pass for each block of questions."""
+    asked = query_postings.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("idx", "tf", "n_terms"))).alias("items"))
+    schema = _result(query_postings, rows, id_col)
+    layout = to_arrow_schema(schema)
+    parts = []
+    for block in _blocks(asked):
+        flat = sorted((i["idx"], q, i["tf"], i["n_terms"]) for q, r in enumerate(block) for i in r["items"])
+        if not flat:
+            continue
+        terms, of, tf, sizes = (np.array(x, dtype=np.int64) for x in zip(*flat))
+        parts.append(rows.mapInArrow(_sparse_in_task(_names(block), terms, of, tf, sizes, limit, id_col, layout), schema))
+    return _passes(rows.sparkSession, parts, schema, limit, id_col)
+
+
 def stored_sparse_topk(index: DataFrame, query_postings: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
     """The top ``limit`` of ``sparse_topk`` over ``index(id, sparse, n_terms)`` as it is stored.
 
     A stored row has all its terms, so each task scores its own rows against a block of
     questions and emits its best; nothing of the index is exchanged.
     """
-    asked = query_postings.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "tf"))).alias("items"), F.max("n_terms").alias("n_terms")
-    )
-    schema = _result(query_postings, index, id_col)
-    layout = to_arrow_schema(schema)
+    items = F.transform("sparse", lambda i: F.struct(i["idx"].alias("idx"), i["tf"].alias("tf"), F.col("n_terms").alias("n_terms")))
     lean = index.select(id_col, "sparse", "n_terms").filter(F.size("sparse") > 0)
-    parts = []
-    for block in _blocks(asked):
-        flat = sorted((i["idx"], q, i["tf"]) for q, r in enumerate(block) for i in r["items"])
-        if not flat:
-            continue
-        terms, of, tf = (np.array(x, dtype=np.int64) for x in zip(*flat))
-        sizes = np.array([r["n_terms"] for r in block], dtype=np.int64)
-        parts.append(lean.mapInArrow(_sparse_in_task(_names(block), terms, of, tf, sizes, limit, id_col, layout), schema))
-    return _passes(index.sparkSession, parts, schema, limit, id_col)
+    return _sparse_passes(lean.select(id_col, items.alias("sparse")), query_postings, limit, id_col)
 
 
 def sparse_topk(
@@ -195,29 +221,15 @@ def sparse_topk(
 ) -> DataFrame:
     """Exact dot-product top ``limit`` on shared buckets.
 
-    ``postings(id, idx, tf, n_terms)`` should come partitioned by id (see
-    ``term_counts``): with the question side small enough to broadcast — adaptive
-    execution decides from its measured size — scores are complete inside a task and
-    nothing but ranked candidates is exchanged. A larger question side turns into a
-    shuffled join whose hot buckets the skew-join rule splits.
+    ``postings(id, idx, tf, n_terms)`` should come partitioned by id (see ``vectors.postings``):
+    they are then brought together by id without an exchange, each task scores its own texts
+    against a block of questions, and nothing but its best is exchanged.
 
     Counts are multiplied as integers and divided once by both text lengths, so a score
     does not depend on the order of its terms.
     """
-    q = query_postings.select(
-        "query_id", "idx", F.col("tf").alias("q_tf"), F.col("n_terms").alias("q_terms")
-    )
-    scored = (
-        postings.select(id_col, "idx", "tf", "n_terms")
-        .join(q, "idx")
-        .groupBy(id_col, "query_id")
-        .agg(
-            F.sum(F.col("tf") * F.col("q_tf")).alias("_dot"),
-            F.max(F.col("n_terms") * F.col("q_terms")).alias("_size"),
-        )
-        .select("query_id", id_col, F.round(F.col("_dot") / F.col("_size"), SCORE_DIGITS).alias("score"))
-    )
-    return _best(scored, limit, id_col)
+    rows = postings.groupBy(id_col).agg(F.collect_list(F.struct("idx", "tf", "n_terms")).alias("sparse"))
+    return _sparse_passes(rows, query_postings, limit, id_col)
 
 
 def fuse_rrf(

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions import text as tx
 from gridloom.operators import prompts, retrieval, routing, vectors
 
 
@@ -150,3 +151,34 @@ def test_hits_do_not_depend_on_partitioning(spark):
         for d in (docs.coalesce(1), docs.repartition(11))
     ]
     assert results[0] == results[1]
+
+
+def test_postings_of_odd_keys_equal_counted_terms(spark):
+    rows = [(1, "Größe größe ab ab x"), (1, "ab 日本"), (2, None), (3, "- -"), (None, "ab cd"), (None, "cd"), (4, "z" * 3000 + " naïve")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    idx = tx.term_bucket("term").alias("idx")
+    expected = vectors.term_counts(docs, "doc_id").groupBy("doc_id", idx).agg(F.sum("tf"), F.max("n_terms")).collect()
+    for spread in (True, False):
+        got = vectors.postings(docs, "doc_id", spread=spread).drop("w").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, expected)))
+
+
+def test_sparse_search_keeps_null_keys_and_rounds_halves_up(spark):
+    docs = spark.createDataFrame([(None, "ab " * 640), (2**60 + 1, "ab " + "cd " * 639), (5, "ab " + "cd " * 639)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(None, "ab"), (7, "ab xx")], "query_id bigint, text string")
+    hits = retrieval.sparse_topk(vectors.postings(docs, "doc_id"), vectors.postings(asked, "query_id"), 3, "doc_id")
+    got = sorted(((r.query_id or 0, r["rank"], r.doc_id, r.score) for r in hits.collect()), key=lambda r: r[:2])
+    assert got == [
+        (0, 1, None, 1.0), (0, 2, 5, 0.001563), (0, 3, 2**60 + 1, 0.001563),
+        (7, 1, None, 0.5), (7, 2, 5, 0.000781), (7, 3, 2**60 + 1, 0.000781),
+    ]
+
+
+def test_matches_are_counted_in_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"same words w{i % 3}a w{i % 5}b") for i in range(60)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(q, f"same w{q % 3}a w{q}b words") for q in range(7)], "query_id int, text string")
+    run = lambda: sorted(tuple(r) for r in retrieval.sparse_topk(vectors.postings(docs, "doc_id"), vectors.postings(asked, "query_id"), 9, "doc_id").collect())
+    whole = run()
+    monkeypatch.setattr(retrieval, "PAIRS", 10)
+    monkeypatch.setattr(vectors, "PIECE_TERMS", 7)
+    assert run() == whole and len(whole) == 63
