@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom import fixed
-from gridloom.functions.text import name_uuid, table_label, trim_ws
+from gridloom.functions.text import has_content, name_uuid, table_label, trim_ws
 from gridloom.operators.blocks import attach_tables
 from gridloom.operators.schema import COLUMN_STRUCT
 
@@ -55,16 +55,36 @@ def row_chunks(rows: DataFrame, described: DataFrame) -> DataFrame:
     extra = {
         name: F.col(name) if name in described.columns else F.lit("") for name in ("summary", "hyde")
     }
+    # What is the same for all rows of a table is made once per table, not per row.
+    shared = {
+        "_labels": F.transform("columns", lambda c: F.concat(_shown_name(c), F.lit(fixed.HEADER_SEPARATOR))),
+        "_at": F.transform("columns", lambda c: c["col_index"]),
+        "_schema": public_columns(),
+    }
     tables = described.select(
-        "table_key", "row_count", "file_id", "source_file", "sheet", "table_index", "columns",
-        *[c.alias(n) for n, c in extra.items()],
+        "table_key", "row_count", "file_id", "source_file", "sheet", "table_index",
+        *[c.alias(n) for n, c in {**extra, **shared}.items()],
+    ).withColumns(
+        {
+            "_in_place": F.forall(F.transform("_at", lambda at, i: at == i), lambda same: same),
+            "_named": F.forall("_labels", lambda label: label.isNotNull()),
+        }
     )
     joined = attach_tables(
         rows,
         tables,
-        ["file_id", "source_file", "sheet", "table_index", "columns", "summary", "hyde"],
+        ["file_id", "source_file", "sheet", "table_index", "summary", "hyde", *shared, "_in_place", "_named"],
+    )
+    # The same as ``row_text``; a cell of a row is looked at once, and the text is not needed to
+    # tell that there is any.
+    n = F.size("_labels")
+    first = F.when(F.size("values") <= n, F.col("values")).otherwise(F.slice("values", F.lit(1), n))
+    cells = F.when(F.col("_in_place"), first).otherwise(F.transform("_at", lambda at: F.get("values", at)))
+    text = F.array_join(
+        F.zip_with(cells, "_labels", lambda v, label: F.when(has_content(v), F.concat(label, trim_ws(v)))), fixed.PAIR_SEPARATOR
     )
-    return joined.withColumn("text", row_text()).filter(F.col("text") != "").select(
+    some = F.when(F.col("_named"), F.exists(cells, has_content)).otherwise(text != "")
+    return joined.filter(some).withColumn("text", text).select(
         chunk_id().alias("chunk_id"),
         "table_key",
         "file_id",
@@ -75,7 +95,7 @@ def row_chunks(rows: DataFrame, described: DataFrame) -> DataFrame:
         "text",
         "hyde",
         "summary",
-        public_columns().alias("schema"),
+        F.col("_schema").alias("schema"),
     )
 
 

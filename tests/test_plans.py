@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import grid as g
-from gridloom.operators import retrieval, schema, typed, vectors
+from gridloom.operators import chunks, retrieval, schema, typed, vectors
 from gridloom.suite import inputs
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +101,19 @@ def test_parsing_stays_compilable(spark, tmp_path, capsys):
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) < 8000
+
+
+def test_terms_are_hashed_and_scored_in_tasks(spark):
+    docs = vectors.postings(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
+    assert "aggregate(" not in plan(docs) and plan(docs).count("Generate") == 1
+    items = vectors.postings(spark.read.parquet(f"{SF}/benchmark.parquet").withColumnRenamed("item_id", "query_id"), "query_id")
+    found = plan(retrieval.sparse_topk(docs, items, 5, "doc_id"))
+    # Between the texts' one exchange and the ranked candidates' nothing moves.
+    assert "MapInArrow" in found and found[found.index("MapInArrow"):].count("Exchange") == 1
+
+
+def test_what_a_table_shares_is_not_made_per_row(spark):
+    rows = inputs.text_rows(spark, SF)
+    described = schema.describe_tables(inputs.text_tables(rows), rows)
+    text = plan(chunks.row_chunks(rows, described))
+    assert "original_name" not in text[: text.index("Join")].replace("original_name:string", "")
