@@ -37,6 +37,8 @@ DECIMAL = (
 )
 HEX_FLOAT = r"^[+-]?0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+$"
 NOT_FINITE = r"^(?i:[+-]?inf(?:inity)?|nan)$"
+# With a line end, which ``$`` lets pass.
+LONGEST_NOT_FINITE = len("+infinity\r\n")
 
 
 def _col(c: Column | str) -> Column:
@@ -45,11 +47,20 @@ def _col(c: Column | str) -> Column:
 
 def clean_number(c: Column | str) -> Column:
     """Drop currency signs, percent signs and, next to a decimal point, commas."""
-    bare = trim_ws(
-        F.rtrim(
-            F.ltrim(_col(c), F.lit(fixed.NUMBER_PREFIX_CHARS)), F.lit(fixed.NUMBER_SUFFIX_CHARS)
-        )
-    )
+    return _without_commas(bare_number(c))
+
+
+def bare_number(c: Column | str) -> Column:
+    """A text without signs around it. Most begin and end in visible ASCII that is no sign, and
+    pass through untouched."""
+    v = _col(c)
+    first, last = F.ascii(v), F.ascii(F.right(v, F.lit(1)))
+    clean = first.between(33, 126) & (first != ord("$")) & last.between(33, 126) & (last != ord("%"))
+    signs_off = F.rtrim(F.ltrim(v, F.lit(fixed.NUMBER_PREFIX_CHARS)), F.lit(fixed.NUMBER_SUFFIX_CHARS))
+    return F.when(clean, v).otherwise(trim_ws(signs_off))
+
+
+def _without_commas(bare: Column) -> Column:
     return F.when(F.contains(bare, F.lit(".")), F.replace(bare, F.lit(","), F.lit(""))).otherwise(bare)
 
 
@@ -168,7 +179,8 @@ def with_parsed(df: DataFrame, value: Column) -> DataFrame:
     return (
         df.withColumn("_v", trim_ws(value))
         .withColumn("_shape", date_shape("_v"))
-        .withColumn("_num", clean_number("_v"))
+        .withColumn("_bare", bare_number("_v"))
+        .withColumn("_num", _without_commas(F.col("_bare")))
         .withColumn("_day", date_text("_v", F.col("_shape")))
         .withColumn("_stamp", stamp_text("_v"))
     )
@@ -187,7 +199,7 @@ def cell_kind() -> Column:
         F.when(v == "", F.lit(None).cast("string"))
         .when(F.ascii(v).between(43, 57) & as_long(v).isNotNull(), F.lit("INTEGER"))
         .when(words, F.lit("BOOLEAN"))
-        .when(_in_range(num) | num.rlike(NOT_FINITE), F.lit("DOUBLE"))
+        .when(_in_range(num) | ((F.length(num) <= LONGEST_NOT_FINITE) & num.rlike(NOT_FINITE)), F.lit("DOUBLE"))
         .when(day.isNotNull() & day.try_cast("date").isNotNull(), F.lit("DATE"))
         .when(stamp.isNotNull() & stamp.try_cast("timestamp").isNotNull(), F.lit("TIMESTAMP"))
         .otherwise(F.lit("VARCHAR"))

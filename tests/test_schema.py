@@ -136,3 +136,10 @@ def test_times_do_not_depend_on_the_session_zone(spark, zone):
         assert df.select(F.unix_seconds(parse.as_timestamp("v"))).first()[0] == 1706695200
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_signs_around_numbers(spark):
+    shown = {"$1,234.5 %": "1234.5", "7%": "7", "€ 8": "8", "1,2": "1,2", " 9.0 ": "9.0", "abc": "abc", "$": "", "": "", "-$3": "-$3", "4 %%": "4", "+infinity": "+infinity"}
+    cells = parse.with_parsed(spark.createDataFrame([(v,) for v in shown], "v string"), F.col("v"))
+    assert "_bare" in cells.columns
+    assert {r.v: r._num for r in cells.collect()} == shown
