@@ -44,19 +44,21 @@ def _tokens(piece: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]
     return list(ids), np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array([len(p) for p in parts], dtype=np.int64)
 
 
-def _grams(words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens, ends included, and of the pairs that each makes with the one before."""
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+def _grams(words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words and, last, the end; which of them each token is, ends included;
+    and hashes of the pairs that each token makes with the one before."""
+    kinds = np.fromiter((*map(xxhash.xxh64_intdigest, words), int(_END)), dtype=np.uint64, count=len(words) + 1)
     n = lengths + 1
     ends = np.cumsum(n) - 1
-    token = np.empty(int(n.sum()), dtype=np.uint64)
-    inner = np.ones(len(token), dtype=bool)
+    which = np.full(int(n.sum()), len(words), dtype=np.int64)
+    inner = np.ones(len(which), dtype=bool)
     inner[ends] = False
-    token[inner], token[ends] = hashes[flat], _END
+    which[inner] = flat
+    token = kinds[which]
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[ends - lengths] = _START
-    return token, mix64(before * _PAIR + token)
+    return kinds, which, mix64(before * _PAIR + token)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -145,9 +147,10 @@ def build_filter(docs: DataFrame, layout: Filter) -> DataFrame:
 
         for batch in batches:
             for piece in pieces(batch, "_t"):
-                token, pair = _grams(*_tokens(piece))
-                h = np.concatenate([mix64(token), pair])
-                held.append(merged(h, np.ones(len(h), dtype=np.int64)))
+                kinds, which, pair = _grams(*_tokens(piece))
+                times = np.bincount(which, minlength=len(kinds))
+                h = np.concatenate([mix64(kinds[times > 0]), pair])
+                held.append(merged(h, np.concatenate([times[times > 0], np.ones(len(pair), dtype=np.int64)])))
                 if sum(len(x[0]) for x in held) > 6_000_000:
                     yield out()
                     held = []
@@ -186,8 +189,8 @@ def _broadcast_levels(spark: SparkSession, filled: DataFrame, layout: Filter):
 
 def _hashes(piece: pa.RecordBatch) -> np.ndarray:
     """The distinct n-grams of some texts, in order."""
-    token, pair = _grams(*_tokens(piece))
-    return np.unique(np.concatenate([mix64(token), pair]))
+    kinds, _, pair = _grams(*_tokens(piece))
+    return np.unique(np.concatenate([mix64(kinds), pair]))
 
 
 def _asked_levels(texts: DataFrame, filled: DataFrame, layout: Filter) -> DataFrame:
@@ -252,11 +255,13 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int |
     def score(piece: pa.RecordBatch, levels: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
         known = top.value
         words, flat, lengths = _tokens(piece)
-        token, pair = _grams(words, flat, lengths)
+        kinds, which, pair = _grams(words, flat, lengths)
         rows, ends = len(lengths), np.cumsum(lengths + 1)
         starts = ends - lengths - 1
-        one = middle(levels(mix64(token)))
-        two = middle(levels(pair))
+        # A word or pair is asked for once, however often the texts have it.
+        one = middle(levels(mix64(kinds)))[which]
+        pair, place = np.unique(pair, return_inverse=True)
+        two = middle(levels(pair))[place]
         before = np.empty_like(one)
         before[1:], before[starts] = one[:-1], float(max(1, texts))
         p = PAIRS * np.minimum(two, before) / np.maximum(before, 1.0) + (1 - PAIRS) * (one + 1) / total
@@ -268,9 +273,9 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int |
         seen = np.bincount(doc[here], minlength=rows) + (1 if texts else 0)
         # Words that are not in every task: counted per text, to be joined.
         code, times = np.unique(doc[~here] * max(1, len(words)) + flat[~here], return_counts=True)
-        of, which = code // max(1, len(words)), code % max(1, len(words))
+        of, word = code // max(1, len(words)), code % max(1, len(words))
         bounds = np.searchsorted(of, np.arange(rows + 1))
-        tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(which)), pa.array(times.astype(np.int32))], ["word", "m"])
+        tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(word)), pa.array(times.astype(np.int32))], ["word", "m"])
         rest = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), tail)
         return pa.RecordBatch.from_arrays(
             [piece["_row"], piece["doc_id"], pa.array(lengths + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score), rest],

@@ -8,6 +8,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import lines, mixing, near_copies, neighbours, ngram_model, packing, pii, quality, substrings, toxicity
@@ -438,3 +439,10 @@ def test_pipeline(spark, docs, tmp_path):
         step.write.parquet(path)
         step = spark.read.parquet(path)
     assert step.count() == out.count()
+
+
+def test_a_word_of_many_texts_is_looked_up_once():
+    piece = pa.RecordBatch.from_arrays([pa.array(["a b A a", None, "b"])], ["_t"])
+    kinds, which, pair = ngram_model._grams(*ngram_model._tokens(piece))
+    assert len(set(kinds.tolist())) == len(kinds) == 3
+    assert which.tolist() == [0, 1, 0, 0, 2, 2, 1, 2] and len(pair) == 8
