@@ -25,8 +25,10 @@ def trim_ws(c: Column | str) -> Column:
 
 
 def has_content(c: Column | str) -> Column:
-    """Not blank. A first character in visible ASCII settles it without trimming."""
-    return F.ascii(_col(c)).between(33, 126) | (trim_ws(c) != "")
+    """Not blank. A first byte in visible ASCII settles it without trimming, as does no byte."""
+    v = _col(c)
+    visible = (v >= F.lit("!")) & (v < F.lit("\x7f"))
+    return visible | ((v != "") & (trim_ws(v) != ""))
 
 
 def header_base(c: Column | str) -> Column:

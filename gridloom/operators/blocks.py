@@ -86,6 +86,68 @@ def label_runs(df: DataFrame, keys: list[str], pos: str, bits: int = BLOCK_BITS)
     )
 
 
+def mark_pieces(df: DataFrame, keys: list[str], pos: str, bits: int = BLOCK_BITS) -> DataFrame:
+    """Add ``_blk``, ``_lo`` (where the run of consecutive positions around a row begins, seen
+    from inside its block) and ``repeated`` (the row before has the same position).
+
+    One sort of a block: all that is asked of other rows is asked in its order.
+    """
+    order = Window.partitionBy(*keys, "_blk").orderBy(pos)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.col(pos).cast("bigint")
+    given = F.col(pos).isNotNull()
+    for key in keys:
+        given = given & F.col(key).isNotNull()
+    return (
+        df.filter(given)
+        .withColumn("_blk", block(pos, bits))
+        .withColumn("_step", at - F.lag(at).over(order))
+        .withColumn("_lo", F.max(F.when(F.coalesce(F.col("_step"), F.lit(2)) > 1, at)).over(so_far))
+        .withColumn("repeated", F.coalesce(F.col("_step") == 0, F.lit(False)))
+        .drop("_step")
+    )
+
+
+def run_heads(pieces: DataFrame, keys: list[str], pos: str, bits: int = BLOCK_BITS) -> DataFrame:
+    """``_head_start`` of the blocks whose first run goes on from the block before: where it began.
+
+    Of ``mark_pieces`` one row per block is looked at, and only blocks that go on are returned.
+    """
+    part = [*keys, "_blk"]
+    first, last = F.shiftleft(F.col("_blk"), bits), F.shiftleft(F.col("_blk") + 1, bits) - 1
+    up = Window.partitionBy(*keys).orderBy("_blk")
+    edges = pieces.groupBy(*part).agg(
+        (F.min(pos) == first).alias("_at_first"),
+        F.when(F.max(pos) == last, F.max("_lo")).alias("_tail_lo"),
+    )
+    goes_on = F.col("_at_first") & (F.lag("_blk").over(up) == F.col("_blk") - 1) & F.lag("_tail_lo").over(up).isNotNull()
+    whole = F.col("_goes_on") & (F.col("_tail_lo") == first)
+    return (
+        edges.withColumn("_goes_on", F.coalesce(goes_on, F.lit(False)))
+        .withColumn(
+            "_start",
+            F.last(F.when(~whole, F.col("_tail_lo")), ignorenulls=True).over(
+                up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            ),
+        )
+        .withColumn("_head_start", F.lag("_start").over(up))
+        .filter("_goes_on")
+        .select(*part, "_head_start")
+    )
+
+
+def join_heads(
+    pieces: DataFrame, heads: DataFrame, keys: list[str], name: str, bits: int = BLOCK_BITS
+) -> DataFrame:
+    """Add ``name``: where the run of consecutive positions around a row begins."""
+    goes_on = (F.col("_lo") == F.shiftleft(F.col("_blk"), bits)) & F.col("_head_start").isNotNull()
+    return (
+        pieces.join(heads, [*keys, "_blk"], "left")
+        .withColumn(name, F.when(goes_on, F.col("_head_start")).otherwise(F.col("_lo")))
+        .drop("_blk", "_lo", "_head_start")
+    )
+
+
 def number_rows(
     df: DataFrame, keys: list[str], pos: str, order: list[str], name: str, bits: int = BLOCK_BITS
 ) -> DataFrame:

@@ -9,11 +9,19 @@ the cells (into a map-side combined aggregate).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import has_content, name_uuid
-from gridloom.operators.blocks import BLOCK_BITS, block, label_runs, number_rows
+from gridloom.operators.blocks import (
+    BLOCK_BITS,
+    block,
+    join_heads,
+    label_runs,
+    mark_pieces,
+    number_rows,
+    run_heads,
+)
 from gridloom.session import written
 
 GRID_SCHEMA = "file_id string, source_file string, sheet string, r bigint, cells array<string>"
@@ -29,55 +37,116 @@ def filled_rows(grid: DataFrame) -> DataFrame:
 
 
 def band_rows(grid: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """Label every filled row with the row band (run of non-empty rows) it lies in."""
-    return (
-        label_runs(filled_rows(grid), SHEET, "r", bits)
-        .withColumnRenamed("run_start", "band_start")
-        .withColumnRenamed("run_end", "band_end")
-    )
+    """Label every filled row with the first row of the row band (run of non-empty rows) it lies in."""
+    pieces = mark_pieces(filled_rows(grid), SHEET, "r", bits)
+    return join_heads(pieces, run_heads(pieces, SHEET, "r", bits), SHEET, "band_start", bits)
+
+
+def written_bands(grid: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """``band_rows`` for several uses: written when the rows have been sorted once, and again only
+    if a band goes on from one block into the next, whose rows begin where the band does."""
+    pieces = written(mark_pieces(filled_rows(grid), SHEET, "r", bits), "band-pieces")
+    heads = written(run_heads(pieces, SHEET, "r", bits), "band-heads")
+    if heads.isEmpty():
+        return pieces.withColumnRenamed("_lo", "band_start").drop("_blk")
+    return written(join_heads(pieces, heads, SHEET, "band_start", bits), "banded-rows")
 
 
 def row_bands(banded: DataFrame) -> DataFrame:
-    return banded.groupBy(*BAND, "band_end").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("filled")).alias("n_cells")
+    return banded.groupBy(*BAND).agg(
+        F.max("r").alias("band_end"), F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("filled")).alias("n_cells")
     )
 
 
-def table_islands(banded: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """Bounds of every table.
+def band_islands(banded: DataFrame) -> DataFrame:
+    """Bounds of every table, not yet numbered, and what its first three rows hold.
 
     Inside a band the extent runs from the first to the last column with content below
     the band's first row (a one-row band is its own extent); inside the extent, maximal
     runs of columns with any content are tables. Columns per band are first reduced by
-    a map-side combined aggregate, so the windows below see at most one row per column.
+    a map-side combined aggregate, so the windows below see at most one row per column,
+    in one order. ``n_first``, ``n_second`` and ``n_third`` count the table's filled cells there;
+    ``repeated`` says that one of these rows comes more than once, where counts of columns
+    are not those of a row.
     """
-    data_row = (F.col("r") > F.col("band_start")) | (F.col("band_start") == F.col("band_end"))
+    depth = F.col("r") - F.col("band_start")
     columns = (
-        banded.select(*BAND, "band_end", data_row.alias("data_row"), F.explode("filled").alias("c"))
-        .groupBy(*BAND, "band_end", "c")
-        .agg(F.max("data_row").alias("has_data"))
+        banded.select(*BAND, "r", depth.alias("depth"), "repeated", F.explode("filled").alias("c"))
+        .groupBy(*BAND, "c")
+        .agg(
+            F.max("r").alias("last"),
+            F.max(F.col("depth") == 0).alias("in_first"),
+            F.max(F.col("depth") == 1).alias("in_second"),
+            F.max(F.col("depth") == 2).alias("in_third"),
+            F.max(F.col("repeated") & (F.col("depth") <= 2)).alias("repeated"),
+        )
     )
-    in_band = Window.partitionBy(*BAND)
-    data_column = F.when(F.col("has_data"), F.col("c"))
-    groups = (
-        columns.withColumn("left", F.min(data_column).over(in_band))
-        .withColumn("right", F.max(data_column).over(in_band))
+    ordered = Window.partitionBy(*BAND).orderBy("c")
+    band = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    data_column = F.when(F.col("last") > F.col("band_start"), F.col("c"))
+    return (
+        columns.withColumn("left", F.coalesce(F.min(data_column).over(band), F.min("c").over(band)))
+        .withColumn("right", F.coalesce(F.max(data_column).over(band), F.max("c").over(band)))
+        .withColumn("max_row", F.max("last").over(band))
+        .withColumn("repeated", F.max("repeated").over(band))
         .filter(F.col("c").between(F.col("left"), F.col("right")))
-        .withColumn("_grp", F.col("c") - F.row_number().over(in_band.orderBy("c")))
-        .groupBy(*BAND, "band_end", "_grp")
-        .agg(F.min("c").alias("min_col"), F.max("c").alias("max_col"))
+        .withColumn("_grp", F.col("c") - F.row_number().over(ordered))
+        .groupBy(*BAND, "max_row", "repeated", "_grp")
+        .agg(
+            F.min("c").alias("min_col"),
+            F.max("c").alias("max_col"),
+            F.sum(F.col("in_first").cast("int")).alias("n_first"),
+            F.sum(F.col("in_second").cast("int")).alias("n_second"),
+            F.sum(F.col("in_third").cast("int")).alias("n_third"),
+        )
         .select(
             *BAND,
-            "band_end",
             F.col("band_start").alias("min_row"),
-            F.col("band_end").alias("max_row"),
+            "max_row",
             "min_col",
             "max_col",
+            "n_first",
+            "n_second",
+            "n_third",
+            "repeated",
         )
     )
+
+
+def _numbered(groups: DataFrame, bits: int) -> DataFrame:
     return number_rows(groups, SHEET, "min_row", ["min_row", "min_col"], "table_index", bits)
 
 
+def table_islands(banded: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Bounds of every table, numbered within its sheet by row and column."""
+    return _numbered(band_islands(banded), bits)
+
+
+def written_islands(banded: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """``table_islands`` with the bounds written before numbering, which reads them twice."""
+    return _numbered(written(band_islands(banded), "islands"), bits)
+
+
+def _merged_spans(merges: DataFrame, row: str) -> DataFrame:
+    """Column spans of the one-row merges of a row."""
+    return (
+        merges.filter(F.col("r0") == F.col("r1"))
+        .groupBy(*SHEET, F.col("r0").cast("bigint").alias(row))
+        .agg(F.collect_list(F.struct("c0", "c1")).alias("spans"))
+    )
+
+
+def _merged(spans: str) -> Column:
+    """A merge overlaps two or more of the table's columns."""
+    return F.coalesce(
+        F.exists(
+            spans,
+            lambda s: F.least(s.c1, F.col("max_col")) - F.greatest(s.c0, F.col("min_col")) >= 1,
+        ),
+        F.lit(False),
+    )
+
+
 def _title_candidates(merges: DataFrame, bits: int) -> DataFrame:
     """Runs of rows that could be titles because of merges: rows with a one-row merge,
     and the rows right above them. Keyed by row for an equi-join."""
@@ -100,17 +169,26 @@ def skip_title_rows(
     A row is a title if a one-row merge overlaps two or more of the table's columns, or
     if it has exactly one non-blank cell inside the table and the next row has several.
     Two neighbouring title rows cannot both be of the second kind, so a chain of titles
-    ends at most two rows past the merged rows it starts in: only that head of each
-    table is compared with sheet rows, by an equi-join on the row.
+    ends at most two rows past the merged rows it starts in. Where none but a table's first row is merged there, the counts of
+    its first three rows settle it; only the heads of the others are compared with sheet rows,
+    by an equi-join on the row.
     """
     ident = [*SHEET, "table_index"]
-    heads = islands
     if merges is None:
-        heads = heads.withColumn("reach", F.col("min_row") - 1)
+        heads = islands.withColumn("reach", F.lit(None).cast("bigint")).withColumn("merged", F.lit(False))
     else:
-        heads = heads.join(_title_candidates(merges, bits), [*SHEET, "min_row"], "left").withColumn(
-            "reach", F.coalesce("reach", F.col("min_row") - 1)
+        starts_at = _title_candidates(merges, bits).join(_merged_spans(merges, "min_row"), [*SHEET, "min_row"], "left")
+        heads = (
+            islands.join(starts_at, [*SHEET, "min_row"], "left").withColumn("merged", _merged("spans")).drop("spans")
         )
+    settled = (F.coalesce("reach", "min_row") == F.col("min_row")) & ~F.col("repeated")
+    several = F.col("max_col") > F.col("min_col")
+    first_title = F.col("merged") | (several & (F.col("n_first") == 1) & (F.col("n_second") > 1))
+    second_title = several & (F.col("n_second") == 1) & (F.col("n_third") > 1)
+    titles = F.when(first_title, F.when(second_title, 2).otherwise(1)).otherwise(0)
+    header = F.least(F.col("min_row") + titles, "max_row")
+    plain = heads.filter(settled).withColumn("header_row", header).drop("merged")
+    heads = heads.filter(~settled).drop("merged").withColumn("reach", F.coalesce("reach", F.col("min_row") - 1))
     head_rows = heads.filter(F.col("min_row") < F.col("max_row")).select(
         *ident,
         "min_row",
@@ -138,20 +216,8 @@ def skip_title_rows(
     if merges is None:
         counted = counted.withColumn("merged", F.lit(False))
     else:
-        spans = (
-            merges.filter(F.col("r0") == F.col("r1"))
-            .groupBy(*SHEET, F.col("r0").cast("bigint").alias("r"))
-            .agg(F.collect_list(F.struct("c0", "c1")).alias("spans"))
-        )
-        counted = counted.join(spans, [*SHEET, "r"], "left").withColumn(
-            "merged",
-            F.coalesce(
-                F.exists(
-                    "spans",
-                    lambda s: F.least(s.c1, F.col("max_col")) - F.greatest(s.c0, F.col("min_col")) >= 1,
-                ),
-                F.lit(False),
-            ),
+        counted = counted.join(_merged_spans(merges, "r"), [*SHEET, "r"], "left").withColumn(
+            "merged", _merged("spans")
         )
     # Each row tells its own count to itself and to the row above: an aggregate, not a
     # window, because a chain of merged rows may be as long as the sheet.
@@ -178,17 +244,24 @@ def skip_title_rows(
         F.min(F.when(~title & (F.col("at") < F.col("max_row")), F.col("at"))).alias("header_row"),
         F.max("max_row").alias("_max_row"),
     )
+    compared = heads.join(
+        starts.select(*ident, F.coalesce("header_row", "_max_row").alias("header_row")), ident, "left"
+    ).withColumn("header_row", F.coalesce("header_row", "min_row"))
     return (
-        islands.join(
-            starts.select(*ident, F.coalesce("header_row", "_max_row").alias("header_row")), ident, "left"
-        )
-        .withColumn("header_row", F.coalesce("header_row", "min_row"))
+        plain.unionByName(compared)
         .withColumn("titles", (F.col("header_row") - F.col("min_row")).cast("int"))
         .withColumn("min_row", F.col("header_row"))
-        .drop("header_row")
+        .drop("header_row", "reach", "n_first", "n_second", "n_third", "repeated")
     )
 
 
+def named_tables(islands: DataFrame) -> DataFrame:
+    return islands.withColumn(
+        "table_key",
+        name_uuid(F.concat_ws("|", "file_id", "sheet", F.col("table_index").cast("string"))),
+    ).withColumn("row_count", F.col("max_row") - F.col("min_row"))
+
+
 def extract_tables(
     islands: DataFrame, banded: DataFrame, bits: int = BLOCK_BITS
 ) -> tuple[DataFrame, DataFrame]:
@@ -198,12 +271,11 @@ def extract_tables(
     (``table_key, row_index, values``). Every row inside a rectangle is a row of its
     band, so rows that are blank in one table because a neighbour is longer survive.
     The join key is (band, row block): a band holding a third of all rows is spread
-    over its blocks, and the bounds side repeats once per block only.
+    over its blocks, and the bounds side repeats once per block only. Headers are met by
+    the same key, so that the rows move once for both. The bounds of a task's keys are looked
+    up by hash, as they are fewer than the rows, which then need not be sorted.
     """
-    named = islands.withColumn(
-        "table_key",
-        name_uuid(F.concat_ws("|", "file_id", "sheet", F.col("table_index").cast("string"))),
-    ).withColumn("row_count", F.col("max_row") - F.col("min_row"))
+    named = islands if "table_key" in islands.columns else named_tables(islands)
     bounds = named.select(
         *BAND,
         "table_key",
@@ -214,17 +286,24 @@ def extract_tables(
     )
     width = F.col("max_col") - F.col("min_col") + 1
     got = F.slice("cells", F.col("min_col") + 1, width)
-    padded = F.concat(got, F.array_repeat(F.lit(""), width - F.size(got)))
-    values = F.transform(padded, lambda v: F.coalesce(v, F.lit("")))
+    whole = F.when(F.size(got) == width, got).otherwise(
+        F.concat(got, F.array_repeat(F.lit(""), width - F.size(got)))
+    )
+    values = F.when(
+        F.exists(got, lambda v: v.isNull()), F.transform(whole, lambda v: F.coalesce(v, F.lit("")))
+    ).otherwise(whole)
+    blocked = banded.withColumn("_blk", block("r", bits))
     cut = (
-        banded.select(*BAND, "r", "cells", block("r", bits).alias("_blk"))
-        .join(bounds, [*BAND, "_blk"])
+        blocked.select(*BAND, "_blk", "r", "cells")
+        .join(bounds.hint("shuffle_hash"), [*BAND, "_blk"])
         .filter(F.col("r") > F.col("min_row"))
         .select("table_key", (F.col("r") - F.col("min_row") - 1).alias("row_index"), values.alias("values"))
     )
-    # The header is one sheet row of each table, met by its position.
-    top = banded.select(*SHEET, F.col("r").alias("min_row"), "source_file", "cells")
-    tables = named.join(top, [*SHEET, "min_row"]).withColumn("headers", values).select(
+    # The header is one sheet row of each table. Its position is not part of the key.
+    top = blocked.select(*BAND, "_blk", "r", "source_file", "cells").join(
+        named.withColumn("_blk", block("min_row", bits)).hint("shuffle_hash"), [*BAND, "_blk"]
+    )
+    tables = top.filter(F.col("r") - F.col("min_row") == 0).withColumn("headers", values).select(
         "table_key",
         "file_id",
         "source_file",
@@ -248,9 +327,9 @@ def find_tables(
     The labelled rows feed three steps and the bounds two each, so they are written once: each
     step then reads the columns it needs instead of repeating all shuffles before it.
     """
-    banded = written(band_rows(grid, bits), "banded-rows")
-    islands = written(table_islands(banded, bits), "islands")
-    return extract_tables(written(skip_title_rows(islands, banded, merges, bits), "table-bounds"), banded, bits)
+    banded = written_bands(grid, bits)
+    bounds = skip_title_rows(written(written_islands(banded, bits), "numbered-islands"), banded, merges, bits)
+    return extract_tables(written(named_tables(bounds), "table-bounds"), banded, bits)
 
 
 def first_row_tables(grid: DataFrame) -> tuple[DataFrame, DataFrame]:

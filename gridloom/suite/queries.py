@@ -194,21 +194,21 @@ def format_rows(spark, sf_dir):
 # --- grids ------------------------------------------------------------------------------
 
 
-@query
-def row_bands(spark, sf_dir):
-    grid, _ = inputs.order_grid(spark, sf_dir)
-    return g.row_bands(g.band_rows(grid))
-
-
 def _banded(spark, sf_dir):
     grid, merges = inputs.order_grid(spark, sf_dir)
-    return written(g.band_rows(grid), "banded-rows"), merges
+    return g.written_bands(grid), merges
+
+
+@query
+def row_bands(spark, sf_dir):
+    banded, _ = _banded(spark, sf_dir)
+    return g.row_bands(banded)
 
 
 @query
 def table_islands(spark, sf_dir):
     banded, _ = _banded(spark, sf_dir)
-    return g.table_islands(banded).select(
+    return g.written_islands(banded).select(
         "file_id", "sheet", "table_index", "min_row", "max_row", "min_col", "max_col"
     )
 
@@ -216,7 +216,8 @@ def table_islands(spark, sf_dir):
 @query
 def title_rows_skipped(spark, sf_dir):
     banded, merges = _banded(spark, sf_dir)
-    return g.skip_title_rows(written(g.table_islands(banded), "islands"), banded, merges).select(
+    islands = written(g.written_islands(banded), "numbered-islands")
+    return g.skip_title_rows(islands, banded, merges).select(
         "file_id", "sheet", "table_index", F.col("min_row").alias("header_row"), "titles"
     )
 

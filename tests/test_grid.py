@@ -168,3 +168,43 @@ def test_extraction_pads_and_keeps_blank_rows(spark):
 def test_header_only_table_has_no_rows(spark):
     tables, rows = g.find_tables(sheet(spark, [["p", "q"]]))
     assert tables.first().row_count == 0 and rows.count() == 0
+
+
+def test_a_grid_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    lines = [["p", "q"], ["1", "2"], [], ["x"], ["3"], ["4"]]
+    tables, rows = g.find_tables(sheet(spark, lines).mapInPandas(counted, g.GRID_SCHEMA))
+    assert tables.count() == 2 and rows.count() == 3 and seen.value == len(lines)
+
+
+def test_bands_written_over_blocks_equal_those_of_one_plan(spark, rows_of):
+    grids = {"a": [["v"]] * 21 + [[]] + [["v"]] * 3, "b": [["v"]] * 8, "c": [["v"], [], ["v"]]}
+    grid = sheets(spark, grids)
+    for bits in (1, 2, 14):
+        once, stored = g.band_rows(grid, bits), g.written_bands(grid, bits)
+        expected = [(f, r, max(k for k in range(r + 1) if lines[k] and (k == 0 or not lines[k - 1])))
+                    for f, lines in grids.items() for r in range(len(lines)) if lines[r]]
+        assert rows_of(once, "file_id", "r", "band_start") == expected
+        assert rows_of(stored, "file_id", "r", "band_start") == expected
+
+
+def test_titles_settled_by_counts_and_by_rows(spark):
+    under = [["T", "", ""], ["u", "", ""], ["p", "q", "r"], ["1", "2", "3"]]
+    merged_twice = [["T", "", ""], ["U", "", ""], ["p", "q", "r"], ["1", "2", "3"]]
+    all_but_one = [["T", ""], ["u", ""], ["p", "q"]]
+    merges = [("0", "s", 0, 0, 0, 2), ("1", "s", 0, 0, 0, 2), ("1", "s", 1, 0, 1, 2), ("2", "s", 0, 0, 0, 1)]
+    assert bounds(spark, [under, merged_twice, all_but_one], merges, skip=True) == [
+        [(2, 3, 0, 2)], [(2, 3, 0, 2)], [(2, 2, 0, 1)],
+    ]
+    # A first row that comes twice holds one cell each time, two columns in all.
+    cells = [(0, ["a", ""]), (0, ["", "b"]), (1, ["p", "q"]), (2, ["1", "2"])]
+    twice = spark.createDataFrame([("f", "f.xlsx", "s", r, c) for r, c in cells], g.GRID_SCHEMA)
+    banded = g.band_rows(twice)
+    (got,) = g.skip_title_rows(g.table_islands(banded), banded).collect()
+    assert (got.min_row, got.titles) == (1, 1)
