@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import flat_bytes, mix64, pieces, remainder
@@ -18,36 +18,41 @@ from gridloom.session import written
 # Frequent words whose exact counts are sent to every task: at most TOP, each up to TOP_BYTES
 # long. Counts of all others are joined.
 TOP, TOP_BYTES = 200_000, 48
-# Filter: bits per training token, whatever their number, in slices for so many tokens each. It
-# is broadcast up to BROADCAST bytes; beyond that the n-grams of texts are sent to its slices.
-BITS_PER_TOKEN, SLICE_TOKENS, PROBES, BLOCK = 5, 500_000, 4, 512
-BROADCAST = 256 << 20
-# Texts that ask a slice together (2 ** CHUNK_BITS rows).
-CHUNK_BITS = 8
+# Filter: bits per training token, whatever their number, in slices for so many tokens each.
+# PART slices that follow one another are filled and asked in one place.
+BITS_PER_TOKEN, SLICE_TOKENS, PROBES, BLOCK, PART = 5, 500_000, 4, 512, 4
+# Bytes of the texts that ask together.
+CHUNK_BYTES = 8 << 20
 # Weight of the pair estimate against the word estimate.
 PAIRS = 0.2
 _START, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _PAIR, _LEVEL = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x2545F4914F6CDD1D)
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _tokens(piece: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _tokens(piece: pa.RecordBatch | pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct lower-case words, the words of all texts as numbers, and words per text."""
-    data, bounds = flat_bytes(piece["_t"])
-    raw, ids = data.tobytes().lower(), _Ids()
-    parts = [np.fromiter(map(ids.__getitem__, raw[bounds[i] : bounds[i + 1]].split()), dtype=np.int64) for i in range(len(bounds) - 1)]
-    return list(ids), np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array([len(p) for p in parts], dtype=np.int64)
-
-
-def _grams(words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    texts = piece["_t"].cast(pa.large_binary())
+    data, bounds = flat_bytes(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
+    cut = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data.tobytes().lower())))
+    bounds, coded = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+    flat, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary())
+    # What stands before white space at the start of a text, or after that at its end, is no word.
+    if (none := pc.index(words, b"").as_py()) >= 0:
+        inked = flat != none
+        bounds = np.concatenate([[0], np.cumsum(inked)])[bounds]
+        flat = flat[inked]
+        flat -= flat > none
+        words = pa.concat_arrays([words[:none], words[none + 1 :]])
+    return words, flat, np.diff(bounds).astype(np.int64)
+
+
+def _grams(words: pa.Array, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words and, last, the end; which of them each token is, ends included;
     and hashes of the pairs that each token makes with the one before."""
-    kinds = np.fromiter((*map(xxhash.xxh64_intdigest, words), int(_END)), dtype=np.uint64, count=len(words) + 1)
+    kinds = np.full(len(words) + 1, _END)
+    data, bounds = flat_bytes(words)
+    raw, bounds = data.tobytes(), bounds.tolist()
+    kinds[:-1] = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(bounds, bounds[1:])), dtype=np.uint64, count=len(words))
     n = lengths + 1
     ends = np.cumsum(n) - 1
     which = np.full(int(n.sum()), len(words), dtype=np.int64)
@@ -65,17 +70,26 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """``(word, c)`` over the lower-case words of all texts; each task counts its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        held: list[pa.Table] = []
+
+        def counted() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            return iter(held[0].to_batches(500_000))
+
         for batch in batches:
             for piece in pieces(batch, "_t"):
                 words, flat, _ = _tokens(piece)
-                held.update(dict(zip(words, np.bincount(flat, minlength=len(words)).tolist())))
-                if len(held) > 500_000:
-                    yield out()
-                    held.clear()
+                held.append(pa.table({"word": words.cast(pa.binary()), "n": np.bincount(flat, minlength=len(words))}))
+                if sum(x.num_rows for x in held) > 1_000_000:
+                    held = [counted()]
+                    if held[0].num_rows > 500_000:
+                        yield from out()
+                        held = []
         if held:
-            yield out()
+            held = [counted()]
+            yield from out()
 
     return docs.select(F.col("text").alias("_t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -87,6 +101,7 @@ class Filter:
         self.slices = max(16, 2 ** math.ceil(math.log2(max(1, tokens) / SLICE_TOKENS + 1)))
         self.per_slice = max(1, tokens * BITS_PER_TOKEN // BLOCK // self.slices + 1)
         self.slice_bytes = self.per_slice * BLOCK // 8
+        self.part = PART
 
     def slice_of(self, h: np.ndarray) -> np.ndarray:
         """From the high bits: hashes in order are in the order of their slices."""
@@ -98,129 +113,109 @@ class Filter:
         g = mix64(h ^ (np.full(1, level, dtype=np.uint64) * _LEVEL))
         return [base + ((g >> np.uint64(9 * k)) & np.uint64(BLOCK - 1)) for k in range(PROBES)]
 
-    def levels(self, h: np.ndarray, bits: np.ndarray, start: np.ndarray | int) -> np.ndarray:
-        """The last level at which all probes hit; ``start`` is where each one's slice begins in ``bits``, in bytes."""
-        level = np.zeros(len(h), dtype=np.int64)
-        left, start = np.arange(len(h)), np.broadcast_to(np.asarray(start, dtype=np.int64), len(h))
+    def levels(self, h: np.ndarray, bits: np.ndarray, start: np.ndarray | int, least: np.ndarray | None = None) -> np.ndarray:
+        """The last level at which all probes hit; ``start`` is where each one's slice begins in ``bits``, in bytes.
+
+        An n-gram is known to be held up to its level in ``least``, and not asked for there.
+        """
+        level = np.zeros(len(h), dtype=np.int64) if least is None else least.astype(np.int64)
+        start = np.broadcast_to(np.asarray(start, dtype=np.int64), len(h))
+        known, left = level.copy(), np.flatnonzero(level == 0)
+        most = int(known.max(initial=0))
         for q in range(1, 64):
             hit = np.ones(len(left), dtype=bool)
             for at in self.places(h[left], q):
                 hit &= (bits[start[left] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
             left = left[hit]
-            if not len(left):
-                break
             level[left] = q
+            if q <= most:
+                left = np.concatenate([left, np.flatnonzero(known == q)])
+            elif not len(left):
+                break
         return level
 
 
 def middle(level: np.ndarray) -> np.ndarray:
     """Counts as levels tell them: 0, 1, and the middle of a power of two on."""
-    return np.where(level > 0, np.where(level == 1, 1.0, 2.0 ** (level - 0.5)), 0.0)
-
-
-def build_filter(docs: DataFrame, layout: Filter) -> DataFrame:
-    """``(slice, bits)`` of the filter, each slice once.
+    return np.concatenate([[0.0, 1.0], 2.0 ** (np.arange(2, 64) - 0.5)])[level]
 
-    Words and pairs with count c are held at the levels 1 to 1 + floor(log2 c). Each task
-    counts its own hashes; they meet by slice of the filter, and the number of slices follows
-    the number of tokens, so a group's size does not.
-    """
-
-    def merged(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        return h[first], np.add.reduceat(c, first) if len(h) else c
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            h, c = merged(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            of = layout.slice_of(h)
-            cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(h)]])
-            c = np.minimum(c, 2**32 - 1).astype(np.uint32)
-            once = [h[a:b][c[a:b] == 1].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            more = [h[a:b][c[a:b] > 1].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            many = [c[a:b][c[a:b] > 1].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]].astype(np.int32)), *[pa.array(x, pa.binary()) for x in (once, more, many)]], ["slice", "once", "more", "counts"])
-
-        for batch in batches:
-            for piece in pieces(batch, "_t"):
-                kinds, which, pair = _grams(*_tokens(piece))
-                times = np.bincount(which, minlength=len(kinds))
-                h = np.concatenate([mix64(kinds[times > 0]), pair])
-                held.append(merged(h, np.concatenate([times[times > 0], np.ones(len(pair), dtype=np.int64)])))
-                if sum(len(x[0]) for x in held) > 6_000_000:
-                    yield out()
-                    held = []
-        if held:
-            yield out()
 
-    def fill(group: pa.Table) -> pa.Table:
-        bits = np.zeros(layout.per_slice * BLOCK, dtype=bool)
-        join = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), dtype=kind)
-        once, more = join("once", np.uint64), join("more", np.uint64)
-        h, c = merged(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), join("counts", np.uint32).astype(np.int64)]))
-        number = group["slice"][0].as_py()
-        levels = np.frexp(c.astype(np.float64))[1]
-        for level in range(1, int(levels.max()) + 1):
-            for at in layout.places(h[levels >= level], level):
-                bits[at.astype(np.int64)] = True
-        return pa.table({"slice": pa.array([number], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, where each distinct one begins there, and the order."""
+    order = np.argsort(h)
+    h = h[order]
+    return h, np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64), order
 
-    counted = docs.select(F.col("text").alias("_t")).mapInArrow(count, "slice int, once binary, more binary, counts binary")
-    return counted.groupBy("slice").applyInArrow(fill, "slice int, bits binary")
 
+def _packed(h: np.ndarray) -> bytes:
+    """Hashes in order by their steps, the lowest bytes of all first: the highest are mostly 0 and compress."""
+    return np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-def _broadcast_levels(spark: SparkSession, filled: DataFrame, layout: Filter):
-    """Levels from the whole filter, which every task has."""
-    out = bytearray(layout.slices * layout.slice_bytes)
-    for row in filled.toLocalIterator():
-        out[row["slice"] * layout.slice_bytes : (row["slice"] + 1) * layout.slice_bytes] = row["bits"]
-    shared = spark.sparkContext.broadcast(bytes(out))
 
-    def levels(h: np.ndarray) -> np.ndarray:
-        bits = np.frombuffer(shared.value, dtype=np.uint8)
-        return layout.levels(h, bits, layout.slice_of(h).astype(np.int64) * layout.slice_bytes)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
-    return levels
 
+ASKED = "part int, _chunk long, hashes binary, counts binary, large binary"
+LEVELS = "_chunk long, part int, levels binary"
 
-def _hashes(piece: pa.RecordBatch) -> np.ndarray:
-    """The distinct n-grams of some texts, in order."""
-    kinds, _, pair = _grams(*_tokens(piece))
-    return np.unique(np.concatenate([mix64(kinds), pair]))
 
+def _ask(layout: Filter, texts: pa.Table) -> pa.Table:
+    """The distinct n-grams of a chunk of texts with their counts in those that train, by part of the filter.
 
-def _asked_levels(texts: DataFrame, filled: DataFrame, layout: Filter) -> DataFrame:
-    """``(_chunk, slice, levels)``: the levels of the distinct n-grams of each chunk of texts, by slice.
-
-    Chunks send their hashes to the slices that hold them; the levels come back in their order,
-    a byte each. A slice is asked chunk by chunk, so no group grows with the texts: slices that
-    are asked often are split by the skew join.
+    A count is a byte; counts from 255 on are in ``large``.
     """
-
-    def ask(group: pa.Table) -> pa.Table:
-        h = _hashes(group.combine_chunks().to_batches()[0])
-        of = layout.slice_of(h).astype(np.int64)
-        cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
-        parts = [h[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(h)])]
-        chunk = group["_chunk"][0].as_py()
-        return pa.table({"_chunk": pa.array([chunk] * len(cuts), pa.int64()), "slice": pa.array(of[cuts].astype(np.int32)), "hashes": pa.array(parts, pa.binary())})
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for hashes, bits in zip(batch["hashes"], batch["bits"]):
-                h = np.frombuffer(hashes.as_buffer(), np.uint64)
-                # A slice in which nothing is held has no row.
-                level = layout.levels(h, np.frombuffer(bits.as_buffer(), np.uint8), 0) if bits.is_valid else np.zeros(len(h))
-                found.append(level.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["_chunk"], batch["slice"], pa.array(found, pa.binary())], ["_chunk", "slice", "levels"])
-
-    asked = texts.select("_chunk", "_t").groupBy("_chunk").applyInArrow(ask, "_chunk long, slice int, hashes binary")
-    return asked.join(filled, "slice", "left").select("_chunk", "slice", "hashes", "bits").mapInArrow(look, "_chunk long, slice int, levels binary")
+    words, flat, lengths = _tokens(texts)
+    kinds, which, pair = _grams(words, flat, lengths)
+    train = np.repeat(texts["_train"].to_numpy(), lengths + 1)
+    h, first, order = _distinct(np.concatenate([mix64(kinds), pair]))
+    counts = np.add.reduceat(np.concatenate([np.bincount(which[train], minlength=len(kinds)), train])[order], first)
+    h = h[first]
+    of = layout.slice_of(h).astype(np.int64) // layout.part
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(h)]
+    small, asked = np.minimum(counts, 255).astype(np.uint8), []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        large = counts[a:b][small[a:b] == 255].astype("<u4")
+        asked.append((of[a], _packed(h[a:b]), small[a:b].tobytes(), large.tobytes()))
+    part, hashes, few, many = zip(*asked)
+    chunk = texts["_chunk"][0].as_py()
+    return pa.table({"part": pa.array(part, pa.int32()), "_chunk": pa.array([chunk] * len(part), pa.int64()), "hashes": pa.array(hashes, pa.binary()), "counts": pa.array(few, pa.binary()), "large": pa.array(many, pa.binary())})
+
+
+def _answer(layout: Filter, asked: pa.Table) -> pa.Table:
+    """Fill a part of the filter from the counts of all chunks; the levels it has for what each chunk asked."""
+    rows = [_unpacked(x) for x in asked["hashes"].to_pylist()]
+    small = np.frombuffer(b"".join(asked["counts"].to_pylist()), np.uint8)
+    count = small.astype(np.int64)
+    count[small == 255] = np.frombuffer(b"".join(asked["large"].to_pylist()), "<u4")
+    h, first, order = _distinct(np.concatenate(rows))
+    total = np.minimum(np.add.reduceat(count[order], first), 2**32 - 1)
+    held = h[first]
+    least = np.where(total > 0, np.frexp(total.astype(np.float64))[1], 0)
+    bits = np.zeros(layout.part * layout.slice_bytes * 8, dtype=bool)
+    start = (layout.slice_of(held).astype(np.int64) % layout.part) * layout.slice_bytes
+    for level in range(1, int(least.max()) + 1):
+        some = np.flatnonzero(least >= level)
+        for at in layout.places(held[some], level):
+            bits[start[some] * 8 + at.astype(np.int64)] = True
+    level = layout.levels(held, np.packbits(bits, bitorder="little"), start, least).astype(np.uint8)
+    found = np.empty(len(h), np.uint8)
+    found[order] = np.repeat(level, np.diff(first, append=len(h)))
+    cuts = np.cumsum([0, *map(len, rows)])
+    return pa.table({"_chunk": asked["_chunk"], "part": asked["part"], "levels": pa.array([found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+
+
+def filter_levels(texts: DataFrame, layout: Filter) -> DataFrame:
+    """``(_chunk, part, levels)``: the filter's levels of the distinct n-grams of each chunk of texts, in order, a byte each.
+
+    ``texts`` has ``_chunk``, ``_t`` and ``_train``. Words and pairs with count c in the texts that train
+    are held at the levels 1 to 1 + floor(log2 c). Chunks send their distinct n-grams once, with
+    their counts, to the parts of the filter; a part is filled from them, asked for the same
+    n-grams, each once, and gone. The number of parts follows the number of training tokens, so what meets
+    in one does not grow but by an entry for each chunk that has a frequent n-gram.
+    """
+    asked = texts.groupBy("_chunk").applyInArrow(lambda t: _ask(layout, t), ASKED)
+    return asked.groupBy("part").applyInArrow(lambda t: _answer(layout, t), LEVELS)
 
 
 def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int | None = None) -> DataFrame:
@@ -231,8 +226,8 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int |
     joined by word after each text has counted its own. The model is a pair model with
     ``P(w|h) = PAIRS * c(h,w) / c(h) + (1 - PAIRS) * P(w)`` and ``P(w) = (c(w)+1)/(N+V+1)``, all
     counts read from the filter, whose bits grow with the training tokens, so that its error
-    rate does not. Up to ``broadcast`` bytes (``BROADCAST``) every task gets the filter; a larger
-    one stays in its slices and is asked there, with the same scores.
+    rate does not. The filter is in parts at any size, to which chunks of texts send their
+    n-grams; ``broadcast`` once set a size up to which it went to every task, and has no effect.
 
     A null text is empty: one token, the end. A null doc_id counts as the empty id; repeated rows
     score alike; a text of any length is one row of its task; an empty table gives no rows;
@@ -242,31 +237,32 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int |
     mark = remainder("doc_id", fold)
     training = docs.where(mark != held)
     counts = written(token_counts(training), "token-counts")
-    texts = training.count()
+    texts, size = docs.agg(F.count_if(mark != held), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = words + texts, kinds + (1 if texts else 0)
-    top_rows = counts.where(F.octet_length("word") <= TOP_BYTES).orderBy(F.desc("c"), "word").limit(TOP).toArrow()
-    top = spark.sparkContext.broadcast(dict(zip(top_rows["word"].to_pylist(), top_rows["c"].to_pylist())))
+    top_rows = counts.where(F.octet_length("word") <= TOP_BYTES).orderBy(F.desc("c"), "word").limit(TOP).toArrow().combine_chunks()
+    top = spark.sparkContext.broadcast((top_rows["word"].combine_chunks().cast(pa.large_binary()), top_rows["c"].to_numpy()))
     del top_rows
     layout = Filter(n)
-    filled = written(build_filter(training, layout), "filter-slices")
     total = float(n + v + 1)
 
-    def score(piece: pa.RecordBatch, levels: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
-        known = top.value
+    def score(piece: pa.Table, replies: pa.Table) -> pa.Table:
         words, flat, lengths = _tokens(piece)
         kinds, which, pair = _grams(words, flat, lengths)
+        h, first, order = _distinct(np.concatenate([mix64(kinds), pair]))
+        found = replies["levels"].to_pylist()
+        level = np.empty(len(h), np.uint8)
+        level[order] = np.repeat(np.frombuffer(b"".join([found[i] for i in np.argsort(replies["part"].to_numpy())]), np.uint8), np.diff(first, append=len(h)))
         rows, ends = len(lengths), np.cumsum(lengths + 1)
         starts = ends - lengths - 1
-        # A word or pair is asked for once, however often the texts have it.
-        one = middle(levels(mix64(kinds)))[which]
-        pair, place = np.unique(pair, return_inverse=True)
-        two = middle(levels(pair))[place]
+        one, two = middle(level[: len(kinds)])[which], middle(level[len(kinds) :])
         before = np.empty_like(one)
         before[1:], before[starts] = one[:-1], float(max(1, texts))
         p = PAIRS * np.minimum(two, before) / np.maximum(before, 1.0) + (1 - PAIRS) * (one + 1) / total
-        score = np.add.reduceat(np.log10(p), starts) if rows else p
-        c = np.array([known.get(w, 0) for w in words], dtype=np.int64)
+        score = np.add.reduceat(np.log10(p), starts)
+        known, exact = top.value
+        place = pc.index_in(words, value_set=known)
+        c = np.append(exact, 0)[pc.fill_null(place, len(exact)).to_numpy()]
         doc = np.repeat(np.arange(rows), lengths)
         here = c[flat] > 0
         base = np.bincount(doc[here], weights=np.log10((c[flat[here]] + 1) / total), minlength=rows) + np.log10((texts + 1) / total)
@@ -275,31 +271,20 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int |
         code, times = np.unique(doc[~here] * max(1, len(words)) + flat[~here], return_counts=True)
         of, word = code // max(1, len(words)), code % max(1, len(words))
         bounds = np.searchsorted(of, np.arange(rows + 1))
-        tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(word)), pa.array(times.astype(np.int32))], ["word", "m"])
+        tail = pa.StructArray.from_arrays([words.take(pa.array(word)).cast(pa.binary()), pa.array(times.astype(np.int32))], ["word", "m"])
         rest = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), tail)
-        return pa.RecordBatch.from_arrays(
-            [piece["_row"], piece["doc_id"], pa.array(lengths + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score), rest],
+        row = (piece["_chunk"][0].as_py() << 32) + np.arange(rows)
+        return pa.table(
+            [pa.array(row), piece["doc_id"], pa.array(lengths + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score), rest],
             ["_row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"],
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"_row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,m:int>>"
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("text").alias("_t"))
-    if layout.slices * layout.slice_bytes <= (BROADCAST if broadcast is None else broadcast):
-        levels = _broadcast_levels(spark, filled, layout)
-        scored = rows.mapInArrow(lambda batches: (score(p, levels) for batch in batches for p in pieces(batch, "_t")), schema)
-    else:
-        chunks = written(rows.withColumn("_chunk", F.shiftright("_row", CHUNK_BITS)), "numbered-texts")
-        replies = written(_asked_levels(chunks, filled, layout), "filter-replies")
-
-        def with_replies(texts: pa.Table, replies: pa.Table) -> pa.Table:
-            piece = texts.combine_chunks().to_batches()[0]
-            h, order = _hashes(piece), np.argsort(replies["slice"].to_numpy())
-            found = replies["levels"].to_pylist()
-            level = np.frombuffer(b"".join([found[i] for i in order]), np.uint8).astype(np.int64)
-            return pa.Table.from_batches([score(piece, lambda x: level[np.searchsorted(h, x)])])
-
-        scored = chunks.groupBy("_chunk").cogroup(replies.groupBy("_chunk")).applyInArrow(with_replies, schema)
+    # A chunk is told by what its rows hold, so that it is the same whenever it is made; one exchange serves both who ask and who score.
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(math.ceil(size / CHUNK_BYTES) or 1))
+    chunks = docs.select(chunk.alias("_chunk"), "doc_id", F.col("text").alias("_t"), (mark != held).alias("_train")).repartition("_chunk")
+    scored = chunks.groupBy("_chunk").cogroup(filter_levels(chunks, layout).groupBy("_chunk")).applyInArrow(score, schema)
     scored = written(scored, "scored-texts")
     log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(total))
     tail = scored.select("_row", F.explode("rest").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.m").alias("m"))

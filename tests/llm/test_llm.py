@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from gridloom.llm import lines, mixing, near_copies, neighbours, ngram_model, packing, pii, quality, substrings, toxicity
@@ -446,3 +447,59 @@ def test_a_word_of_many_texts_is_looked_up_once():
     kinds, which, pair = ngram_model._grams(*ngram_model._tokens(piece))
     assert len(set(kinds.tolist())) == len(kinds) == 3
     assert which.tolist() == [0, 1, 0, 0, 2, 2, 1, 2] and len(pair) == 8
+
+
+def test_tokens_are_those_of_split_bytes():
+    texts = ["x y", " A\x0bb \t c\u0085\x1c\x1f d", None, "", " \r\n", "é É\u2003\U0001f600", "a\x00b A  "]
+    for first in (0, 1):
+        piece = pa.RecordBatch.from_arrays([pa.array(texts)], ["_t"]).slice(first)
+        words, flat, lengths = ngram_model._tokens(piece)
+        want = [(t or "").encode().lower().split() for t in texts[first:]]
+        assert [words[int(i)].as_py() for i in flat] == [w for ws in want for w in ws]
+        assert lengths.tolist() == [len(ws) for ws in want] and len(set(words.to_pylist())) == len(words)
+
+
+def test_no_chunk_of_texts_is_joined_with_the_filter(docs, monkeypatch):
+    """A slice of the filter is in one place; it does not go to every chunk that asks it."""
+    plans, kept = [], ngram_model.written
+
+    def spied(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, label)
+
+    monkeypatch.setattr(ngram_model, "written", spied)
+    assert ngram_model.score_texts(docs, broadcast=0).count() == len(TEXTS) + 2
+    assert len(plans) > 1 and not any("Join" in p for p in plans)
+
+
+def test_levels_are_those_of_the_whole_filter():
+    r = np.random.default_rng(3)
+    texts = [" ".join(r.choice(WORDS, 300)) for _ in range(60)] + ["long " * 700, ""]
+    layout = ngram_model.Filter(2000)  # far too few bits, so that many probes hit by chance
+    layout.part = 3
+    chunks = []
+    for k in range(4):
+        some = texts[k::4]
+        chunks.append(pa.table({"_chunk": [k] * len(some), "_t": some, "_train": [i % 5 != 2 for i in range(len(some))]}))
+    counts, grams = Counter(), []
+    for chunk in chunks:
+        kinds, which, pair = ngram_model._grams(*ngram_model._tokens(chunk))
+        word, ends = ngram_model.mix64(kinds)[which], np.cumsum([len(t.split()) + 1 for t in chunk["_t"].to_pylist()])
+        for a, b, train in zip([0, *ends], ends, chunk["_train"].to_pylist()):
+            counts.update([*word[a:b].tolist(), *pair[a:b].tolist()] if train else [])
+        grams.append(np.sort(np.array(list({*word.tolist(), *pair.tolist()}), dtype=np.uint64)))
+    bits = np.zeros(layout.slices * layout.slice_bytes * 8, dtype=bool)
+    h = np.array(list(counts), dtype=np.uint64)
+    top = np.floor(np.log2(list(counts.values()))).astype(int) + 1
+    for level in range(1, top.max() + 1):
+        some = h[top >= level]
+        for at in layout.places(some, level):
+            bits[layout.slice_of(some).astype(np.int64) * layout.slice_bytes * 8 + at.astype(np.int64)] = True
+    bits = np.packbits(bits, bitorder="little")
+    want = [layout.levels(g, bits, layout.slice_of(g).astype(np.int64) * layout.slice_bytes) for g in grams]
+    asked = pa.concat_tables([ngram_model._ask(layout, c) for c in chunks])
+    found = pa.concat_tables([ngram_model._answer(layout, asked.filter(pa.compute.equal(asked["part"], p))) for p in set(asked["part"].to_pylist())])
+    for k, w in enumerate(want):
+        rows = sorted((x["part"], x["levels"]) for x in found.to_pylist() if x["_chunk"] == k)
+        assert list(b"".join(x for _, x in rows)) == w.tolist()
+    assert any((w > 0).sum() > sum(int(x) in counts for x in g) for g, w in zip(grams, want))
