@@ -22,7 +22,7 @@ TOP, TOP_BYTES = 200_000, 48
 # PART slices that follow one another are filled and asked in one place.
 BITS_PER_TOKEN, SLICE_TOKENS, PROBES, BLOCK, PART = 5, 500_000, 4, 512, 4
 # Bytes of the texts that ask together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 # Weight of the pair estimate against the word estimate.
 PAIRS = 0.2
 _START, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -107,11 +107,11 @@ class Filter:
         """From the high bits: hashes in order are in the order of their slices."""
         return (h >> np.uint64(32)) * np.uint64(self.slices) >> np.uint64(32)
 
-    def places(self, h: np.ndarray, level: int) -> list[np.ndarray]:
+    def places(self, h: np.ndarray, level: int) -> Iterator[np.ndarray]:
         """Bits of an n-gram in its slice: the block from its low bits, the places in it from a remix."""
         base = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(self.per_slice) >> np.uint64(32)) * np.uint64(BLOCK)
         g = mix64(h ^ (np.full(1, level, dtype=np.uint64) * _LEVEL))
-        return [base + ((g >> np.uint64(9 * k)) & np.uint64(BLOCK - 1)) for k in range(PROBES)]
+        return (base + ((g >> np.uint64(9 * k)) & np.uint64(BLOCK - 1)) for k in range(PROBES))
 
     def levels(self, h: np.ndarray, bits: np.ndarray, start: np.ndarray | int, least: np.ndarray | None = None) -> np.ndarray:
         """The last level at which all probes hit; ``start`` is where each one's slice begins in ``bits``, in bytes.
@@ -147,12 +147,18 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64), order
 
 
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
 def _packed(h: np.ndarray) -> bytes:
     """Hashes in order by their steps, the lowest bytes of all first: the highest are mostly 0 and compress."""
     return np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _unpacked(data: bytes | pa.Buffer) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -172,9 +178,8 @@ def _ask(layout: Filter, texts: pa.Table) -> pa.Table:
     counts = np.add.reduceat(np.concatenate([np.bincount(which[train], minlength=len(kinds)), train])[order], first)
     h = h[first]
     of = layout.slice_of(h).astype(np.int64) // layout.part
-    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(h)]
     small, asked = np.minimum(counts, 255).astype(np.uint8), []
-    for a, b in zip(cuts[:-1], cuts[1:]):
+    for a, b in _runs(of):
         large = counts[a:b][small[a:b] == 255].astype("<u4")
         asked.append((of[a], _packed(h[a:b]), small[a:b].tobytes(), large.tobytes()))
     part, hashes, few, many = zip(*asked)
@@ -184,24 +189,25 @@ def _ask(layout: Filter, texts: pa.Table) -> pa.Table:
 
 def _answer(layout: Filter, asked: pa.Table) -> pa.Table:
     """Fill a part of the filter from the counts of all chunks; the levels it has for what each chunk asked."""
-    rows = [_unpacked(x) for x in asked["hashes"].to_pylist()]
+    rows = [_unpacked(x.as_buffer()) for x in asked["hashes"]]
+    cuts = np.cumsum([0, *map(len, rows)])
     small = np.frombuffer(b"".join(asked["counts"].to_pylist()), np.uint8)
-    count = small.astype(np.int64)
+    count = small.astype(np.uint32)
     count[small == 255] = np.frombuffer(b"".join(asked["large"].to_pylist()), "<u4")
-    h, first, order = _distinct(np.concatenate(rows))
-    total = np.minimum(np.add.reduceat(count[order], first), 2**32 - 1)
-    held = h[first]
-    least = np.where(total > 0, np.frexp(total.astype(np.float64))[1], 0)
-    bits = np.zeros(layout.part * layout.slice_bytes * 8, dtype=bool)
-    start = (layout.slice_of(held).astype(np.int64) % layout.part) * layout.slice_bytes
-    for level in range(1, int(least.max()) + 1):
-        some = np.flatnonzero(least >= level)
-        for at in layout.places(held[some], level):
-            bits[start[some] * 8 + at.astype(np.int64)] = True
-    level = layout.levels(held, np.packbits(bits, bitorder="little"), start, least).astype(np.uint8)
-    found = np.empty(len(h), np.uint8)
-    found[order] = np.repeat(level, np.diff(first, append=len(h)))
-    cuts = np.cumsum([0, *map(len, rows)])
+    rows = np.concatenate(rows)
+    h, first, order = _distinct(rows)
+    total = np.minimum(np.add.reduceat(count[order], first, dtype=np.int64), 2**32 - 1)
+    found, times, h = np.empty(len(h), np.uint8), np.diff(first, append=len(h)), h[first]
+    del rows, small, count, first
+    level = np.where(total > 0, np.frexp(total.astype(np.float64))[1], 0).astype(np.uint8)
+    of = layout.slice_of(h)
+    for a, b in _runs(of):
+        bits = np.zeros(layout.per_slice * BLOCK, dtype=bool)
+        for q in range(1, int(level[a:b].max()) + 1):
+            for at in layout.places(h[a:b][level[a:b] >= q], q):
+                bits[at.astype(np.int64)] = True
+        level[a:b] = layout.levels(h[a:b], np.packbits(bits, bitorder="little"), 0, level[a:b])
+    found[order] = np.repeat(level, times)
     return pa.table({"_chunk": asked["_chunk"], "part": asked["part"], "levels": pa.array([found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
 
@@ -218,6 +224,17 @@ def filter_levels(texts: DataFrame, layout: Filter) -> DataFrame:
     return asked.groupBy("part").applyInArrow(lambda t: _answer(layout, t), LEVELS)
 
 
+def _written_alone(df: DataFrame, label: str) -> DataFrame:
+    """As ``written``; what was exchanged for it is removed with it, not when the driver collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, label)
+    finally:
+        conf.set(key, before)
+
+
 def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int | None = None) -> DataFrame:
     """One row per document: counts of its tokens, the unigram base and the model's log10 probability.
 
@@ -236,7 +253,7 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int |
     spark = docs.sparkSession
     mark = remainder("doc_id", fold)
     training = docs.where(mark != held)
-    counts = written(token_counts(training), "token-counts")
+    counts = _written_alone(token_counts(training), "token-counts")
     texts, size = docs.agg(F.count_if(mark != held), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = words + texts, kinds + (1 if texts else 0)
@@ -245,6 +262,10 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int |
     del top_rows
     layout = Filter(n)
     total = float(n + v + 1)
+    values = middle(np.arange(64))
+    by_word = (1 - PAIRS) * (values + 1) / total
+    before = np.append(values, float(max(1, texts)))
+    by_pair = PAIRS * np.minimum(values[:, None], before) / np.maximum(before, 1.0)
 
     def score(piece: pa.Table, replies: pa.Table) -> pa.Table:
         words, flat, lengths = _tokens(piece)
@@ -255,11 +276,14 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int |
         level[order] = np.repeat(np.frombuffer(b"".join([found[i] for i in np.argsort(replies["part"].to_numpy())]), np.uint8), np.diff(first, append=len(h)))
         rows, ends = len(lengths), np.cumsum(lengths + 1)
         starts = ends - lengths - 1
-        one, two = middle(level[: len(kinds)])[which], middle(level[len(kinds) :])
+        # Levels are few: what an n-gram of each level adds is looked up.
+        one, two = level[: len(kinds)][which], level[len(kinds) :]
         before = np.empty_like(one)
-        before[1:], before[starts] = one[:-1], float(max(1, texts))
-        p = PAIRS * np.minimum(two, before) / np.maximum(before, 1.0) + (1 - PAIRS) * (one + 1) / total
-        score = np.add.reduceat(np.log10(p), starts)
+        before[1:], before[starts] = one[:-1], 64
+        p = by_pair[two, before]
+        p += by_word[one]
+        score = np.add.reduceat(np.log10(p, out=p), starts)
+        del h, first, order, pair, which, p
         known, exact = top.value
         place = pc.index_in(words, value_set=known)
         c = np.append(exact, 0)[pc.fill_null(place, len(exact)).to_numpy()]
@@ -285,7 +309,7 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, broadcast: int |
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(math.ceil(size / CHUNK_BYTES) or 1))
     chunks = docs.select(chunk.alias("_chunk"), "doc_id", F.col("text").alias("_t"), (mark != held).alias("_train")).repartition("_chunk")
     scored = chunks.groupBy("_chunk").cogroup(filter_levels(chunks, layout).groupBy("_chunk")).applyInArrow(score, schema)
-    scored = written(scored, "scored-texts")
+    scored = _written_alone(scored, "scored-texts")
     log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(total))
     tail = scored.select("_row", F.explode("rest").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.m").alias("m"))
     tail = tail.join(counts, "word", "left").groupBy("_row").agg(F.sum(F.col("m") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("also"))
